@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,23 +51,49 @@ def progress(
     )
 
 
+BLOCK_ROWS = 65_536
+
+
+def _joined(order: str | Column, text: str | Column) -> Column:
+    """Texts of a group in order, as one text; NULL texts are left out."""
+    order, text = (F.col(c) if isinstance(c, str) else c for c in (order, text))
+    piece = F.when(text.isNotNull(), F.struct(order.alias("o"), text.alias("t")))
+    return F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["t"]), "")
+
+
 def concat_deltas(
-    df: DataFrame, keys: Sequence[str], seq: str, delta: str, out: str, block_rows: int = 65_536
+    df: DataFrame, keys: Sequence[str], seq: str, delta: str, out: str, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Join the deltas of each key in order of ``seq``.
+    """Join the deltas of each key in order of ``seq``."""
+    rows = df.filter(F.col(delta).isNotNull())
+    return fold_ordered(rows, keys, seq, texts={out: F.col(delta)}, block_rows=block_rows)
+
+
+def fold_ordered(
+    rows: DataFrame,
+    keys: Sequence[str],
+    seq: str,
+    first: Mapping[str, tuple[Column, Column]] | None = None,
+    last: Mapping[str, tuple[Column, Column]] | None = None,
+    any_of: Mapping[str, Column] | None = None,
+    texts: Mapping[str, Column] | None = None,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Fold ordered rows of each key: first and last values by a position, flags, joined texts.
 
-    Two steps: deltas of one block of the sequence first, the block texts second. The tasks of the
-    first step share a long text between them; the second holds one text per block.
+    Two steps: blocks of the sequence first, then the blocks of a key. The tasks of the first step
+    share a key with very many rows; the second step sees one row per block.
     """
-
-    def joined(order: str, text: str) -> Column:
-        pieces = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
-        return F.array_join(F.transform(pieces, lambda p: p["t"]), "")
-
-    blocks = (
-        df.filter(F.col(delta).isNotNull())
-        .withColumn("__block", F.floor(F.col(seq) / F.lit(block_rows)))
-        .groupBy(*keys, "__block")
-        .agg(joined(seq, delta).alias("__text"))
-    )
-    return blocks.groupBy(*keys).agg(joined("__block", "__text").alias(out))
+    first, last, any_of, texts = (dict(x or {}) for x in (first, last, any_of, texts))
+    step = [F.min_by(F.struct(v.alias("v")), at).alias(f"__v_{n}") for n, (v, at) in first.items()]
+    step += [F.min(at).alias(f"__s_{n}") for n, (_, at) in first.items()]
+    step += [F.max_by(F.struct(v.alias("v")), at).alias(f"__v_{n}") for n, (v, at) in last.items()]
+    step += [F.max(at).alias(f"__s_{n}") for n, (_, at) in last.items()]
+    step += [F.bool_or(c).alias(f"__v_{n}") for n, c in any_of.items()]
+    step += [_joined(seq, c).alias(f"__v_{n}") for n, c in texts.items()]
+    blocks = rows.groupBy(*keys, F.floor(F.col(seq) / F.lit(block_rows)).alias("__block")).agg(*step)
+    whole = [F.min_by(f"__v_{n}", f"__s_{n}")["v"].alias(n) for n in first]
+    whole += [F.max_by(f"__v_{n}", f"__s_{n}")["v"].alias(n) for n in last]
+    whole += [F.bool_or(f"__v_{n}").alias(n) for n in any_of]
+    whole += [_joined("__block", f"__v_{n}").alias(n) for n in texts]
+    return blocks.groupBy(*keys).agg(*whole)

@@ -1,9 +1,9 @@
 """Conversations: from run events to messages, tool calls and reasonings, and back to a transcript.
 
 Batch folding works in two steps. ``resolve_events`` says for every event which message, tool call and
-reasoning block it belongs to and what was active before it; it is a chain of blocked scans, so a run
-that holds a third of all events is still spread over many tasks. The ``assemble_*`` functions then
-group the resolved events. The streaming job resolves with state and assembles with the same
+reasoning block it belongs to and what was active before it; chats of usual size are resolved in place
+after one shuffle, and a chat that holds a third of all events is spread over many tasks by blocked
+scans. The ``assemble_*`` functions then group the resolved events. The streaming job resolves with state and assembles with the same
 functions.
 """
 
@@ -13,10 +13,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from larder.functions.text import error_text, strip_placeholder
-from larder.operators.aggregates import concat_deltas
-from larder.operators.scan import attach, carry_forward
+from larder.operators.aggregates import fold_ordered
+from larder.operators.scan import BLOCK_ROWS, attach, carry_forward, carry_within, hot_keys
 
 EVENT_FIELDS = {
     "chat_id": "string", "run_id": "string", "seq": "bigint", "ts": "timestamp", "type": "string",
@@ -35,6 +36,7 @@ RUN_ENDS = ("RUN_FINISHED", "RUN_ERROR")
 ASSISTANT = "assistant"
 UNKNOWN_TOOL = "UNKNOWN"
 SCOPE = ["chat_id", "run_id", "epoch"]
+RESOLVED = ["target_id", "active_id", "tool_id", "active_tool", "block", "open_block", "step", "title"]
 
 
 def _is(*kinds: str) -> Column:
@@ -50,31 +52,62 @@ def _same(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
-def resolve_events(events: DataFrame, block_rows: int = 65_536) -> DataFrame:
+class _Within:
+    """Ordered steps for chats of bounded size: windows over rows that already lie together."""
+
+    carry = staticmethod(carry_within)
+
+    @staticmethod
+    def least(df: DataFrame, keys: Sequence[str], cols: Mapping[str, Column]) -> DataFrame:
+        w = Window.partitionBy(*keys)
+        return df.withColumns({n: F.min(c).over(w) for n, c in cols.items()})
+
+
+class _Blocked:
+    """The same steps for chats of any size: blocks and map-side combined aggregates."""
+
+    carry = staticmethod(carry_forward)
+
+    @staticmethod
+    def least(df: DataFrame, keys: Sequence[str], cols: Mapping[str, Column]) -> DataFrame:
+        return attach(df, df.groupBy(*keys).agg(*[F.min(c).alias(n) for n, c in cols.items()]), keys, list(cols))
+
+
+def resolve_events(events: DataFrame, chat_rows: int = BLOCK_ROWS) -> DataFrame:
     """Add to each event what it belongs to.
 
     ``target_id``: its message. ``active_id``: the message active before it. ``tool_id`` and
     ``active_tool`` (message, tool): the same for tool calls. ``block`` and ``open_block``: the
     reasoning block it belongs to, and the one with content still open before it. ``step`` and
     ``title``: what the run was in.
+
+    Chats of up to ``chat_rows`` events are shuffled once and resolved in place; larger ones go
+    through blocked scans, so that no task sorts one of them alone. A count tells them apart.
     """
-    scan = {"block_rows": block_rows}
+    hot = hot_keys(events, ["chat_id"], chat_rows)
+    if hot is None:
+        return _resolve(events.repartition("chat_id"), _Within)
+    small = events.join(hot, "chat_id", "left_anti").repartition("chat_id")
+    large = events.join(hot, "chat_id", "left_semi")
+    return _resolve(small, _Within).unionByName(_resolve(large, _Blocked))
+
+
+def _resolve(events: DataFrame, ordered: type[_Within] | type[_Blocked]) -> DataFrame:
     own = F.when(_is(*TEXT), F.col("message_id")).when(
         _is("TOOL_CALL_START", "TOOL_CALL_CHUNK"), F.col("parent_message_id")
     )
-    touches = _is(*TEXT, *TOOL, *THOUGHT)
-    rows = carry_forward(
-        events, ["chat_id", "run_id"], "seq", {"epoch": F.when(_is("RUN_STARTED"), F.col("seq"))}, **scan
-    ).withColumns({"__own": own, "__touch": touches})
+    started = F.when(_is("RUN_STARTED"), F.col("seq"))
+    rows = ordered.carry(events, ["chat_id", "run_id"], "seq", {"epoch": started})
+    rows = rows.withColumns({"__own": own, "__touch": _is(*TEXT, *TOOL, *THOUGHT)})
 
     named = F.struct(F.col("name").alias("name"))
     nothing = F.struct(F.lit(None).cast("string").alias("name"))
-    rows = carry_forward(
+    rows = ordered.carry(
         rows,
         SCOPE,
         "seq",
         upto={
-            "__named": "__own",
+            "__named": F.col("__own"),
             "__step": F.when(_is("STEP_STARTED"), named).when(_is("STEP_FINISHED"), nothing),
             "__title": F.when(_is("THINKING_START"), named).when(_is("THINKING_END"), nothing),
             "__tool": F.when(_is(*TOOL), F.col("tool_call_id")),
@@ -83,39 +116,37 @@ def resolve_events(events: DataFrame, block_rows: int = 65_536) -> DataFrame:
             "__thought": F.when(_is(*THOUGHT), F.struct(F.col("type").alias("type"), F.col("seq").alias("seq"))),
             "__thought_end": F.when(_is("THINKING_END"), F.col("seq")),
         },
-        **scan,
     )
 
     # How each scope begins: with an event that names a message, follows one, or starts a new one.
     loose = F.col("__touch") & F.col("__own").isNull()
-    starts = rows.groupBy(*SCOPE).agg(
-        F.min(F.when(F.col("__own").isNotNull(), F.col("seq"))).alias("__first_named"),
-        F.min(F.when(loose & ~_is(*CHUNKS), F.col("seq"))).alias("__first_follow"),
-        F.min(F.when(loose & _is(*CHUNKS), F.col("seq"))).alias("__first_chunk"),
-        F.min(F.when(_is("TOOL_CALL_CHUNK") & F.col("tool_call_id").isNull(), F.col("seq"))).alias("__first_tool_chunk"),
+    rows = ordered.least(
+        rows,
+        SCOPE,
+        {
+            "__first_named": F.when(F.col("__own").isNotNull(), F.col("seq")),
+            "__first_follow": F.when(loose & ~_is(*CHUNKS), F.col("seq")),
+            "__first_chunk": F.when(loose & _is(*CHUNKS), F.col("seq")),
+            "__first_tool_chunk": F.when(_is("TOOL_CALL_CHUNK") & F.col("tool_call_id").isNull(), F.col("seq")),
+        },
     )
-    rows = attach(rows, starts, SCOPE, ["__first_named", "__first_follow", "__first_chunk", "__first_tool_chunk"])
     never = F.lit(2**62).cast("bigint")
     chunk_first = F.col("__first_chunk") < F.least(
         F.coalesce("__first_follow", never), F.coalesce("__first_named", never)
     )
-    chunk_first = F.coalesce(chunk_first, F.lit(False))
-    prefix = F.col("__touch") & F.col("__named").isNull()
     chunk_id = _derived_id("new", F.col("__first_chunk"))
 
     # Which message was created last in the chat, for events without an id and without an active message.
     created = F.when(_is("MESSAGE"), F.col("message_id")).otherwise(F.col("__own"))
-    first_seen = (
-        rows.withColumn("__created", created)
-        .filter(F.col("__created").isNotNull())
-        .groupBy("chat_id", "__created")
-        .agg(F.min("seq").alias("__first_seen"))
+    rows = rows.withColumns(
+        {
+            "__created": created,
+            "__chunk_first": F.coalesce(chunk_first, F.lit(False)),
+            "__prefix": F.col("__touch") & F.col("__named").isNull(),
+        }
     )
-    rows = attach(
-        rows.withColumns({"__created": created, "__chunk_first": chunk_first, "__prefix": prefix}),
-        first_seen,
-        ["chat_id", "__created"],
-        ["__first_seen"],
+    rows = ordered.least(
+        rows, ["chat_id", "__created"], {"__first_seen": F.when(F.col("__created").isNotNull(), F.col("seq"))}
     )
 
     def point(id_: Column, role: Column) -> Column:
@@ -127,13 +158,12 @@ def resolve_events(events: DataFrame, block_rows: int = 65_536) -> DataFrame:
     latest = F.when(F.col("__first_seen") == F.col("seq"), point(F.col("__created"), role)).when(
         F.col("__chunk_first") & (F.col("seq") == F.col("__first_chunk")), point(chunk_id, F.lit(ASSISTANT))
     )
-    rows = carry_forward(rows, ["chat_id"], "seq", before={"__latest": latest}, **scan)
+    rows = ordered.carry(rows, ["chat_id"], "seq", before={"__latest": latest})
     rows = rows.withColumn("__since", F.coalesce("__latest.seq", F.lit(-1).cast("bigint")))
     waiting = F.col("__prefix") & ~F.col("__chunk_first")
-    first_chunk = (
-        rows.filter(waiting & _is(*CHUNKS)).groupBy("chat_id", "__since").agg(F.min("seq").alias("__chunk_since"))
+    rows = ordered.least(
+        rows, ["chat_id", "__since"], {"__chunk_since": F.when(waiting & _is(*CHUNKS), F.col("seq"))}
     )
-    rows = attach(rows, first_chunk, ["chat_id", "__since"], ["__chunk_since"])
     target = (
         F.when(~F.col("__touch"), F.lit(None).cast("string"))
         .when(F.col("__named").isNotNull(), F.col("__named"))
@@ -147,49 +177,51 @@ def resolve_events(events: DataFrame, block_rows: int = 65_536) -> DataFrame:
     ended = F.col("__thought_end") > F.col("__thought.seq")
     open_content = (kind == "THINKING_TEXT_MESSAGE_CONTENT") & ~F.coalesce(ended, F.lit(False))
     is_open = F.coalesce(open_content | (kind == "THINKING_TEXT_MESSAGE_START"), F.lit(False))
-    opens = _is("THINKING_TEXT_MESSAGE_START") | (_is(*THOUGHT) & ~is_open)
     rows = rows.withColumns(
         {
             "target_id": target,
             "tool_id": tool,
             "step": F.col("__step.name"),
             "title": F.col("__title.name"),
-            "__opens": opens,
+            "__opens": _is("THINKING_TEXT_MESSAGE_START") | (_is(*THOUGHT) & ~is_open),
             "__open_content": F.coalesce(open_content, F.lit(False)),
         }
     )
-    rows = carry_forward(
+    tool_key = F.struct(F.col("target_id").alias("message_id"), F.col("tool_id").alias("tool_id"))
+    rows = ordered.carry(
         rows,
         SCOPE,
         "seq",
         upto={"__block_at": F.when(F.col("__opens"), F.col("seq"))},
         before={
-            "active_id": "target_id",
-            "active_tool": F.when(
-                F.col("tool_id").isNotNull(),
-                F.struct(F.col("target_id").alias("message_id"), F.col("tool_id").alias("tool_id")),
-            ),
+            "active_id": F.col("target_id"),
+            "active_tool": F.when(F.col("tool_id").isNotNull(), tool_key),
             "__open_message": F.when(_is(*THOUGHT), F.col("target_id")),
         },
-        **scan,
-    ).withColumns(
+    )
+    open_key = F.struct(F.col("__open_message").alias("message_id"), F.col("__block_at").alias("block"))
+    return rows.withColumns(
         {
             "block": F.when(_is(*THOUGHT), F.col("__block_at")),
-            "open_block": F.when(
-                F.col("__open_content"),
-                F.struct(F.col("__open_message").alias("message_id"), F.col("__block_at").alias("block")),
-            ),
+            "open_block": F.when(F.col("__open_content"), open_key),
         }
-    )
-    return rows.select(*events.columns, "target_id", "active_id", "tool_id", "active_tool", "block", "open_block", "step", "title")
+    ).select(*events.columns, *RESOLVED)
 
 
 def _error() -> Column:
     return F.when(_is("RUN_ERROR"), error_text("error_code", "error_message"))
 
 
-def _effects(touch: Column, close: Column) -> Column:
-    return F.explode(F.array_compact(F.array(touch, close)))
+def _touched_and_closed(
+    resolved: DataFrame, key: Column, touched: Column, ends: Column, active: Column, closes: Column
+) -> DataFrame:
+    """A row ``e`` for the thing an event belongs to, and one for the thing that it closes."""
+    touch = F.when(touched, F.struct(key.alias("key"), F.lit(True).alias("touch"), ends.alias("closed")))
+    close = F.when(
+        active.isNotNull() & closes,
+        F.struct(active.alias("key"), F.lit(False).alias("touch"), F.lit(True).alias("closed")),
+    )
+    return resolved.withColumn("e", F.explode(F.array_compact(F.array(touch, close))))
 
 
 def assemble_messages(resolved: DataFrame, agent: str = "agent") -> DataFrame:
@@ -197,43 +229,37 @@ def assemble_messages(resolved: DataFrame, agent: str = "agent") -> DataFrame:
     given = _is("MESSAGE")
     id_ = F.when(given, F.col("message_id")).otherwise(F.col("target_id"))
     moved = F.col("target_id").isNotNull() & ~_same("target_id", "active_id")
-    touch = F.when(
-        id_.isNotNull(),
-        F.struct(id_.alias("id"), F.lit(True).alias("touch"), (_is("TEXT_MESSAGE_END") | given).alias("closed")),
-    )
-    close = F.when(
-        F.col("active_id").isNotNull() & (_is(*RUN_ENDS) | moved),
-        F.struct(F.col("active_id").alias("id"), F.lit(False).alias("touch"), F.lit(True).alias("closed")),
-    )
-    rows = resolved.withColumn("e", _effects(touch, close))
-    at = F.when(F.col("e.touch"), F.col("seq"))
-    error = F.when(~F.col("e.touch"), _error())
-    messages = rows.groupBy("chat_id", F.col("e.id").alias("message_id")).agg(
-        F.min(at).alias("created_seq"),
-        F.min_by("ts", at).alias("created_at"),
-        F.min_by(F.when(_is("TEXT_MESSAGE_START", "MESSAGE"), F.col("role")), at).alias("__role"),
-        F.min_by(F.struct(given.alias("given"), F.col("name").alias("name")), at).alias("__origin"),
-        F.min_by("step", at).alias("step"),
-        (~F.bool_or("e.closed")).alias("in_progress"),
-        F.max_by(error, F.when(error.isNotNull(), F.col("seq"))).alias("error"),
-    )
+    rows = _touched_and_closed(
+        resolved, id_, id_.isNotNull(), _is("TEXT_MESSAGE_END") | given, F.col("active_id"), _is(*RUN_ENDS) | moved
+    ).withColumn("message_id", F.col("e.key"))
+    touch = F.col("e.touch")
+    at, error = F.when(touch, F.col("seq")), F.when(~touch, _error())
     piece = F.when(_is("TEXT_MESSAGE_CONTENT", "TEXT_MESSAGE_CHUNK"), F.col("delta")).when(given, F.col("content"))
-    texts = concat_deltas(
-        resolved.select("chat_id", id_.alias("message_id"), "seq", piece.alias("piece")),
-        ["chat_id", "message_id"], "seq", "piece", "content",
+    origin = F.struct(
+        given.alias("given"), F.col("name").alias("name"), F.col("step").alias("step"), F.col("ts").alias("ts"),
+        F.col("seq").alias("seq"), F.when(_is("TEXT_MESSAGE_START", "MESSAGE"), F.col("role")).alias("role"),
     )
-    given_first = F.col("__origin.given")
-    return attach(messages.filter(F.col("created_seq").isNotNull()), texts, ["chat_id", "message_id"], ["content"]).select(
+    out = fold_ordered(
+        rows,
+        ["chat_id", "message_id"],
+        "seq",
+        first={"o": (origin, at)},
+        last={"error": (error, F.when(error.isNotNull(), F.col("seq")))},
+        any_of={"closed": F.col("e.closed")},
+        texts={"content": F.when(touch, piece)},
+    ).filter(F.col("o").isNotNull())
+    given_first = F.col("o.given")
+    return out.select(
         "chat_id",
         "message_id",
-        F.coalesce("__role", F.when(given_first, F.lit("user")).otherwise(F.lit(ASSISTANT))).alias("role"),
-        F.when(given_first, F.coalesce("__origin.name", F.lit(""))).otherwise(F.lit(agent)).alias("name"),
-        F.coalesce("content", F.lit("")).alias("content"),
-        "step",
-        "in_progress",
+        F.coalesce("o.role", F.when(given_first, F.lit("user")).otherwise(F.lit(ASSISTANT))).alias("role"),
+        F.when(given_first, F.coalesce("o.name", F.lit(""))).otherwise(F.lit(agent)).alias("name"),
+        "content",
+        F.col("o.step").alias("step"),
+        (~F.col("closed")).alias("in_progress"),
         "error",
-        "created_at",
-        "created_seq",
+        F.col("o.ts").alias("created_at"),
+        F.col("o.seq").alias("created_seq"),
     )
 
 
@@ -242,74 +268,77 @@ def assemble_tool_calls(resolved: DataFrame) -> DataFrame:
     here = F.struct(F.col("target_id").alias("message_id"), F.col("tool_id").alias("tool_id"))
     used = F.col("tool_id").isNotNull()
     moved = used & ~here.eqNullSafe(F.col("active_tool"))
-    touch = F.when(
-        used,
-        F.struct(here.alias("key"), F.lit(True).alias("touch"), _is("TOOL_CALL_END").alias("closed")),
-    )
-    close = F.when(
-        F.col("active_tool").isNotNull() & (_is(*RUN_ENDS) | moved),
-        F.struct(F.col("active_tool").alias("key"), F.lit(False).alias("touch"), F.lit(True).alias("closed")),
-    )
-    rows = resolved.filter(used | _is(*RUN_ENDS)).withColumn("e", _effects(touch, close))
-    keys = ["chat_id", "message_id", "tool_call_id"]
-    at = F.when(F.col("e.touch"), F.col("seq"))
-    error = F.when(~F.col("e.touch"), _error())
-    result = F.when(F.col("e.touch") & _is("TOOL_CALL_RESULT"), F.col("seq"))
+    rows = _touched_and_closed(
+        resolved.filter(used | _is(*RUN_ENDS)), here, used, _is("TOOL_CALL_END"), F.col("active_tool"), _is(*RUN_ENDS) | moved
+    ).select(
+        "chat_id", "seq", "ts", "type", "name", "delta", "content", "error_code", "error_message", "e",
+        F.col("e.key.message_id").alias("message_id"), F.col("e.key.tool_id").alias("tool_call_id"),
+    )
+    touch = F.col("e.touch")
+    at, error = F.when(touch, F.col("seq")), F.when(~touch, _error())
     named = F.when(_is("TOOL_CALL_START", "TOOL_CALL_CHUNK"), F.col("name"))
-    calls = rows.groupBy(
-        "chat_id", F.col("e.key.message_id").alias("message_id"), F.col("e.key.tool_id").alias("__id")
-    ).agg(
-        F.min(at).alias("created_seq"),
-        F.min_by("ts", at).alias("created_at"),
-        F.coalesce(F.min_by(named, at), F.lit(UNKNOWN_TOOL)).alias("name"),
-        F.coalesce(F.max_by("content", result), F.lit("")).alias("content"),
-        (~F.bool_or("e.closed")).alias("in_progress"),
-        F.max_by(error, F.when(error.isNotNull(), F.col("seq"))).alias("error"),
-    )
-    pieces = resolved.filter(_is("TOOL_CALL_ARGS", "TOOL_CALL_CHUNK")).select(
-        "chat_id", F.col("target_id").alias("message_id"), F.col("tool_id").alias("tool_call_id"), "seq", "delta"
+    origin = F.struct(named.alias("name"), F.col("ts").alias("ts"), F.col("seq").alias("seq"))
+    out = fold_ordered(
+        rows,
+        ["chat_id", "message_id", "tool_call_id"],
+        "seq",
+        first={"o": (origin, at)},
+        last={
+            "result": (F.col("content"), F.when(touch & _is("TOOL_CALL_RESULT"), F.col("seq"))),
+            "error": (error, F.when(error.isNotNull(), F.col("seq"))),
+        },
+        any_of={"closed": F.col("e.closed")},
+        texts={"arguments": F.when(touch & _is("TOOL_CALL_ARGS", "TOOL_CALL_CHUNK"), F.col("delta"))},
+    ).filter(F.col("o").isNotNull())
+    return out.select(
+        "chat_id",
+        "message_id",
+        "tool_call_id",
+        F.coalesce("o.name", F.lit(UNKNOWN_TOOL)).alias("name"),
+        "arguments",
+        F.coalesce("result", F.lit("")).alias("content"),
+        (~F.col("closed")).alias("in_progress"),
+        "error",
+        F.col("o.ts").alias("created_at"),
+        F.col("o.seq").alias("created_seq"),
     )
-    texts = concat_deltas(pieces, keys, "seq", "delta", "arguments")
-    calls = calls.filter(F.col("created_seq").isNotNull()).withColumnRenamed("__id", "tool_call_id")
-    return attach(calls, texts, keys, ["arguments"]).select(
-        *keys, "name", F.coalesce("arguments", F.lit("")).alias("arguments"), "content", "in_progress", "error",
-        "created_at", "created_seq",
-    )
 
 
 def assemble_reasonings(resolved: DataFrame) -> DataFrame:
     """Reasoning blocks from resolved events, numbered by the event that opens them."""
     here = F.struct(F.col("target_id").alias("message_id"), F.col("block").alias("block"))
     used = F.col("block").isNotNull()
-    touch = F.when(
-        used,
-        F.struct(here.alias("key"), F.lit(True).alias("touch"), _is("THINKING_TEXT_MESSAGE_END").alias("closed")),
-    )
-    close = F.when(
-        F.col("open_block").isNotNull() & _is("THINKING_END", *RUN_ENDS),
-        F.struct(F.col("open_block").alias("key"), F.lit(False).alias("touch"), F.lit(True).alias("closed")),
-    )
-    rows = resolved.filter(used | _is("THINKING_END", *RUN_ENDS)).withColumn("e", _effects(touch, close))
-    keys = ["chat_id", "message_id", "block"]
-    at = F.when(F.col("e.touch"), F.col("seq"))
-    error = F.when(~F.col("e.touch"), _error())
-    blocks = rows.groupBy(
-        "chat_id", F.col("e.key.message_id").alias("message_id"), F.col("e.key.block").alias("__block_seq")
-    ).agg(
-        F.min_by("ts", at).alias("created_at"),
-        F.coalesce(F.min_by("title", at), F.lit("")).alias("name"),
-        (~F.bool_or("e.closed")).alias("in_progress"),
-        F.max_by(error, F.when(error.isNotNull(), F.col("seq"))).alias("error"),
-    )
+    ends = _is("THINKING_END", *RUN_ENDS)
+    rows = _touched_and_closed(
+        resolved.filter(used | ends), here, used, _is("THINKING_TEXT_MESSAGE_END"), F.col("open_block"), ends
+    ).select(
+        "chat_id", "seq", "ts", "type", "title", "delta", "delta_list", "error_code", "error_message", "e",
+        F.col("e.key.message_id").alias("message_id"), F.col("e.key.block").alias("block"),
+    )
+    touch = F.col("e.touch")
+    at, error = F.when(touch, F.col("seq")), F.when(~touch, _error())
     quoted = F.transform("delta_list", lambda x: F.regexp_extract(F.to_json(F.array(x)), r"(?s)^\[(.*)\]$", 1))
     listed = F.concat(F.lit("\n["), F.array_join(quoted, ", "), F.lit("]"))
-    pieces = resolved.filter(_is("THINKING_TEXT_MESSAGE_CONTENT")).select(
-        "chat_id", F.col("target_id").alias("message_id"), "block", "seq", F.coalesce("delta", listed).alias("piece")
+    piece = F.when(touch & _is("THINKING_TEXT_MESSAGE_CONTENT"), F.coalesce("delta", listed))
+    out = fold_ordered(
+        rows,
+        ["chat_id", "message_id", "block"],
+        "seq",
+        first={"o": (F.struct(F.col("title").alias("title"), F.col("ts").alias("ts")), at)},
+        last={"error": (error, F.when(error.isNotNull(), F.col("seq")))},
+        any_of={"closed": F.col("e.closed")},
+        texts={"content": piece},
+    ).filter(F.col("o").isNotNull())
+    return out.select(
+        "chat_id",
+        "message_id",
+        "block",
+        F.coalesce("o.title", F.lit("")).alias("name"),
+        "content",
+        (~F.col("closed")).alias("in_progress"),
+        "error",
+        F.col("o.ts").alias("created_at"),
     )
-    texts = concat_deltas(pieces, keys, "seq", "piece", "content")
-    return attach(blocks.withColumnRenamed("__block_seq", "block"), texts, keys, ["content"]).select(
-        *keys, "name", F.coalesce("content", F.lit("")).alias("content"), "in_progress", "error", "created_at",
-    )
 
 
 def fold_messages(events: DataFrame, agent: str = "agent") -> DataFrame:
@@ -330,8 +359,15 @@ def unclosed_chats(messages: DataFrame) -> DataFrame:
 
 
 def active_id(events: DataFrame, keys: Sequence[str], seq: str, id_col: str, out: str = "active_id") -> DataFrame:
-    """Last known id at each row: rows without one belong to the id before them."""
-    return carry_forward(events, keys, seq, {out: id_col})
+    """Last known id at each row: rows without one belong to the id before them.
+
+    Keys with more rows than a block go through a blocked scan, the others through a window.
+    """
+    hot = hot_keys(events, keys)
+    if hot is None:
+        return carry_within(events, keys, seq, {out: id_col})
+    small = carry_within(events.join(hot, list(keys), "left_anti"), keys, seq, {out: id_col})
+    return small.unionByName(carry_forward(events.join(hot, list(keys), "left_semi"), keys, seq, {out: id_col}))
 
 
 def dedup_messages(incoming: DataFrame, stored: DataFrame | None = None, keys: Sequence[str] = ("chat_id", "message_id")) -> DataFrame:

@@ -18,6 +18,7 @@ from larder.functions.scalars import round_to
 from larder.operators.aggregates import rate
 from larder.operators.scan import attach, running_totals
 from larder.operators.windows import share
+from larder.session import materialise
 
 DIGITS = 9
 BIG = "decimal(38,0)"
@@ -31,7 +32,7 @@ def _score_counts(df: DataFrame, y: str, p: str, by: Sequence[str]) -> DataFrame
 
 def _ranked(df: DataFrame, y: str, p: str, by: Sequence[str]) -> DataFrame:
     """Distinct scores with their counts, the counts below them, and the totals of the group."""
-    counts = _score_counts(df, y, p, by)
+    counts = materialise(_score_counts(df, y, p, by))
     totals = counts.groupBy(*by).agg(F.sum("__pos").alias("__positives"), F.sum("__all").alias("__total"))
     below = running_totals(counts, by, "__score", {"__pos_below": "__pos", "__all_below": "__all"})
     return attach(below, totals, list(by), ["__positives", "__total"])

@@ -22,6 +22,7 @@ from larder.operators.ordering import top_per
 
 FOUND = "query_id bigint, section_id bigint, similarity double"
 MAX_QUERIES = 512
+RANK_SCALE = 1e9  # scores that agree to nine digits are ties, whatever the order of their sums
 MATRIX_BYTES = 256 * 1024 * 1024
 SPACE = re.compile(r"[ \t\n\r\f\v]+")
 
@@ -46,7 +47,7 @@ def _task_best(batches, score, query_ids: np.ndarray, k: int):
     for pdf in batches:
         if not len(pdf):
             continue
-        fresh = score(pdf)
+        fresh = np.floor(score(pdf) * RANK_SCALE + 0.5) / RANK_SCALE
         ids = np.hstack([ids, np.broadcast_to(pdf["id"].to_numpy(), fresh.shape)])
         best = np.hstack([best, fresh])
         keep = np.lexsort((ids, -best), axis=1)[:, :k]

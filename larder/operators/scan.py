@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from larder.session import materialise
+
 BLOCK_ROWS = 65_536
 SPLITS = 256
 
@@ -27,6 +29,33 @@ def attach(df: DataFrame, side: DataFrame, keys: Sequence[str], cols: Sequence[s
     return df.join(side, condition, "left").drop(*[f"__k_{k}" for k in keys])
 
 
+def hot_keys(df: DataFrame, keys: Sequence[str], rows: int = BLOCK_ROWS) -> DataFrame | None:
+    """Keys with more than ``rows`` rows, or None where there are none. One counting job."""
+    hot = df.groupBy(*keys).count().filter(F.col("count") > rows).select(*keys)
+    return None if hot.isEmpty() else hot
+
+
+def carry_within(
+    df: DataFrame,
+    keys: Sequence[str],
+    seq: str,
+    upto: Mapping[str, Column | str] | None = None,
+    before: Mapping[str, Column | str] | None = None,
+) -> DataFrame:
+    """``carry_forward`` for keys known to have few rows: windows only, no join."""
+    order = Window.partitionBy(*keys).orderBy(seq)
+
+    def last(c, end: int) -> Column:
+        return F.last(c, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, end))
+
+    return df.withColumns(
+        {
+            **{n: last(c, 0) for n, c in (upto or {}).items()},
+            **{n: last(c, -1) for n, c in (before or {}).items()},
+        }
+    )
+
+
 def carry_forward(
     df: DataFrame,
     keys: Sequence[str],
@@ -39,8 +68,10 @@ def carry_forward(
     this one (``upto``), or of the earlier rows only (``before``).
 
     ``seq`` is a whole number and numbers the rows of a key without large gaps, so
-    ``seq div block_rows`` bounds the rows of a block.
+    ``seq div block_rows`` bounds the rows of a block. The rows are used twice, so they are materialised
+    first.
     """
+    df = materialise(df)
     keys = list(keys)
     upto, before = dict(upto or {}), dict(before or {})
     values = {n: (F.col(c) if isinstance(c, str) else c) for n, c in {**upto, **before}.items()}
@@ -84,6 +115,7 @@ def running_totals(
     smallest hashes), so they stay even whatever the distribution, and every evaluation of the plan,
     retries included, cuts at the same places.
     """
+    df = materialise(df)  # it is read three times below
     by = list(by)
     hashed = df.select(*by, F.col(order).alias("__s"), F.xxhash64(order).alias("__h"))
     if by:
@@ -119,8 +151,8 @@ def exact_percentiles(
     the running counts. ``scale`` rounds the interpolated result.
     """
     by = list(by)
-    counts = df.filter(F.col(col).isNotNull()).groupBy(*by, F.col(col).alias("__x")).agg(
-        F.count(F.lit(1)).alias("__n")
+    counts = materialise(
+        df.filter(F.col(col).isNotNull()).groupBy(*by, F.col(col).alias("__x")).agg(F.count(F.lit(1)).alias("__n"))
     )
     ranked = running_totals(counts, by, "__x", {"__before": "__n"})
     sizes = counts.groupBy(*by).agg(F.sum("__n").alias("__total"))

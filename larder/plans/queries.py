@@ -1036,7 +1036,7 @@ _CENTRES = """(SELECT label, i, avg(CAST(x AS DOUBLE)) AS x FROM (SELECT label,
     SELECT CAST(q.label AS BIGINT) AS query_id, s.vec_id AS section_id,
         list_cosine_similarity(q.v, CAST(s.embedding AS DOUBLE[])) AS similarity,
         CAST(row_number() OVER (PARTITION BY q.label
-            ORDER BY list_cosine_similarity(q.v, CAST(s.embedding AS DOUBLE[])) DESC, s.vec_id) AS INTEGER) AS rank
+            ORDER BY {rnd("list_cosine_similarity(q.v, CAST(s.embedding AS DOUBLE[]))", 9)} DESC, s.vec_id) AS INTEGER) AS rank
     FROM (SELECT label, list(x ORDER BY i) AS v FROM {_CENTRES} GROUP BY label) q CROSS JOIN embeddings s) WHERE rank <= 5""",
 )
 def _(spark, d):
@@ -1064,7 +1064,7 @@ def _(spark, d):
     s AS (SELECT item_id, doc_id, sum(x * tf) / any_value(qn.norm) / any_value(dn.norm) AS similarity
         FROM qw JOIN d USING (w) JOIN qn USING (item_id) JOIN dn USING (doc_id) GROUP BY ALL)
     SELECT item_id AS query_id, doc_id AS section_id, {rnd("similarity", 6)} AS similarity,
-        CAST(row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id) AS INTEGER) AS rank
+        CAST(row_number() OVER (PARTITION BY item_id ORDER BY {rnd("similarity", 9)} DESC, doc_id) AS INTEGER) AS rank
     FROM s WHERE similarity > 0 QUALIFY rank <= 3""",
 )
 def _(spark, d):

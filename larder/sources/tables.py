@@ -40,11 +40,12 @@ def qualified(*parts: str) -> str:
     return ".".join(quote(p) for p in parts)
 
 
-def read_table(spark: SparkSession, name: str, folder: str | None = None) -> DataFrame:
+def read_table(spark: SparkSession, name: str, folder: str | None = None, schema: str | None = None) -> DataFrame:
     """A catalog table or view by name, or the parquet file of that name in a folder."""
-    if folder is not None:
-        return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
-    return spark.table(name)
+    if folder is None:
+        return spark.table(name)
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(os.path.join(folder, f"{name}.parquet"))
 
 
 def ensure_schema(spark: SparkSession, name: str, use: bool = True) -> None:
