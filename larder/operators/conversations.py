@@ -78,9 +78,10 @@ def resolve_events(events: DataFrame, chat_rows: int = BLOCK_ROWS) -> DataFrame:
 
     ``target_id``: its message. ``active_id``: the message active before it. ``tool_id`` and
     ``active_tool`` (message, tool): the same for tool calls. ``block`` and ``open_block``: the
-    reasoning block it belongs to, and the one with content still open before it. ``step`` and
+    reasoning block of a thought, and the block still open at any other event. ``step`` and
     ``title``: what the run was in.
 
+    Runs of a chat follow each other, and the user's messages come before the run that answers them.
     Chats of up to ``chat_rows`` events are shuffled once and resolved in place; larger ones go
     through blocked scans, so that no task sorts one of them alone. A count tells them apart.
     """
@@ -158,7 +159,9 @@ def _resolve(events: DataFrame, ordered: type[_Within] | type[_Blocked]) -> Data
     latest = F.when(F.col("__first_seen") == F.col("seq"), point(F.col("__created"), role)).when(
         F.col("__chunk_first") & (F.col("seq") == F.col("__first_chunk")), point(chunk_id, F.lit(ASSISTANT))
     )
-    rows = ordered.carry(rows, ["chat_id"], "seq", before={"__latest": latest})
+    rows = ordered.carry(rows, ["chat_id"], "seq", before={"__last": latest})
+    at_start = F.when(F.col("seq") == F.col("__first_follow"), F.col("__last"))
+    rows = ordered.least(rows, SCOPE, {"__latest": at_start})
     rows = rows.withColumn("__since", F.coalesce("__latest.seq", F.lit(-1).cast("bigint")))
     waiting = F.col("__prefix") & ~F.col("__chunk_first")
     rows = ordered.least(
@@ -203,7 +206,7 @@ def _resolve(events: DataFrame, ordered: type[_Within] | type[_Blocked]) -> Data
     return rows.withColumns(
         {
             "block": F.when(_is(*THOUGHT), F.col("__block_at")),
-            "open_block": F.when(F.col("__open_content"), open_key),
+            "open_block": F.when(F.col("__open_content") & ~_is(*THOUGHT), open_key),
         }
     ).select(*events.columns, *RESOLVED)
 

@@ -63,7 +63,7 @@ def resolve_one(chat: str, state: dict, e: dict) -> dict:
             state["last"] = [id_, role, public]
 
     out = {"active_id": run.get("active"), "active_tool": run.get("tool"), "open_block": None}
-    if run.get("content_open"):
+    if run.get("content_open") and kind not in THOUGHT:
         out["open_block"] = {"message_id": run.get("thought_message"), "block": run.get("block")}
     if kind == "STEP_STARTED":
         run["step"] = e["name"]
