@@ -38,34 +38,61 @@ def _ranked(df: DataFrame, y: str, p: str, by: Sequence[str]) -> DataFrame:
     return attach(below, totals, list(by), ["__positives", "__total"])
 
 
-def roc_auc(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
-    """Area under the ROC curve by rank sums; tied scores count half. NULL with one class only."""
-    ranked = _ranked(df, y, p, by)
+def _roc() -> Column:
     neg = F.col("__all") - F.col("__pos")
     neg_below = F.col("__all_below") - F.col("__pos_below")
     wins = F.sum(F.col("__pos").cast("decimal(18,0)") * (2 * neg_below + neg).cast("decimal(20,0)"))
     p_total, n_total = F.max("__positives"), F.max("__total")
     pairs = 2.0 * p_total.cast("double") * (n_total - p_total).cast("double")
-    area = F.when(pairs > 0, wins.cast("double") / pairs)
-    return ranked.groupBy(*by).agg(round_to(area, DIGITS).alias("roc_auc"))
+    return round_to(F.when(pairs > 0, wins.cast("double") / pairs), DIGITS)
 
 
-def pr_auc(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
-    """Average precision: precision at each distinct score, weighted by the positives found there."""
-    ranked = _ranked(df, y, p, by)
+def _pr() -> Column:
     pos_from = (F.col("__positives") - F.col("__pos_below")).cast("double")
     all_from = (F.col("__total") - F.col("__all_below")).cast("double")
     term = (F.col("__pos").cast("double") * pos_from / all_from).cast("decimal(38,15)")
     total = F.max("__positives").cast("double")
-    area = F.when(total > 0, F.sum(term).cast("double") / total)
-    return ranked.groupBy(*by).agg(round_to(area, DIGITS).alias("pr_auc"))
+    return round_to(F.when(total > 0, F.sum(term).cast("double") / total), DIGITS)
+
+
+def _loss(score: Column, eps: float) -> tuple[Column, Column]:
+    """Loss of a positive and of a negative with this score, clipped."""
+    q = F.least(F.lit(1.0 - eps), F.greatest(F.lit(eps), score))
+    return -F.log(q), -F.log(1.0 - q)
+
+
+def roc_auc(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
+    """Area under the ROC curve by rank sums; tied scores count half. NULL with one class only."""
+    return _ranked(df, y, p, by).groupBy(*by).agg(_roc().alias("roc_auc"))
+
+
+def pr_auc(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
+    """Average precision: precision at each distinct score, weighted by the positives found there."""
+    return _ranked(df, y, p, by).groupBy(*by).agg(_pr().alias("pr_auc"))
+
+
+def all_measures(df: DataFrame, y: str, p: str, by: Sequence[str] = (), eps: float = 1e-15) -> DataFrame:
+    """Rows, positives, log loss and both areas per group, from one pass over the rows."""
+    if_pos, if_neg = _loss(F.col("__score"), eps)
+    neg = F.col("__all") - F.col("__pos")
+
+    def total(count: Column, loss: Column) -> Column:
+        return F.sum((count.cast("decimal(18,0)") * loss.cast("decimal(18,12)")).cast("decimal(38,12)"))
+
+    loss = (total(F.col("__pos"), if_pos) + total(neg, if_neg)).cast("double") / F.max("__total").cast("double")
+    return _ranked(df, y, p, by).groupBy(*by).agg(
+        F.max("__total").alias("rows"),
+        F.max("__positives").alias("positives"),
+        round_to(loss, DIGITS).alias("log_loss"),
+        _roc().alias("roc_auc"),
+        _pr().alias("pr_auc"),
+    )
 
 
 def log_loss_of(y: Column | str, p: Column | str, eps: float = 1e-15) -> Column:
     y = (F.col(y) if isinstance(y, str) else y).cast("double")
-    p = (F.col(p) if isinstance(p, str) else p).cast("double")
-    q = F.least(F.lit(1.0 - eps), F.greatest(F.lit(eps), p))
-    loss = -(y * F.log(q) + (1.0 - y) * F.log(1.0 - q))
+    if_pos, if_neg = _loss((F.col(p) if isinstance(p, str) else p).cast("double"), eps)
+    loss = y * if_pos + (1.0 - y) * if_neg
     return round_to(F.sum(loss.cast("decimal(28,12)")).cast("double") / F.count(loss).cast("double"), DIGITS)
 
 
@@ -118,13 +145,7 @@ def backtest(
 ) -> DataFrame:
     """All measures per chronological fold; the last fold is the holdout."""
     folds = df.withColumn("fold", fold_of(day, cuts, gap_days)).filter(F.col("fold").isNotNull())
-    by = ["fold"]
-    base = folds.groupBy("fold").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.sum(F.col(y).cast("bigint")).alias("positives"),
-        log_loss_of(y, p).alias("log_loss"),
-    )
-    return base.join(roc_auc(folds, y, p, by), "fold").join(pr_auc(folds, y, p, by), "fold")
+    return all_measures(folds, y, p, ["fold"])
 
 
 def monthly_prevalence(train: DataFrame, y: str = "shortage_within_30d", day: str = "snapshot_date") -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from larder.functions.scalars import round_to
 from larder.operators.scan import attach, exact_percentiles
@@ -157,3 +158,36 @@ def load_report(requests: DataFrame, duration: str = "duration_s", ttft: str | N
         line = latency_summary(part, col).select(F.lit(label).alias("metric"), "*")
         report = line if report is None else report.unionByName(line)
     return report
+
+
+def user_sessions(events: DataFrame, gap_seconds: int, user: str = "user_id", ts: str = "ts") -> DataFrame:
+    """Runs of a user's events without a pause longer than the gap.
+
+    Events of one time slot as long as the gap are in one session anyway, so they are combined before
+    the shuffle; the window then sees one row per user and slot, which the calendar bounds.
+    """
+    micros = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', cast({ts} as timestamp_ntz))")
+    slots = (
+        events.groupBy(user, F.floor(micros / F.lit(gap_seconds * 1_000_000)).alias("__slot"))
+        .agg(
+            F.min(ts).alias("first_event"),
+            F.max(ts).alias("last_event"),
+            F.min(micros).alias("__from"),
+            F.max(micros).alias("__to"),
+            F.count(F.lit(1)).alias("events"),
+        )
+    )
+    order = Window.partitionBy(user).orderBy("__slot")
+    pause = F.col("__from") - F.lag("__to").over(order)
+    fresh = F.when(pause <= gap_seconds * 1_000_000, 0).otherwise(1)
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    numbered = slots.withColumn("__fresh", fresh).withColumn("__session", F.sum("__fresh").over(so_far))
+    return (
+        numbered.groupBy(user, "__session")
+        .agg(
+            F.min("first_event").alias("first_event"),
+            F.max("last_event").alias("last_event"),
+            F.sum("events").alias("events"),
+        )
+        .drop("__session")
+    )

@@ -119,9 +119,9 @@ def retrieve_top_k(queries: DataFrame, sections: DataFrame, k: int, digits: int
                     q[row, column[w]] = (1.0 + math.log(count)) * math.log(n / frequency[w])
         norms = np.linalg.norm(q, axis=1, keepdims=True)
         q = np.divide(q, norms, out=np.zeros_like(q), where=norms > 0)
-        ids = block["id"].to_numpy()
+        by_word, ids = np.ascontiguousarray(q.T), block["id"].to_numpy()
 
-        def near(batches, q=q, ids=ids, column=column):
+        def near(batches, by_word=by_word, ids=ids, column=column):
             def score(pdf):
                 scores = np.zeros((len(ids), len(pdf)))
                 for j, text in enumerate(pdf["text"]):
@@ -130,7 +130,7 @@ def retrieve_top_k(queries: DataFrame, sections: DataFrame, k: int, digits: int
                     hits = [(column[w], 1.0 + math.log(c)) for w, c in tf.items() if w in column]
                     if hits:
                         at, weight = zip(*hits)
-                        scores[:, j] = q[:, list(at)] @ np.asarray(weight) / norm
+                        scores[:, j] = np.asarray(weight) @ by_word[list(at)] / norm
                 return scores
 
             yield from _task_best(batches, score, ids, k)

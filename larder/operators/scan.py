@@ -21,7 +21,12 @@ SPLITS = 256
 
 
 def attach(df: DataFrame, side: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Left join on keys where NULL equals NULL, adding ``cols`` of ``side``."""
+    """Left join on keys where NULL equals NULL, adding ``cols`` of ``side``.
+
+    Without keys, ``side`` has one row, and its values are read as scalar subqueries: no join at all.
+    """
+    if not keys:
+        return df.withColumns({c: side.select(c).scalar() for c in cols})
     side = side.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *cols)
     condition = F.lit(True)
     for k in keys:

@@ -27,6 +27,7 @@ from larder.operators import supply as sp
 from larder.operators import windows as wn
 from larder.plans import model as m
 from larder.plans.oracle_tables import rnd, with_tables
+from larder.session import materialise
 from larder.sources import tables as tb
 from larder.streaming import jobs as sj
 
@@ -117,14 +118,20 @@ def _(spark, d):
 
 @query("prediction_view", "SELECT * FROM pred")
 def _(spark, d):
-    scoring = _scoring(spark, d)
+    scoring = materialise(_scoring(spark, d))
     raw = m.raw_predictions(scoring, "current_days_of_supply")
     rk.prediction_view(scoring, raw, m.RAW_PREDICTION, "shortage_risk_predictions")
     return spark.table("shortage_risk_predictions")
 
 
-def _scoring(spark, d):
-    return ft.scoring_set(m.inventory(spark, d), m.items(spark), m.locations(spark, d), m.suppliers(spark, d), AS_OF)
+def _stock(spark, d):
+    """The inventory as a table of its own, for queries that read it more than once."""
+    return materialise(m.inventory(spark, d))
+
+
+def _scoring(spark, d, stock=None):
+    stock = m.inventory(spark, d) if stock is None else stock
+    return ft.scoring_set(stock, m.items(spark), m.locations(spark, d), m.suppliers(spark, d), AS_OF)
 
 
 def _training(spark, d):
@@ -133,8 +140,8 @@ def _training(spark, d):
     )
 
 
-def _predictions(spark, d):
-    scoring = _scoring(spark, d)
+def _predictions(spark, d, stock=None):
+    scoring = materialise(_scoring(spark, d, stock))  # the stand-in predictions are made from it too
     return rk.prediction_view(scoring, m.raw_predictions(scoring, "current_days_of_supply"), m.RAW_PREDICTION)
 
 
@@ -893,8 +900,9 @@ def _(spark, d):
     ON f.location_id = p.location_id AND f.item_id = p.item_id""",
 )
 def _(spark, d):
-    features = ft.rolling_features(m.inventory(spark, d), first=AS_OF, last=AS_OF)
-    return sp.explain(m.position(spark, d), m.supplier_events(spark, d), features, AS_OF)
+    stock = _stock(spark, d)
+    features = ft.rolling_features(stock, first=AS_OF, last=AS_OF)
+    return sp.explain(m.position(spark, d, stock), m.supplier_events(spark, d), features, AS_OF)
 
 
 @query(
@@ -973,7 +981,8 @@ _FIRED = {
     FROM posx LEFT JOIN (SELECT location_id, item_id, shortage_probability_30d FROM pred) p USING (location_id, item_id)""",
 )
 def _(spark, d):
-    return es.escalation(m.position(spark, d), _predictions(spark, d), m.supplier_events(spark, d), AS_OF)
+    stock = _stock(spark, d)
+    return es.escalation(m.position(spark, d, stock), _predictions(spark, d, stock), m.supplier_events(spark, d), AS_OF)
 
 
 @query(
@@ -991,8 +1000,9 @@ def _(spark, d):
         ON dn.item_id = r.item_id AND dn.donor_risk < r.own_risk) WHERE rank <= 3""",
 )
 def _(spark, d):
-    held = jn.enrich(m.position(spark, d), m.locations(spark, d), "location_id", ["cold_storage_flag"])
-    return es.transfer_candidates(held, _predictions(spark, d), 3)
+    stock = _stock(spark, d)
+    held = jn.enrich(m.position(spark, d, stock), m.locations(spark, d), "location_id", ["cold_storage_flag"])
+    return es.transfer_candidates(held, _predictions(spark, d, stock), 3)
 
 
 @query(
@@ -1078,7 +1088,7 @@ def _(spark, d):
 
 @query("serve", "SELECT snapshot_date, location_id, item_id, preferred_supplier_id, shortage_probability_30d FROM pred")
 def _(spark, d):
-    scoring = _scoring(spark, d)
+    scoring = materialise(_scoring(spark, d))
     return rk.serve(m.raw_predictions(scoring, "current_days_of_supply"), scoring, m.RAW_PREDICTION)
 
 
@@ -1218,7 +1228,7 @@ def _mean6(c: str) -> str:
         FROM (SELECT DISTINCT snapshot_date FROM trn)) USING (snapshot_date) GROUP BY part""",
 )
 def _(spark, d):
-    return mq.window_compare(_training(spark, d), _COMPARED)
+    return mq.window_compare(materialise(_training(spark, d)), _COMPARED)
 
 
 @query(
@@ -1246,7 +1256,7 @@ _PSI_LONG = " UNION ALL ".join(
         GROUP BY ALL)) GROUP BY feature""",
 )
 def _(spark, d):
-    rows = _training(spark, d)
+    rows = materialise(_training(spark, d))
     cut = F.lit(FOLD_CUTS[1])
     return mq.psi(rows.filter(F.col("snapshot_date") < cut), rows.filter(F.col("snapshot_date") >= cut), _PSI_COLS)
 
@@ -1267,8 +1277,6 @@ def _(spark, d):
 
 @query("train_and_score")
 def _(spark, d):
-    from larder.session import materialise
-
     rows = materialise(_training(spark, d))
     model = rk.train(rows, FOLD_CUTS[2], trees=5)
     return rk.score(model, _scoring(spark, d))

@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 
 from larder.functions.scalars import round_to
 from larder.operators.features import PANEL, PanelSpec, rolling_features
+from larder.operators.requests import user_sessions
+
+
+def _seconds(text: str) -> int:
+    """``"30 minutes"`` → 1800."""
+    number, unit = text.split()
+    return int(dt.timedelta(**{unit.rstrip("s") + "s": int(number)}).total_seconds())
 
 
 def stream_dedup(
@@ -52,9 +59,11 @@ def stream_sessions(
     events: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes", user: str = "user_id", ts: str = "ts"
 ) -> DataFrame:
     """Runs of a user's events without a longer pause."""
-    rows = events.withWatermark(ts, delay) if events.isStreaming else events
+    if not events.isStreaming:
+        return user_sessions(events, _seconds(gap), user, ts)
     return (
-        rows.groupBy(user, F.session_window(ts, gap).alias("s"))
+        events.withWatermark(ts, delay)
+        .groupBy(user, F.session_window(ts, gap).alias("s"))
         .agg(F.count(F.lit(1)).alias("events"), F.min(ts).alias("first_event"), F.max(ts).alias("last_event"))
         .select(user, "first_event", "last_event", "events")
     )
@@ -126,11 +135,10 @@ def stream_messages(events: DataFrame, idle: str = "30 minutes", delay: str = "1
     """
     from larder.streaming.stateful import CHAT_STATE, RESOLVED_SCHEMA, make_resolver
 
-    seconds = int(dt.timedelta(**{idle.split()[1].rstrip("s") + "s": int(idle.split()[0])}).total_seconds())
     return (
         events.withWatermark("ts", delay)
         .groupBy("chat_id")
         .applyInPandasWithState(
-            make_resolver(seconds), RESOLVED_SCHEMA, CHAT_STATE, "append", "EventTimeTimeout"
+            make_resolver(_seconds(idle)), RESOLVED_SCHEMA, CHAT_STATE, "append", "EventTimeTimeout"
         )
     )

@@ -66,7 +66,7 @@ def main(names, folder):
     import __spark_entry__ as entry
     from larder.session import build_session
 
-    spark = build_session("compare", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
+    spark = build_session("compare", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
     oracle = entry.oracle_sql()
