@@ -15,7 +15,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from larder.plans.queries import QUERIES  # noqa: E402
+from larder.plans.catalog import QUERIES  # noqa: E402
 from larder.session import build_session  # noqa: E402
 
 HEADLINE = (

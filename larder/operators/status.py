@@ -147,3 +147,15 @@ def shipment_status(shipments: DataFrame, as_of, mode: str = "as_known") -> Data
             "actual_delivery_date": F.when(arrived, actual),
         }
     )
+
+
+def status_changes(panel: DataFrame, keys: Sequence[str], day: str, below: Column) -> DataFrame:
+    """Days on which a position crosses its minimum, either way. The first day is compared with nothing
+    and counts only when it is below. The batch form of the alert stream."""
+    before = F.lag(F.col("__below")).over(Window.partitionBy(*keys).orderBy(day))
+    rows = panel.withColumn("__below", below).withColumn("__before", F.coalesce(before, F.lit(False)))
+    return (
+        rows.filter(F.col("__below") != F.col("__before"))
+        .withColumn("alert", F.when(F.col("__below"), "BELOW_MINIMUM").otherwise("RECOVERED"))
+        .drop("__below", "__before")
+    )

@@ -1,11 +1,9 @@
-"""Every registered query with its SQL. A query gets a session and a folder of parquet tables."""
+"""Registered queries over the readiness tables, each with its SQL."""
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from larder.functions import scalars as sc
@@ -26,15 +24,12 @@ from larder.operators import status as st
 from larder.operators import supply as sp
 from larder.operators import windows as wn
 from larder.plans import model as m
-from larder.plans.oracle_tables import rnd, with_tables
+from larder.plans.oracle_tables import rnd
+from larder.plans.registry import query
 from larder.session import materialise
 from larder.sources import tables as tb
 from larder.streaming import jobs as sj
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
 AS_OF, START = m.AS_OF, m.START
 _AS_OF, _START = f"DATE '{m.AS_OF}'", f"DATE '{m.START}'"
 KEYS = m.LEDGER_KEYS
@@ -45,23 +40,6 @@ TABLE_NAMES = (
 FOLD_CUTS = [dt.date(2000, 6, 1), dt.date(2000, 10, 1), dt.date(2001, 2, 1)]
 
 
-def query(name: str, sql: str | None = None):
-    def register(fn: Query) -> Query:
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = with_tables(sql)
-        return fn
-
-    return register
-
-
-def doubles(df: DataFrame) -> DataFrame:
-    """Decimals as doubles, the way a report shows them."""
-    return df.select(
-        *[F.col(f.name).cast("double").alias(f.name) if f.dataType.typeName() == "decimal" else F.col(f.name) for f in df.schema]
-    )
-
-
 def _short() -> Column:
     return F.col("days_of_supply") < F.col("minimum_days_supply")
 
