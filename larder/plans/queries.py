@@ -504,6 +504,26 @@ def _(spark, d):
     return cv.active_id(e, ["user_id"], "event_id", "own").drop("own")
 
 
+@query(
+    "part_demand",
+    f"""SELECT l_partkey, day, units, CAST(sum(units) OVER w30 AS DOUBLE) / count(*) OVER w30 AS avg_units_30d,
+    min(units) OVER w30 AS min_units_30d, coalesce(max(CASE WHEN units >= 50 THEN 1 ELSE 0 END) OVER n30, 0) AS large_within_30d
+    FROM (SELECT l_partkey, CAST(l_shipdate AS DATE) AS day, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS units
+        FROM lineitem GROUP BY ALL)
+    WINDOW w30 AS (PARTITION BY l_partkey ORDER BY day RANGE BETWEEN INTERVAL 29 DAY PRECEDING AND CURRENT ROW),
+    n30 AS (PARTITION BY l_partkey ORDER BY day RANGE BETWEEN INTERVAL 1 DAY FOLLOWING AND INTERVAL 30 DAY FOLLOWING)""",
+)
+def _(spark, d):
+    """Trailing and forward windows at part level, over days with demand only: as many rows as the lines make."""
+    daily = m.table(spark, d, "lineitem").groupBy("l_partkey", F.to_date("l_shipdate").alias("day")).agg(
+        F.sum(F.col("l_quantity").cast("bigint")).alias("units")
+    )
+    out = wn.trailing_avg(daily, ["l_partkey"], "day", "units", 30, "avg_units_30d", 0)
+    out = wn.trailing_min(out, ["l_partkey"], "day", "units", 30, "min_units_30d")
+    out = wn.future_flag(out, ["l_partkey"], "day", F.col("units") >= 50, 30, "large_within_30d")
+    return out.fillna({"large_within_30d": 0})
+
+
 _TOP = "ORDER BY shortage_probability_30d DESC, location_id, item_id"
 
 

@@ -13,12 +13,14 @@ RESULT_SCHEMA = (
 )
 ROW_CAP = 50
 
-# JSON names of the event fields.
+# Event fields and their JSON names.
 _FIELDS = {
     "type": "type", "message_id": "messageId", "parent_message_id": "parentMessageId",
     "tool_call_id": "toolCallId", "role": "role", "delta": "delta", "content": "content",
     "error_code": "code", "error_message": "message",
 }
+_NAMES = ("toolCallName", "title", "stepName", "name")
+_EVENT = ", ".join(f"{n} string" for n in (*_FIELDS.values(), *_NAMES)) + ", timestamp bigint"
 
 
 def explode_event_envelopes(df: DataFrame, body: str = "body", base_seq: str = "base_seq") -> DataFrame:
@@ -28,25 +30,20 @@ def explode_event_envelopes(df: DataFrame, body: str = "body", base_seq: str = "
     fields. ``base_seq`` numbers the envelopes of a chat so that events keep their order:
     event number = base_seq + position.
     """
-    events = F.from_json(F.get_json_object(body, "$.events"), "array<string>")
     rows = df.select(
         *[c for c in df.columns if c not in (body, base_seq)],
         F.col(base_seq).alias("__base"),
-        F.posexplode(events).alias("__pos", "__event"),
-    )
-
-    def field(name):
-        return F.get_json_object("__event", f"$.{name}")
-
-    name = F.coalesce(field("toolCallName"), field("title"), field("stepName"), field("name"))
-    listed = F.when(field("delta").rlike(r"^\s*\["), F.from_json(field("delta"), "array<string>"))
+        F.posexplode(F.from_json(body, "events array<string>")["events"]).alias("__pos", "__text"),
+    ).withColumn("__e", F.from_json("__text", _EVENT))
+    delta = F.col("__e.delta")
+    listed = F.when(F.col("__text").rlike(r'"delta"\s*:\s*\['), F.from_json(delta, "array<string>"))
     out = rows.withColumns(
         {
-            **{c: field(n) for c, n in _FIELDS.items()},
-            "name": name,
-            "delta_list": F.when(F.col("__event").rlike(r'"delta"\s*:\s*\['), listed),
+            **{c: F.col(f"__e.{n}") for c, n in _FIELDS.items()},
+            "name": F.coalesce(*[F.col(f"__e.{n}") for n in _NAMES]),
+            "delta_list": listed,
             "seq": F.col("__base") + F.col("__pos"),
-            "ts": F.timestamp_millis(field("timestamp").try_cast("bigint")),
+            "ts": F.timestamp_millis("__e.timestamp"),
         }
     ).withColumn("delta", F.when(F.col("delta_list").isNull(), F.col("delta")))
     kept = out.filter(F.col("type").isNotNull() & ~F.col("type").isin("RUN_STARTED", "RUN_FINISHED"))

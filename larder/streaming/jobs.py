@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.functions.scalars import round_to
@@ -13,6 +13,17 @@ from larder.operators.features import PANEL, PanelSpec, rolling_features
 from larder.operators.requests import user_sessions
 
 
+def read_events(spark: SparkSession, path: str, schema: str, files_per_batch: int = 200) -> DataFrame:
+    """A file stream with a bound on each micro-batch. The jobs with state of their own sort the rows of
+    a key inside a micro-batch, so the bound also holds for a key that has most of the rows."""
+    return (
+        spark.readStream.schema(schema)
+        .option("maxFilesPerTrigger", files_per_batch)
+        .option("recursiveFileLookup", "true")
+        .parquet(path)
+    )
+
+
 def _seconds(text: str) -> int:
     """``"30 minutes"`` → 1800."""
     number, unit = text.split()

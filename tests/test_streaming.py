@@ -20,7 +20,7 @@ def stream_of(spark, batches, path):
     """A file stream that delivers each batch as one micro-batch."""
     for i, df in enumerate(batches):
         df.coalesce(1).write.mode("append").parquet(f"{path}/{i:03}")
-    return spark.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(path))
+    return sj.read_events(spark, str(path), batches[0].schema, 1)
 
 
 def run(spark, df, name, path):
