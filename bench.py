@@ -1,6 +1,6 @@
 """Time the headline queries and print one JSON line.
 
-Environment: BENCH_SF_DIR (tables), BENCH_CPUS (cores), BENCH_RUNS (timed runs after one warm-up run),
+Environment: BENCH_SF_DIR (tables), BENCH_CPUS (cores), BENCH_RUNS (timed runs after one warm-up of all queries),
 BENCH_QUERIES (comma-separated names). A query's figure is the median of its timed runs, from building
 the DataFrame to the last row.
 """
@@ -46,10 +46,9 @@ def main() -> None:
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - started
 
-    seconds = {}
     for name in names:
         once(name)
-        seconds[name] = round(statistics.median(once(name) for _ in range(runs)), 3)
+    seconds = {n: round(statistics.median(once(n) for _ in range(runs)), 3) for n in names}
     spark.stop()
     print(
         json.dumps(

@@ -14,8 +14,12 @@ def _col(c: Column | str) -> Column:
 
 
 def padded_id(prefix: str, number: Column | str, width: int) -> Column:
-    """``CUST-00042``: a literal prefix and a zero-padded whole number."""
-    return F.format_string(f"{prefix}-%0{width}d", _col(number).cast("bigint"))
+    """``CUST-00042``: a literal prefix and a zero-padded whole number; longer numbers keep all digits.
+
+    Padding stays in generated code; a format string would be parsed for every row.
+    """
+    digits = _col(number).cast("bigint").cast("string")
+    return F.concat(F.lit(f"{prefix}-"), F.lpad(digits, F.greatest(F.lit(width), F.length(digits)), F.lit("0")))
 
 
 def pick(values: Sequence, index: Column | str) -> Column:

@@ -34,7 +34,7 @@ def _ranked(df: DataFrame, y: str, p: str, by: Sequence[str]) -> DataFrame:
     """Distinct scores with their counts, the counts below them, and the totals of the group."""
     counts = materialise(_score_counts(df, y, p, by))
     totals = counts.groupBy(*by).agg(F.sum("__pos").alias("__positives"), F.sum("__all").alias("__total"))
-    below = running_totals(counts, by, "__score", {"__pos_below": "__pos", "__all_below": "__all"})
+    below = running_totals(counts, by, "__score", {"__pos_below": "__pos", "__all_below": "__all"}, stored=True)
     return attach(below, totals, list(by), ["__positives", "__total"])
 
 

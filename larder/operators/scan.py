@@ -18,6 +18,7 @@ from larder.session import materialise
 
 BLOCK_ROWS = 65_536
 SPLITS = 256
+TOTAL_ROWS = 1_000_000
 
 
 def attach(df: DataFrame, side: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -112,16 +113,34 @@ def running_totals(
     order: str,
     sums: Mapping[str, str],
     splits: int = SPLITS,
+    block_rows: int = TOTAL_ROWS,
+    stored: bool = False,
 ) -> DataFrame:
     """Total of each column over the rows of the group with a smaller ``order`` value.
 
     Rows are unique per group and ``order``: pre-aggregate first, so that a value shared by a third
-    of all rows is one row here. Blocks are cut at a fixed sample of the values (the ones with the
-    smallest hashes), so they stay even whatever the distribution, and every evaluation of the plan,
-    retries included, cuts at the same places.
+    of all rows is one row here. Up to ``block_rows`` rows in all are one window. More are cut into
+    blocks, and blocks into blocks, until a block is small enough whichever group it belongs to.
+
+    Blocks are cut at a fixed sample of the values (the ones with the smallest hashes), so they stay
+    even whatever the distribution, and every evaluation of the plan, retries included, cuts at the
+    same places. ``stored`` says that the caller has materialised the rows already.
     """
-    df = materialise(df)  # it is read three times below
-    by = list(by)
+    if not stored:  # the rows are counted here and read several times below
+        df = materialise(df)
+    levels, size = 0, df.count()
+    while size > block_rows:
+        levels, size = levels + 1, size / splits
+    return _totals(df, list(by), order, dict(sums), splits, levels)
+
+
+def _totals(
+    df: DataFrame, by: list[str], order: str, sums: dict[str, str], splits: int, levels: int
+) -> DataFrame:
+    if levels == 0:
+        earlier = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumns({n: F.coalesce(F.sum(c).over(earlier), F.lit(0)) for n, c in sums.items()})
+    block = f"__block{levels}"
     hashed = df.select(*by, F.col(order).alias("__s"), F.xxhash64(order).alias("__h"))
     if by:
         rank = F.row_number().over(Window.partitionBy(*by).orderBy("__h", "__s"))
@@ -129,26 +148,26 @@ def running_totals(
     else:
         sample = hashed.orderBy("__h", "__s").limit(splits)
     cuts = sample.groupBy(*by).agg(F.sort_array(F.collect_list("__s")).alias("__cuts"))
-    blocked = attach(df, cuts, by, ["__cuts"]).withColumn(
-        "__block", F.size(F.filter("__cuts", lambda cut: cut <= F.col(order)))
-    ).drop("__cuts")
-    totals = blocked.groupBy(*by, "__block").agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
-    before = Window.partitionBy(*by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(
-        *by, "__block", *[F.sum(f"__t_{n}").over(before).alias(f"__c_{n}") for n in sums]
-    )
-    inside = Window.partitionBy(*by, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = attach(blocked, carried, [*by, "__block"], [f"__c_{n}" for n in sums]).withColumns(
-        {
-            n: F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.coalesce(F.col(f"__c_{n}"), F.lit(0))
-            for n, c in sums.items()
-        }
-    )
-    return out.drop("__block", *[f"__c_{n}" for n in sums])
+    at = F.size(F.filter("__cuts", lambda cut: cut <= F.col(order)))
+    blocked = attach(df, cuts, by, ["__cuts"]).withColumn(block, at).drop("__cuts")
+    if levels > 1:
+        blocked = materialise(blocked)
+    totals = blocked.groupBy(*by, block).agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
+    earlier = Window.partitionBy(*by).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*by, block, *[F.sum(f"__t_{n}").over(earlier).alias(f"__c{levels}_{n}") for n in sums])
+    inside = _totals(blocked, [*by, block], order, sums, splits, levels - 1)
+    out = attach(inside, carried, [*by, block], [f"__c{levels}_{n}" for n in sums])
+    whole = {n: F.col(n) + F.coalesce(F.col(f"__c{levels}_{n}"), F.lit(0)) for n in sums}
+    return out.withColumns(whole).drop(block, *[f"__c{levels}_{n}" for n in sums])
 
 
 def exact_percentiles(
-    df: DataFrame, col: str, probs: Mapping[str, float], by: Sequence[str] = (), scale: int = 6
+    df: DataFrame,
+    col: str,
+    probs: Mapping[str, float],
+    by: Sequence[str] = (),
+    scale: int = 6,
+    block_rows: int = TOTAL_ROWS,
 ) -> DataFrame:
     """Linearly interpolated percentiles, exact, without holding a group in one task.
 
@@ -159,7 +178,7 @@ def exact_percentiles(
     counts = materialise(
         df.filter(F.col(col).isNotNull()).groupBy(*by, F.col(col).alias("__x")).agg(F.count(F.lit(1)).alias("__n"))
     )
-    ranked = running_totals(counts, by, "__x", {"__before": "__n"})
+    ranked = running_totals(counts, by, "__x", {"__before": "__n"}, block_rows=block_rows, stored=True)
     sizes = counts.groupBy(*by).agg(F.sum("__n").alias("__total"))
     ranked = attach(ranked, sizes, by, ["__total"])
     aggs = []

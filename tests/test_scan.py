@@ -35,14 +35,18 @@ def test_carry_forward_equals_a_loop(spark, block):
         assert [r.before for r in mine] == ffill([r.v for r in mine], False)
 
 
-@pytest.mark.parametrize("splits", [1, 4, 256])
-def test_running_totals(spark, splits):
+@pytest.mark.parametrize("splits, block_rows", [(4, 1_000_000), (4, 100), (4, 20), (256, 5), (3, 2)])
+def test_running_totals(spark, splits, block_rows):
+    """One window, one level of blocks, and blocks within blocks give the same totals."""
     rng = random.Random(splits)
-    rows = [(g, x, rng.randint(1, 5)) for g in (1, 2) for x in rng.sample(range(1000), 60)]
+    rows = [(g, x, rng.randint(1, 5)) for g in (1, 2, None) for x in rng.sample(range(1000), 60)]
     df = spark.createDataFrame(rows, "g int, x int, n int")
-    for r in scan.running_totals(df, ["g"], "x", {"below": "n"}, splits=splits).collect():
+    got = scan.running_totals(df, ["g"], "x", {"below": "n"}, splits, block_rows).collect()
+    assert len(got) == len(rows)
+    for r in got:
         assert r.below == sum(n for g, x, n in rows if g == r.g and x < r.x)
-    for r in scan.running_totals(df.groupBy("x").agg(F.sum("n").alias("n")), [], "x", {"below": "n"}, splits).collect():
+    whole = df.groupBy("x").agg(F.sum("n").alias("n"))
+    for r in scan.running_totals(whole, [], "x", {"below": "n"}, splits, block_rows).collect():
         assert r.below == sum(n for _, x, n in rows if x < r.x)
 
 
@@ -52,17 +56,18 @@ def test_running_totals_is_even_for_a_skewed_distribution(spark):
     cuts = df.orderBy(F.xxhash64("x"), "x").limit(64).agg(F.sort_array(F.collect_list("x"))).first()[0]
     counts = np.diff([0, *[round((c - 0.5) * 1e12) for c in cuts], 20_000])
     assert max(counts) < 3_000
-    got = scan.running_totals(df, [], "x", {"below": "n"}, 64)
+    got = scan.running_totals(df, [], "x", {"below": "n"}, 64, 1_000)
     assert got.agg(F.max("below")).first()[0] == 19_999
 
 
-def test_exact_percentiles_equal_linear_interpolation(spark):
+@pytest.mark.parametrize("block_rows", [1_000_000, 10])
+def test_exact_percentiles_equal_linear_interpolation(spark, block_rows):
     rng = random.Random(5)
     rows = [(g, float(rng.choice([1, 2, 2, 7, rng.random() * 50]))) for g in ("a", "b") for _ in range(101)]
     rows.append(("one", 4.0))
     df = spark.createDataFrame(rows, "g string, x double")
     probs = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
-    for r in scan.exact_percentiles(df, "x", probs, ["g"]).collect():
+    for r in scan.exact_percentiles(df, "x", probs, ["g"], block_rows=block_rows).collect():
         xs = [x for g, x in rows if g == r.g]
         for name, p in probs.items():
             assert r[name] == pytest.approx(np.percentile(xs, p * 100), abs=1e-6)

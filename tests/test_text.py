@@ -122,6 +122,10 @@ def test_numbers(spark):
         sc.band("x", [1, 2], ["a"])
 
 
+def test_padded_id(spark):
+    assert column(spark, sc.padded_id("ORD", "x", 5), [0, 42, 99999, 1234567], "bigint") == ["ORD-00000", "ORD-00042", "ORD-99999", "ORD-1234567"]
+
+
 def test_hash_fraction_is_in_range_and_even(spark):
     r = spark.range(10_000).select(sc.hash_fraction("id").alias("f")).agg(F.min("f"), F.max("f"), F.avg("f")).first()
     assert r[0] >= 0 and r[1] < 1 and abs(r[2] - 0.5) < 0.02
