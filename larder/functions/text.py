@@ -15,6 +15,7 @@ SENSITIVE_KEYS = ("access_token", "refresh_token")
 LANGUAGES = ("en", "es", "fr", "ja", "ko", "pt")
 PLACEHOLDER = "\u200b"
 REDACTED = "[REDACTED]"
+SECRET_VALUE = r"=(['\"]?)([^'\"\s,)}]+)\1"
 DEDUP_KEY_LENGTH = 64
 PARTICIPANT_ID_LENGTH = 24
 PROBABLE_SECONDS_BELOW = 100_000_000_000
@@ -80,8 +81,7 @@ def redact_text(col: Column | str, keys: Sequence[str] = SENSITIVE_KEYS) -> Colu
     """Blank the value in ``key=value``, quoted or not, whatever the case of the key."""
     out = _col(col)
     for key in keys:
-        pattern = rf"(?i){re.escape(key)}=(['\"]?)([^'\"\s,)}}]+)\1"
-        out = F.regexp_replace(out, pattern, f"{key}=$1{REDACTED}$1")
+        out = F.regexp_replace(out, f"(?i){re.escape(key)}{SECRET_VALUE}", f"{key}=$1{REDACTED}$1")
     return out
 
 

@@ -28,6 +28,7 @@ EVENT_FIELDS = {
 """``seq`` numbers the events of a chat. ``MESSAGE`` events are the incoming user messages."""
 EVENT_SCHEMA = ", ".join(f"{name} {kind}" for name, kind in EVENT_FIELDS.items())
 
+# Event types, roles and texts that stored data contain.
 TEXT = ("TEXT_MESSAGE_START", "TEXT_MESSAGE_CONTENT", "TEXT_MESSAGE_END", "TEXT_MESSAGE_CHUNK")
 TOOL = ("TOOL_CALL_START", "TOOL_CALL_ARGS", "TOOL_CALL_RESULT", "TOOL_CALL_END", "TOOL_CALL_CHUNK")
 THOUGHT = ("THINKING_TEXT_MESSAGE_START", "THINKING_TEXT_MESSAGE_CONTENT", "THINKING_TEXT_MESSAGE_END")
@@ -35,6 +36,7 @@ CHUNKS = ("TEXT_MESSAGE_CHUNK", "TOOL_CALL_CHUNK")
 RUN_ENDS = ("RUN_FINISHED", "RUN_ERROR")
 ASSISTANT = "assistant"
 UNKNOWN_TOOL = "UNKNOWN"
+NOT_A_USER = "The user cannot create new non-user messages."
 SCOPE = ["chat_id", "run_id", "epoch"]
 RESOLVED = ["target_id", "active_id", "tool_id", "active_tool", "block", "open_block", "step", "title"]
 
@@ -390,7 +392,7 @@ def dedup_messages(incoming: DataFrame, stored: DataFrame | None = None, keys: S
         .when(F.col("role") != "user", "rejected")
         .otherwise("accepted")
     )
-    error = F.when(status == "rejected", F.lit("The user cannot create new non-user messages."))
+    error = F.when(status == "rejected", F.lit(NOT_A_USER))
     return rows.withColumns({"status": status, "error": error}).drop("__first", "__known")
 
 
@@ -539,6 +541,7 @@ def expired_tokens(identities: DataFrame, now: Column, leeway_s: int = 60) -> Da
     return identities.filter(is_expired("access_token_expires_at", now, leeway_s))
 
 
+# The fields of stored message documents.
 _CHILD = "uuid string, agui_id string, role string, name string, content string, in_progress boolean, error string, created_at string"
 PAYLOAD_SCHEMA = (
     "v int, message_uuid string, chat_id string, agui_id string, role string, name string, content string, "
