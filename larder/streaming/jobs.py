@@ -138,11 +138,14 @@ def stream_status_alerts(inventory: DataFrame, delay: str = "10 minutes", ts: st
     )
 
 
-def stream_messages(events: DataFrame, idle: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
+def stream_messages(
+    events: DataFrame, idle: str = "30 minutes", delay: str = "10 minutes", keep: str = "1 day"
+) -> DataFrame:
     """Resolve a stream of run events; group the rows with the ``assemble_*`` functions on read.
 
     State per chat is what is active now and the ids of its messages, never their text.
-    ``late`` marks events that come after their run was closed for idleness.
+    ``late`` marks events that come after their run was closed for idleness; a chat is forgotten when
+    nothing came for ``keep`` after that.
     """
     from larder.streaming.stateful import CHAT_STATE, RESOLVED_SCHEMA, make_resolver
 
@@ -150,6 +153,6 @@ def stream_messages(events: DataFrame, idle: str = "30 minutes", delay: str = "1
         events.withWatermark("ts", delay)
         .groupBy("chat_id")
         .applyInPandasWithState(
-            make_resolver(_seconds(idle)), RESOLVED_SCHEMA, CHAT_STATE, "append", "EventTimeTimeout"
+            make_resolver(_seconds(idle), _seconds(keep)), RESOLVED_SCHEMA, CHAT_STATE, "append", "EventTimeTimeout"
         )
     )

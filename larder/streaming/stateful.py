@@ -117,7 +117,8 @@ def resolve_one(chat: str, state: dict, e: dict) -> dict:
     return out
 
 
-def make_resolver(idle_seconds: int):
+def make_resolver(idle_seconds: int, keep_seconds: int):
+    """State function of a chat. Idle runs are closed; the state goes when nothing came for longer still."""
     names = list(EVENT_FIELDS)
     extra = ["target_id", "active_id", "tool_id", "active_tool", "block", "open_block", "step", "title"]
 
@@ -133,6 +134,9 @@ def make_resolver(idle_seconds: int):
     def resolve(key, batches, state):
         (chat,) = key
         memory = json.loads(state.get[0]) if state.exists else {}
+        if state.hasTimedOut and memory.get("closed"):
+            state.remove()
+            return
         if state.hasTimedOut:
             open_runs = {r: s for r, s in memory.get("runs", {}).items() if s.get("active") and not s.get("ended")}
             closed = []
@@ -142,13 +146,15 @@ def make_resolver(idle_seconds: int):
                 e["ts"] = pd.Timestamp(memory["ts"], unit="us")
                 closed.append((e, resolve_one(chat, memory, e)))
             memory["idle"] = sorted(set(memory.get("idle", [])) | set(open_runs))
-            memory["runs"] = {}
+            memory["runs"], memory["closed"] = {}, True
             state.update((json.dumps(memory),))
+            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + keep_seconds * 1000)
             if closed:
                 yield rows_of(*zip(*closed))
             return
         pdf = pd.concat(list(batches)).sort_values("seq", kind="stable")
         events = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
+        memory.pop("closed", None)
         resolved = []
         for e in events:
             late = e["run_id"] in memory.get("idle", [])

@@ -95,6 +95,19 @@ def test_idle_runs_are_closed_and_later_events_are_marked(spark, tmp_path):
     assert (messages["n"].content, messages["n"].in_progress) == ("yz", True)
 
 
+def test_forgotten_chats_start_afresh(spark, tmp_path):
+    def event(chat, seq, when, **f):
+        row = dict.fromkeys(cv.EVENT_FIELDS)
+        row.update(chat_id=chat, run_id="r", seq=seq, ts=when, type="TEXT_MESSAGE_CONTENT", delta="x", **f)
+        return frame(spark, [row])
+
+    others = [event("b", i, at(9000 * (i + 1)), message_id="n") for i in range(4)]
+    batches = [event("a", 0, at(0), message_id="m"), *others, event("a", 1, at(36_001), message_id="m")]
+    stream = stream_of(spark, batches, tmp_path / "in")
+    out = run(spark, sj.stream_messages(stream, "10 minutes", "1 second", keep="1 hour"), "forgotten", tmp_path / "cp")
+    assert [(r.seq, r.late) for r in out.filter("chat_id = 'a' AND type <> 'RUN_FINISHED'").orderBy("seq").collect()] == [(0, False), (1, False)]
+
+
 def test_feature_refresh_writes_what_a_full_run_gives(spark, tmp_path):
     rng = random.Random(8)
     schema = "k string, snapshot_date date, daily_demand_units int, days_of_supply double, minimum_days_supply int, on_order_units int"
