@@ -93,8 +93,10 @@ def table_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
-def list_tables(spark: SparkSession, schema: str | None = None) -> DataFrame:
-    rows = [(t.name, t.tableType, bool(t.isTemporary)) for t in spark.catalog.listTables(schema)]
+def list_tables(spark: SparkSession, schema: str | None = None, views: bool = False) -> DataFrame:
+    """Tables of a schema; ``views=True`` adds the session's temporary views."""
+    listed = [t for t in spark.catalog.listTables(schema) if views or not t.isTemporary]
+    rows = [(t.name, t.tableType, bool(t.isTemporary)) for t in listed]
     return spark.createDataFrame(rows, "table_name string, kind string, temporary boolean").orderBy("table_name")
 
 

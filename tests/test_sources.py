@@ -18,6 +18,8 @@ def test_catalog_tables(spark):
     assert tb.table_count(spark, "readiness.facts") == 3
     listed = {r.table_name for r in tb.list_tables(spark, "readiness").collect()}
     assert listed == {"facts"}
+    df.createOrReplaceTempView("facts_view")
+    assert {r.table_name for r in tb.list_tables(spark, "readiness", views=True).collect()} >= {"facts", "facts_view"}
     comment = {r.col_name: r.data_type for r in spark.sql("DESCRIBE EXTENDED readiness.facts").collect()}["Comment"]
     assert comment == "It's a fact"
     tb.write_table(df.withColumn("extra", F.lit(1)).filter("id > 1"), "readiness.facts")
