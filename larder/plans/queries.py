@@ -692,7 +692,7 @@ def _(spark, d):
         "event_id",
         tx.duration_seconds(F.concat(F.floor("value").cast("string"), F.lit("ms"))).alias("seconds_from_ms"),
         tx.duration_seconds(F.concat(F.lit(" "), F.col("value").cast("decimal(18,2)").cast("string"), F.lit("s "))).alias("seconds_plain"),
-        tx.from_epoch_ms(F.col("event_id") + 1_700_000_000_000).cast("timestamp_ntz").alias("moment"),
+        F.to_utc_timestamp(tx.from_epoch_ms(F.col("event_id") + 1_700_000_000_000), F.current_timezone()).cast("timestamp_ntz").alias("moment"),
         tx.error_text(F.when(e == "error", e), "props").alias("error_text"),
         tx.probably_seconds("event_id").alias("looks_like_seconds"),
     )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from larder.functions import scalars as sc
@@ -20,10 +18,13 @@ from larder.plans import model as m
 from larder.plans.registry import query
 from larder.sources import envelopes as en
 
-NOW = dt.datetime(2024, 1, 16)
 _NOW = "TIMESTAMP '2024-01-16 00:00:00'"
 
 
+def _now():
+    return F.expr("TIMESTAMP_NTZ '2024-01-16 00:00:00'")
+
+
 
 def _json(**fields):
     return F.to_json(F.struct(*[(c if not isinstance(c, str) else F.lit(c)).alias(n) for n, c in fields.items()]))
@@ -147,7 +148,7 @@ def _(spark, d):
         "event_id",
         tx.extras_text(extras).alias("extras"),
         tx.first_text(body).alias("first_text"),
-        sc.is_expired(F.expr("ts + INTERVAL 1 HOUR"), F.lit(NOW).cast("timestamp_ntz"), 60).alias("expired"),
+        sc.is_expired(F.expr("ts + INTERVAL 1 HOUR"), _now(), 60).alias("expired"),
         tx.strip_placeholder(F.when(e == "error", F.lit(tx.PLACEHOLDER)).otherwise(e)).alias("stripped"),
         shown.alias("parsed"),
     )
@@ -223,7 +224,7 @@ def _(spark, d):
 
 @query("expired_tokens", f"SELECT * FROM ({_IDENTITY}) WHERE access_token_expires_at - INTERVAL 60 SECOND < {_NOW}")
 def _(spark, d):
-    return cv.expired_tokens(_identities(spark, d), F.lit(NOW).cast("timestamp_ntz"))
+    return cv.expired_tokens(_identities(spark, d), _now())
 
 
 @query(
