@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import mixing, repetition
+from larder.llm import mixing, packing, repetition
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,6 +28,11 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+@query("op1_pack")
+def _(spark, d):
+    return packing.pack_documents(documents(spark, d), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query("op7_repetition")
 def _(spark, d):
     return repetition.quality(documents(spark, d))
