@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import mixing, packing, repetition
+from larder.llm import mixing, packing, repetition, warc
+from larder.llm.store import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,6 +29,10 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def pages(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/pages.parquet")
+
+
 @query("op1_pack")
 def _(spark, d):
     return packing.pack_documents(documents(spark, d), public_tokenizers.path("byte_bpe_50k.json"))
@@ -38,6 +43,11 @@ def _(spark, d):
     return repetition.quality(documents(spark, d))
 
 
+@query("op8_warc")
+def _(spark, d):
+    return warc.archive(pages(spark, d), new_path(spark, "warc"))
+
+
 @query("op10_mix")
 def _(spark, d):
     return mixing.mix(documents(spark, d))
