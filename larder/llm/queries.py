@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import language, mixing, packing, repetition, warc
+from larder.llm import fingerprint, language, mixing, packing, repetition, warc
 from larder.llm.store import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,11 @@ def _(spark, d):
     return language.identify(documents(spark, d))
 
 
+@query("op5_fingerprint")
+def _(spark, d):
+    return fingerprint.near_edits(documents(spark, d))
+
+
 @query("op7_repetition")
 def _(spark, d):
     return repetition.quality(documents(spark, d))
