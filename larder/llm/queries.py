@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import fingerprint, language, mixing, packing, repetition, warc
+from larder.llm import fingerprint, language, mixing, near, packing, repetition, warc
 from larder.llm.store import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,12 @@ def _(spark, d):
     return warc.archive(pages(spark, d), new_path(spark, "warc"))
 
 
+@query("op9_near_duplicates")
+def _(spark, d):
+    found = near.near_duplicates(documents(spark, d), size=2, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept", "class_id")
+
+
 @query("op10_mix")
 def _(spark, d):
     return mixing.mix(documents(spark, d))
