@@ -36,11 +36,10 @@ def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of a text column and the offset of each row; null counts as empty text."""
+    """Bytes of a text or binary column and the offset of each row; null counts as empty."""
+    column = column.cast(pa.large_binary())
     if column.null_count:
-        column = column.fill_null("")
-    if not pa.types.is_large_string(column.type):
-        column = column.cast(pa.large_string())
+        column = column.fill_null(b"")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     if data is None or not len(column):

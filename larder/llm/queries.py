@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import fingerprint, language, mixing, near, packing, repetition, warc
+from larder.llm import fingerprint, language, mixing, near, packing, repeats, repetition, warc
 from larder.llm.store import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,11 @@ def _(spark, d):
     return packing.pack_documents(documents(spark, d), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op3_repeats")
+def _(spark, d):
+    return repeats.remove_repeats(documents(spark, d)).drop("kept")
+
+
 @query("op4_language")
 def _(spark, d):
     return language.identify(documents(spark, d))
