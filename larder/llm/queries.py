@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import fingerprint, language, mixing, near, packing, repeats, repetition, warc
+from larder.llm import fingerprint, language, mixing, near, packing, pages, repeats, repetition, warc
 from larder.llm.store import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,7 +29,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
-def pages(spark: SparkSession, folder: str) -> DataFrame:
+def web_pages(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/pages.parquet")
 
 
@@ -53,6 +53,11 @@ def _(spark, d):
     return fingerprint.near_edits(documents(spark, d))
 
 
+@query("op6_main_text")
+def _(spark, d):
+    return pages.main_text(web_pages(spark, d))
+
+
 @query("op7_repetition")
 def _(spark, d):
     return repetition.quality(documents(spark, d))
@@ -60,7 +65,7 @@ def _(spark, d):
 
 @query("op8_warc")
 def _(spark, d):
-    return warc.archive(pages(spark, d), new_path(spark, "warc"))
+    return warc.archive(web_pages(spark, d), new_path(spark, "warc"))
 
 
 @query("op9_near_duplicates")
