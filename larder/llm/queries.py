@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import fingerprint, language, mixing, near, packing, pages, repeats, repetition, warc
+import corpus_pipeline
+from larder.llm import fingerprint, language, licenses, mixing, near, packing, pages, repeats, repetition, warc
 from larder.llm.store import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +39,11 @@ def _(spark, d):
     return packing.pack_documents(documents(spark, d), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op2_licenses")
+def _(spark, d):
+    return licenses.statements(documents(spark, d))
+
+
 @query("op3_repeats")
 def _(spark, d):
     return repeats.remove_repeats(documents(spark, d)).drop("kept")
@@ -77,3 +83,6 @@ def _(spark, d):
 @query("op10_mix")
 def _(spark, d):
     return mixing.mix(documents(spark, d))
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
