@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,8 +54,14 @@ def language_of(locale: Column | str, supported: Sequence[str] = LANGUAGES, defa
 
 
 def dedup_key(namespace: str, *parts: Column | str) -> Column:
-    """SHA-256 hex of the namespace and the parts, NUL between them."""
-    raw = F.concat_ws("\u0000", F.lit(namespace), *[_col(p).cast("string") for p in parts])
+    """SHA-256 hex of the namespace and the parts, NUL between them.
+
+    Where parts are missing, a last line says which, so that a missing part is neither an empty one nor a shifted one.
+    """
+    texts = [_col(p).cast("string") for p in parts]
+    raw = F.concat_ws("\u0000", F.lit(namespace), *[F.coalesce(t, F.lit("")) for t in texts])
+    absent = F.concat(*[F.when(t.isNull(), F.lit("1")).otherwise(F.lit("0")) for t in texts]) if texts else F.lit("")
+    raw = F.when(absent.contains("1"), F.concat(raw, F.lit("\u0000\n"), absent)).otherwise(raw)
     return F.substring(F.sha2(raw, 256), 1, DEDUP_KEY_LENGTH)
 
 
@@ -86,16 +94,51 @@ def redact_text(col: Column | str, keys: Sequence[str] = SENSITIVE_KEYS) -> Colu
 
 
 def redact_json(col: Column | str, keys: Sequence[str] = SENSITIVE_KEYS) -> Column:
-    """Blank the values of sensitive keys at any depth of a JSON text.
+    """Blank the values of sensitive keys at any depth of a JSON text, whatever they hold; all else stays as it is.
 
-    Strings, numbers, booleans, null and flat objects or arrays are replaced as a whole. Key names
-    are matched exactly, as in a parsed document.
+    Key names are matched exactly, escapes decoded. Where the value of such a key is not JSON, the text is cut there.
+    Values nest, which no regular expression of the engine can follow, so texts that name a key are read in Python,
+    batch by batch; all others stay in the engine.
     """
-    out = _col(col)
+    secret = frozenset(keys)
+
+    @F.pandas_udf("string")
+    def blank(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else _without_secrets(t, secret))
+
+    col = _col(col)
+    # A key may be written with escapes, so a backslash is reason enough to look.
+    named = col.contains("\\")
     for key in keys:
-        value = r'("(?:[^"\\]|\\.)*"|\{[^{}]*\}|\[[^\[\]]*\]|[^,}\]\s]+)'
-        out = F.regexp_replace(out, rf'("{re.escape(key)}"\s*:\s*){value}', f'$1"{REDACTED}"')
-    return out
+        named = named | col.contains(key)
+    return F.when(named, blank(F.when(named, col))).otherwise(col)
+
+
+_STRING = re.compile(r'"(?:[^"\\]|\\.)*"', re.S)
+_COLON = re.compile(r"\s*:\s*")
+
+
+def _without_secrets(text: str, keys: frozenset[str]) -> str:
+    read = json.JSONDecoder().raw_decode
+    out, at, done = [], 0, 0
+    while (name := _STRING.search(text, at)) is not None:
+        at = name.end()
+        colon = _COLON.match(text, at)
+        if colon is None:
+            continue
+        try:
+            key = json.loads(name[0], strict=False)
+        except ValueError:
+            key = name[0][1:-1]
+        at = colon.end()
+        if key not in keys:
+            continue
+        out.append(text[done:at] + f'"{REDACTED}"')
+        try:
+            at = done = read(text, at)[1]
+        except (ValueError, RecursionError):
+            return "".join(out)
+    return "".join(out) + text[done:]
 
 
 def extras_text(extras: Column | str) -> Column:

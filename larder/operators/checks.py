@@ -24,10 +24,11 @@ def orphan_report(fact: DataFrame, dims: Sequence[tuple[str, str, DataFrame, str
 
 
 def require_empty(report: DataFrame, failures: str = "failures") -> None:
-    """Raise when any check of the report has failures."""
-    bad = report.filter(F.col(failures) > 0).limit(20).collect()
+    """Raise when any check of the report has failures; says how many there are and shows the first of them."""
+    found = report.filter(F.col(failures) > 0)
+    bad = found.limit(20).collect()
     if bad:
-        raise AssertionError("; ".join(str(r.asDict()) for r in bad))
+        raise AssertionError(f"{found.count()} failing checks, among them " + "; ".join(str(r.asDict()) for r in bad))
 
 
 def both_classes(train: DataFrame, y: str = "shortage_within_30d") -> DataFrame:

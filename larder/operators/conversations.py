@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from larder.functions.text import error_text, strip_placeholder
 from larder.operators.aggregates import fold_ordered
-from larder.operators.scan import BLOCK_ROWS, attach, carry_forward, carry_within, hot_keys
+from larder.operators.scan import BLOCK_ROWS, attach, carry_forward, carry_within, hot_keys, running_totals
 
 EVENT_FIELDS = {
     "chat_id": "string", "run_id": "string", "seq": "bigint", "ts": "timestamp", "type": "string",
@@ -378,22 +378,32 @@ def active_id(events: DataFrame, keys: Sequence[str], seq: str, id_col: str, out
 def dedup_messages(incoming: DataFrame, stored: DataFrame | None = None, keys: Sequence[str] = ("chat_id", "message_id")) -> DataFrame:
     """Mark each incoming message: accepted, duplicate, or rejected with an error.
 
-    The first message of an id wins, a stored one before all. New messages come from users only.
+    New messages come from users only. The first user message of an id is accepted, in the order of ``seq`` and then of
+    all other columns; a stored one comes before all. Messages of others under an id are rejected while no user message
+    of that id came before them, and duplicates after it. Of rows that agree in everything one is accepted.
     """
     keys = list(keys)
-    first = incoming.groupBy(*keys).agg(F.min("seq").alias("__first"))
-    rows = incoming.join(first, keys)
+    rest = sorted(c for c in incoming.columns if c not in (*keys, "seq"))
+    place = F.struct("seq", *rest)
+    # Equal rows become one row with a number, so that a tie has one winner without a window over the id.
+    rows = incoming.groupBy(*incoming.columns).agg(F.count(F.lit(1)).alias("__copies"))
+    first = rows.groupBy(*keys).agg(F.min(F.when(F.col("role") == "user", place)).alias("__first"))
+    rows = rows.join(first, keys)
     known = F.lit(False)
     if stored is not None:
         rows = rows.join(stored.select(*keys, F.lit(True).alias("__known")).distinct(), keys, "left")
         known = F.coalesce("__known", F.lit(False))
+    rows = rows.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+    wins = (F.col("role") == "user") & place.eqNullSafe(F.col("__first")) & (F.col("__nth") == 1)
     status = (
-        F.when(known | (F.col("seq") > F.col("__first")), "duplicate")
-        .when(F.col("role") != "user", "rejected")
-        .otherwise("accepted")
+        F.when(known, "duplicate")
+        .when(wins, "accepted")
+        .when((F.coalesce("role", F.lit("")) != "user") & (F.col("__first").isNull() | (place < F.col("__first"))), "rejected")
+        .otherwise("duplicate")
     )
-    error = F.when(status == "rejected", F.lit(NOT_A_USER))
-    return rows.withColumns({"status": status, "error": error}).drop("__first", "__known")
+    error = F.when(F.col("status") == "rejected", F.lit(NOT_A_USER))
+    marked = rows.withColumn("status", status).withColumn("error", error)
+    return marked.select(*incoming.columns, "status", "error")
 
 
 def chat_list(chats: DataFrame, messages: DataFrame) -> DataFrame:
@@ -449,18 +459,33 @@ def transcript(messages: DataFrame, tools: DataFrame, reasonings: DataFrame) ->
     return text.unionByName(calls).unionByName(thoughts)
 
 
+def placed(rows: DataFrame, out: str = "place") -> DataFrame:
+    """Number the rows of a transcript from 1 within each chat; messages are counted, so a long chat is no single sort.
+
+    Rows of one message are few and are numbered together; before them come all rows of earlier messages.
+    """
+    at = F.struct("message_ts", "message_id")
+    counted = rows.groupBy("chat_id", at.alias("__at")).agg(F.count(F.lit(1)).alias("__n"))
+    counted = running_totals(counted, ["chat_id"], "__at", {"__before": "__n"}).drop("__n")
+    inside = Window.partitionBy("chat_id", "__at").orderBy("kind", "child_ts", "id")
+    numbered = rows.withColumn("__at", at).withColumn("__nth", F.row_number().over(inside))
+    return numbered.join(counted, ["chat_id", "__at"]).withColumn(out, F.col("__before") + F.col("__nth")).drop("__at", "__nth", "__before")
+
+
 def attach_tool_results(history: DataFrame) -> DataFrame:
     """Tool invocations with their results, beside all rows that are neither.
 
     ``history`` has ``chat_id, id, role, content, tool_calls array<struct<id,name,arguments>>``. A tool
-    row whose id is that of a call becomes the call's result; one without a call stays a row.
+    row whose id is that of a call becomes the call's result; one without a call stays a row. Of several
+    results of one call the last counts, by ``created_at`` or ``seq`` where there is one and then by content.
     """
     calls = history.filter(F.size("tool_calls") > 0).select(
         "chat_id", F.col("id").alias("message_id"), "role", F.explode("tool_calls").alias("call")
     )
     results = history.filter((F.col("role") == "tool") & (F.coalesce("content", F.lit("")) != "")).select(
-        "chat_id", F.col("id").alias("__call"), F.col("content").alias("result")
+        "chat_id", F.col("id").alias("__call"), F.struct(*[c for c in ("created_at", "seq") if c in history.columns], "content").alias("__result")
     )
+    results = results.groupBy("chat_id", "__call").agg(F.max("__result")["content"].alias("result"))
     invoked = calls.withColumn("__call", F.col("call.id")).join(results, ["chat_id", "__call"], "left").select(
         "chat_id",
         "message_id",

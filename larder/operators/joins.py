@@ -142,39 +142,16 @@ def attach_policy(position: DataFrame, sections: DataFrame, general: str = "MED-
     return wanted.join(sections, "policy_reference_id")
 
 
-def nest_children(
-    parents: DataFrame,
-    children: DataFrame,
-    key: str,
-    order: Sequence[str],
-    name: str,
-    part_rows: int = 10_000,
-) -> DataFrame:
-    """Each parent with an ordered array of its children.
+def nest_children(parents: DataFrame, children: DataFrame, key: str, order: Sequence[str], name: str) -> DataFrame:
+    """Each parent with each of its children as a struct ``name``, and the child's place in ``<name>_position``, from 0.
 
-    A parent with more than ``part_rows`` children comes as several rows, numbered by ``<name>_part``,
-    so that no task holds an unbounded array; all other parents have one row with part 0. ``order``
-    starts with a whole-number or time column; parts are cut in that order by counting.
+    Every parent has as many rows as it has children, and one with NULLs if it has none, so a parent of any size is
+    spread over tasks. ``order`` starts with a whole-number or time column; places are counted in that order.
     """
     cols = [c for c in children.columns if c != key]
-    seq_df = _numbered(children, key, order)
-    parts = (
-        seq_df.withColumn("__part", F.floor(F.col("__pos") / part_rows).cast("int"))
-        .groupBy(key, "__part")
-        .agg(F.array_sort(F.collect_list(F.struct("__pos", *cols))).alias("__items"))
-        .select(
-            key,
-            F.col("__part").alias(f"{name}_part"),
-            F.transform("__items", lambda x: F.struct(*[x[c].alias(c) for c in cols])).alias(name),
-        )
-    )
-    empty = parts.schema[name].dataType
-    return parents.join(parts, key, "left").withColumns(
-        {
-            f"{name}_part": F.coalesce(f"{name}_part", F.lit(0)),
-            name: F.coalesce(name, F.array().cast(empty)),
-        }
-    )
+    placed = _numbered(children, key, order)
+    placed = placed.select(key, F.col("__pos").cast("bigint").alias(f"{name}_position"), F.struct(*cols).alias(name))
+    return parents.join(placed, key, "left")
 
 
 def _numbered(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:

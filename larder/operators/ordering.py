@@ -29,7 +29,7 @@ def first_row(df: DataFrame, spec: Sequence[str | Column]) -> DataFrame:
     return top_n(df, spec, 1)
 
 
-def cap_rows(df: DataFrame, n: int = 50, spec: Sequence[str | Column] = ()) -> DataFrame:
+def cap_rows(df: DataFrame, n: int, spec: Sequence[str | Column] = ()) -> DataFrame:
     return top_n(df, spec, n) if spec else df.limit(n)
 
 
@@ -41,15 +41,15 @@ def top_per(df: DataFrame, keys: Sequence[str], spec: Sequence[str | Column], n:
 
 
 def page(df: DataFrame, spec: Sequence[str | Column], offset: int = 0, limit: int = 100) -> DataFrame:
-    """Offset pagination with pages of 100 rows or less. Deep pages: use ``page_after``."""
-    return df.orderBy(*sort_columns(spec)).offset(offset).limit(min(limit, 100))
+    """Offset pagination; a page has as many rows as asked for. Deep pages: use ``page_after``."""
+    return df.orderBy(*sort_columns(spec)).offset(offset).limit(limit)
 
 
 def page_after(df: DataFrame, key: str, last, limit: int = 100) -> DataFrame:
     """Keyset pagination: the page after a key. Its cost does not grow with the page number."""
     if last is not None:
         df = df.filter(F.col(key) > F.lit(last))
-    return df.orderBy(key).limit(min(limit, 100))
+    return df.orderBy(key).limit(limit)
 
 
 def newest_chats(chats: DataFrame, created: str = "created_at", key: str = "chat_id") -> DataFrame:

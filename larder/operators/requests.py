@@ -98,8 +98,8 @@ def error_samples(
     return failed.orderBy(*order).limit(n).withColumn(detail, F.substring(detail, 1, width))
 
 
-def run_outcomes(events: DataFrame, keys: Sequence[str] = ("chat_id", "run_id"), width: int = 200) -> DataFrame:
-    """Outcome of each run from its terminal events; the first one counts, as it ends the reading.
+def run_outcomes(events: DataFrame, keys: Sequence[str] = ("chat_id", "run_id")) -> DataFrame:
+    """Outcome of each run from its terminal events; the first one counts, as it ends the reading. The error text is whole.
 
     Events have ``seq``, ``ts``, ``type``, ``error_message`` and ``http_status``. A status of 400 or
     more, a time-out or an exception is reported by an event of its own.
@@ -129,7 +129,7 @@ def run_outcomes(events: DataFrame, keys: Sequence[str] = ("chat_id", "run_id"),
         outcome.alias("outcome"),
         seconds_between("__end", "__start").alias("total_duration_s"),
         ttft.alias("ttft_s"),
-        F.when(outcome != "finished", F.substring("__detail", 1, width)).alias("error_detail"),
+        F.when(outcome != "finished", F.col("__detail")).alias("error_detail"),
         "http_status",
     )
 

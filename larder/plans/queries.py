@@ -711,6 +711,32 @@ def _(spark, d):
     return m.table(spark, d, "documents").select("doc_id", tx.language_of(F.concat("lang", F.lit("_XX"))).alias("language"))
 
 
+@query(
+    "redact_json",
+    """SELECT doc_id, '{"n": ' || doc_id || ', "access_token": "[REDACTED]", "in": [[{"refresh_token": "[REDACTED]", "s": "' || source || '"}], "access_token"]}' AS text,
+    '{"a\\u0063cess_token": "[REDACTED]"' AS cut FROM documents""",
+)
+def _(spark, d):
+    """Secrets below several levels, under an escaped name, and in a text that breaks off."""
+    nested = F.format_string(
+        '{"n": %d, "access_token": {"a": {"b": ["secret", {"c": 1}]}}, "in": [[{"refresh_token": [[1, "s2"], "s3"], "s": "%s"}], "access_token"]}', "doc_id", "source"
+    )
+    cut = F.concat(F.lit('{"a\\u0063cess_token": ["'), F.col("source"), F.lit('", '))
+    return m.table(spark, d, "documents").select("doc_id", tx.redact_json(nested).alias("text"), tx.redact_json(cut).alias("cut"))
+
+
+@query(
+    "dedup_keys",
+    """SELECT count(*) AS rows, count(DISTINCT a) + count(DISTINCT b) + count(DISTINCT c) AS keys FROM (SELECT doc_id AS a, doc_id AS b, doc_id AS c FROM documents)""",
+)
+def _(spark, d):
+    """A missing part in the middle, at the end, and an empty one make different keys."""
+    source, nothing, empty = F.col("doc_id").cast("string"), F.lit(None).cast("string"), F.lit("")
+    keys = [tx.dedup_key("n", source, nothing, F.lit("b")), tx.dedup_key("n", source, F.lit("b"), nothing), tx.dedup_key("n", source, empty, F.lit("b"))]
+    rows = m.table(spark, d, "documents").select(F.explode(F.array(*keys)).alias("key"))
+    return rows.agg((F.count("*") / 3).cast("bigint").alias("rows"), F.count_distinct("key").alias("keys"))
+
+
 @query(
     "redact_text",
     r"""SELECT doc_id, regexp_replace(text || ' access_token=''' || doc_id || ''' end',
@@ -1276,7 +1302,7 @@ def _(spark, d):
 @query("train_and_score")
 def _(spark, d):
     rows = materialise(_training(spark, d))
-    model = rk.train(rows, FOLD_CUTS[2], trees=5)
+    model = rk.train(rows, FOLD_CUTS[2])
     return rk.score(model, _scoring(spark, d))
 
 
@@ -1331,16 +1357,24 @@ def _(spark, d):
 
 @query(
     "dedup_messages",
-    """SELECT chat_id, message_id, seq, CASE WHEN seq >= 100 OR k.message_id IS NOT NULL THEN 'duplicate'
-        WHEN role <> 'user' THEN 'rejected' ELSE 'accepted' END AS status
-    FROM (SELECT chat_id, message_id, seq, role FROM msg UNION ALL SELECT chat_id, message_id, seq + 100, role FROM msg) i
+    """SELECT chat_id, message_id, seq, role, CASE WHEN k.message_id IS NOT NULL THEN 'duplicate'
+        WHEN role <> 'user' THEN CASE WHEN took AND seq > own * 2 THEN 'duplicate' ELSE 'rejected' END
+        WHEN nth = 1 THEN 'accepted' ELSE 'duplicate' END AS status
+    FROM (SELECT *, row_number() OVER (PARTITION BY message_id, role ORDER BY seq) AS nth, bool_or(role = 'user') OVER (PARTITION BY message_id) AS took
+        FROM (SELECT chat_id, message_id, seq AS own, seq * 2 AS seq, role FROM msg
+            UNION ALL SELECT chat_id, message_id, seq, seq * 2, role FROM msg UNION ALL SELECT chat_id, message_id, seq, seq * 2 + 1, role FROM msg
+            UNION ALL SELECT chat_id, message_id, seq, seq * 2 - 1, 'tool' FROM msg WHERE role = 'user')) i
     LEFT JOIN (SELECT message_id FROM msg WHERE seq < 2) k USING (message_id)""",
 )
 def _(spark, d):
+    """Every message twice at one time and once later, and before each user message one of a tool under its id."""
     rows = m.messages(spark, d).select("chat_id", "message_id", "seq", "role")
-    incoming = rows.unionByName(rows.withColumn("seq", F.col("seq") + 100))
+    twice = rows.withColumn("seq", F.col("seq") * 2)
+    later = rows.withColumn("seq", F.col("seq") * 2 + 1)
+    early = rows.filter(F.col("role") == "user").withColumns({"seq": F.col("seq") * 2 - 1, "role": F.lit("tool")})
+    incoming = twice.unionByName(twice).unionByName(later).unionByName(early)
     stored = rows.filter(F.col("seq") < 2)
-    return cv.dedup_messages(incoming, stored).select("chat_id", "message_id", "seq", "status")
+    return cv.dedup_messages(incoming, stored).select("chat_id", "message_id", "seq", "role", "status")
 
 
 @query(
@@ -1362,13 +1396,11 @@ def _(spark, d):
 
 _CHAT_ITEMS = """SELECT chat_id, created_at AS message_ts, message_id, CAST(0 AS INTEGER) AS kind, message_id AS id, role, '' AS name, content FROM msg
     UNION ALL SELECT chat_id, created_at, message_id, 1, 't-' || message_id, 'tool', 'lookup', 'Completed lookup' FROM msg WHERE role = 'assistant'
-    UNION ALL SELECT chat_id, created_at, message_id, 2, 'x-' || message_id, 'reasoning', 'Thinking', substr(content, 1, 9) FROM msg WHERE role = 'assistant'"""
+    UNION ALL SELECT chat_id, created_at, message_id, 2, 'x-' || message_id, 'reasoning', 'Thinking', content FROM msg WHERE role = 'assistant'"""
 
 
-@query("transcript", f"SELECT chat_id, id, role, name, content, row_number() OVER (ORDER BY message_ts, message_id, kind, id) AS place FROM ({_CHAT_ITEMS})")
+@query("transcript", f"SELECT chat_id, id, role, name, content, row_number() OVER (PARTITION BY chat_id ORDER BY message_ts, message_id, kind, id) AS place FROM ({_CHAT_ITEMS})")
 def _(spark, d):
-    from larder.operators.scan import running_totals
-
     none = F.lit(None).cast("string")
     rows = m.messages(spark, d)
     base = {"in_progress": F.lit(False), "error": none}
@@ -1384,12 +1416,10 @@ def _(spark, d):
     ).withColumns(base)
     thoughts = answers.select(
         F.col("message_id").alias("message_uuid"), F.concat(F.lit("x-"), "message_id").alias("uuid"),
-        none.alias("public_id"), F.lit("Thinking").alias("name"), F.substring("content", 1, 9).alias("content"), "created_at",
+        none.alias("public_id"), F.lit("Thinking").alias("name"), "content", "created_at",
     ).withColumns(base)
     listed = cv.transcript(messages, tools, thoughts)
-    key = F.struct("message_ts", "message_id", "kind", "child_ts", "id")
-    placed = running_totals(listed.withColumns({"__key": key, "__one": F.lit(1)}), [], "__key", {"before": "__one"})
-    return placed.select("chat_id", "id", "role", "name", "content", (F.col("before") + 1).alias("place"))
+    return cv.placed(listed).select("chat_id", "id", "role", "name", "content", "place")
 
 
 @query(

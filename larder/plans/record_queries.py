@@ -57,13 +57,14 @@ def _(spark, d):
 @query(
     "manifest_to_rows",
     """SELECT o_orderkey AS id, CAST(0 AS INTEGER) AS row_number, o_orderstatus AS status, o_orderpriority AS second, NULL::VARCHAR AS missing FROM orders
-    UNION ALL SELECT o_orderkey, 1, CAST(o_custkey AS VARCHAR), NULL, NULL FROM orders""",
+    UNION ALL SELECT o_orderkey, 1, NULL, NULL, NULL FROM orders""",
 )
 def _(spark, d):
     o = m.table(spark, d, "orders")
-    columns = '{"statement_response":{"manifest":{"schema":{"columns":[{"name":"status"},{"kind":"x"},{"name":"missing"}]}},'
+    # "status" is named twice, and its last column counts; the second row is short.
+    columns = '{"statement_response":{"manifest":{"schema":{"columns":[{"name":"status"},{"kind":"x"},{"name":"status"},{"name":"missing"}]}},'
     body = F.concat(
-        F.lit(columns + '"result":{"data_array":[["'), F.col("o_orderstatus"), F.lit('","'), F.col("o_orderpriority"),
+        F.lit(columns + '"result":{"data_array":[["first","'), F.col("o_orderpriority"), F.lit('","'), F.col("o_orderstatus"),
         F.lit('"],["'), F.col("o_custkey").cast("string"), F.lit('"]]}}}'),
     )
     rows = en.manifest_to_rows(o.select(F.col("o_orderkey").alias("id"), body.alias("body")))
@@ -77,7 +78,7 @@ def _(spark, d):
 )
 def _(spark, d):
     o = m.table(spark, d, "orders").select((-F.col("o_totalprice")).alias("rank_by"), "o_orderkey", "o_orderstatus")
-    doc = en.to_json_document(o, "orders", "largest?", ["rank_by", "o_orderkey"])
+    doc = en.to_json_document(o, "orders", "largest?", ["rank_by", "o_orderkey"], cap=50)
     schema = "source string, question string, rows array<struct<o_orderkey:bigint,o_orderstatus:string>>"
     parsed = doc.select(F.from_json("document", schema).alias("p"))
     return parsed.select("p.source", "p.question", F.explode("p.rows").alias("r")).select("source", "question", "r.*")
@@ -246,19 +247,14 @@ def _(spark, d):
 
 @query(
     "nest_children",
-    """SELECT chat_id, count(*) AS n, arg_min(message_id, seq) AS first_id, arg_max(role, seq) AS last_role FROM msg GROUP BY 1
-    UNION ALL SELECT chat_id, 0, NULL, NULL FROM cht WHERE chat_id < 0""",
+    """SELECT chat_id, row_number() OVER (PARTITION BY chat_id ORDER BY created_at, seq) - 1 AS messages_position, message_id, role FROM msg
+    UNION ALL SELECT chat_id, NULL, NULL, NULL FROM cht WHERE chat_id < 0""",
 )
 def _(spark, d):
     chats = m.chats(spark, d).select("chat_id")
     children = m.messages(spark, d).select("chat_id", "created_at", "seq", "message_id", "role")
     nested = jn.nest_children(chats, children, "chat_id", ["created_at", "seq"], "messages")
-    return nested.select(
-        "chat_id",
-        F.size("messages").cast("bigint").alias("n"),
-        F.get("messages", F.lit(0))["message_id"].alias("first_id"),
-        F.try_element_at("messages", F.lit(-1))["role"].alias("last_role"),
-    )
+    return nested.select("chat_id", "messages_position", "messages.message_id", "messages.role")
 
 
 @query(
@@ -290,8 +286,12 @@ def _(spark, d):
     )
     history = rows.select(
         "chat_id", F.col("message_id").alias("id"), F.when(F.col("role") == "user", "tool").otherwise(F.col("role")).alias("role"),
-        F.when(~answer, F.col("content")).alias("content"), F.when(answer, F.array(call)).otherwise(F.array().cast("array<struct<id:string,name:string,arguments:string>>")).alias("tool_calls"),
+        "seq", F.when(~answer, F.col("content")).alias("content"), F.when(answer, F.array(call)).otherwise(F.array().cast("array<struct<id:string,name:string,arguments:string>>")).alias("tool_calls"),
     )
+    # Every result comes twice; the later one counts.
+    early = history.filter(F.col("role") == "tool").withColumns({"seq": F.col("seq") - 1, "content": F.lit("early")})
+    called = early.join(history.select("chat_id", F.explode("tool_calls.id").alias("id")), ["chat_id", "id"], "left_semi")
+    history = history.unionByName(called.select(*history.columns))
     return cv.attach_tool_results(history).select("chat_id", "message_id", "role", "part", "tool_call_id", "state", "text")
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -40,11 +38,15 @@ def build_session(app: str = "larder", master: str | None = None, **conf: str) -
 def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint, for a result that is read many times.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a temporary one is set
-    only where that is unset, which happens on a single machine.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Without one there is nothing
+    that all executors share: on a cluster that is an error; in local mode, where all threads share a
+    disk, the rows come from a folder in the session's warehouse.
     """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="larder-checkpoint-"))
+        if shared is None and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(shared or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
     return df.checkpoint(eager=True)

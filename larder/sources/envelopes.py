@@ -11,7 +11,6 @@ RESULT_SCHEMA = (
     "statement_response struct<manifest:struct<schema:struct<columns:array<string>>>,"
     "result:struct<data_array:array<string>>>"
 )
-ROW_CAP = 50
 
 # Event fields and their JSON names.
 _FIELDS = {
@@ -50,11 +49,11 @@ def explode_event_envelopes(df: DataFrame, body: str = "body", base_seq: str = "
     return kept.select(*[c for c in EVENT_FIELDS if c in kept.columns])
 
 
-def manifest_to_rows(df: DataFrame, body: str = "body", cap: int = ROW_CAP) -> DataFrame:
+def manifest_to_rows(df: DataFrame, body: str = "body", cap: int | None = None) -> DataFrame:
     """Rows of a column-manifest result as maps from column name to value, in order.
 
-    A column without a name is ``column_<i>``; a short row is padded with NULL; rows past the cap are
-    left out, as the result is for reading; anything that is no such envelope gives no rows.
+    A column without a name is ``column_<i>``; of columns with one name the last counts; a short row is
+    padded with NULL; with ``cap``, that many rows are read; anything that is no such envelope gives no rows.
     """
     parsed = df.withColumn("__r", F.from_json(body, RESULT_SCHEMA)["statement_response"])
     columns = F.coalesce(F.col("__r.manifest.schema.columns"), F.array().cast("array<string>"))
@@ -63,14 +62,19 @@ def manifest_to_rows(df: DataFrame, body: str = "body", cap: int = ROW_CAP) -> D
         lambda c, i: F.coalesce(F.get_json_object(c, "$.name"), F.concat(F.lit("column_"), i.cast("string"))),
     )
     keep = [c for c in df.columns if c != body]
+    data = F.col("__r.result.data_array")
     rows = parsed.select(
         *keep,
         names.alias("__names"),
-        F.posexplode(F.slice(F.col("__r.result.data_array"), 1, cap)).alias("row_number", "__row"),
+        F.posexplode(data if cap is None else F.slice(data, 1, cap)).alias("row_number", "__row"),
     )
     values = F.from_json("__row", "array<string>")
+
+    def last(n):
+        return (F.size("__names") - F.array_position(F.reverse("__names"), n)).cast("int")
+
     cells = F.transform(
-        "__names", lambda n, i: F.struct(n.alias("key"), F.get(F.col("__values"), i).alias("value"))
+        F.array_distinct("__names"), lambda n: F.struct(n.alias("key"), F.get(F.col("__values"), last(n)).alias("value"))
     )
     return (
         rows.withColumn("__values", values)
@@ -80,10 +84,13 @@ def manifest_to_rows(df: DataFrame, body: str = "body", cap: int = ROW_CAP) -> D
 
 
 def to_json_document(
-    df: DataFrame, source: str, question: str, order: list[str], summary: str | None = None, cap: int = ROW_CAP
+    df: DataFrame, source: str, question: str, order: list[str], summary: str | None = None, cap: int | None = None
 ) -> DataFrame:
-    """A result as one JSON document: source, question, summary, and at most ``cap`` rows in order."""
-    first = df.orderBy(*order).limit(cap)
+    """A result as one JSON document: source, question, summary, and its rows in order, with ``cap`` the first ones.
+
+    A document is one value, so a result that is not small needs a ``cap``.
+    """
+    first = df if cap is None else df.orderBy(*order).limit(cap)
     position = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
     rows = F.transform(
         F.array_sort(F.collect_list(F.struct(position.alias("o"), F.struct(*df.columns).alias("r")))), lambda x: x["r"]

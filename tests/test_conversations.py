@@ -54,13 +54,12 @@ def test_transcript_order_and_defaults(spark):
 
 def test_nested_children(spark):
     messages, tools, thoughts = transcript_inputs(spark)
-    got = {r.message_uuid: r for r in nest_children(messages, tools, "message_uuid", ["created_at", "uuid"], "calls").collect()}
-    assert [c.uuid for c in got["u1"].calls] == ["u3", "u2"] and got["u1"].calls_part == 0
-    assert got["u0"].calls == []
-    parts = nest_children(messages, tools, "message_uuid", ["created_at", "uuid"], "calls", part_rows=1)
-    assert sorted((r.message_uuid, r.calls_part, [c.uuid for c in r.calls]) for r in parts.collect()) == [
-        ("u0", 0, []), ("u1", 0, ["u3"]), ("u1", 1, ["u2"]),
-    ]
+    rows = nest_children(messages, tools, "message_uuid", ["created_at", "uuid"], "calls").collect()
+    got = {(r.message_uuid, r.calls_position): r.calls and r.calls.uuid for r in rows}
+    assert got == {("u1", 0): "u3", ("u1", 1): "u2", ("u0", None): None}
+    many = spark.range(25_000).selectExpr("'u1' AS message_uuid", "id AS created_at", "cast(id AS string) AS uuid")
+    places = nest_children(messages, many, "message_uuid", ["created_at", "uuid"], "calls").filter("message_uuid = 'u1'")
+    assert places.selectExpr("count(*)", "count_if(calls_position = calls.created_at)").first() == (25_000, 25_000)
     assert [r.uuid for r in latest_open(thoughts, "message_uuid", ["created_at"]).collect()] == ["u5"]
 
 
@@ -72,6 +71,7 @@ def test_tool_results_join_their_calls(spark):
         ("c", "t1", "tool", "result 1", []),
         ("c", "t9", "tool", "orphan", []),
         ("c2", "t2", "tool", "other chat", []),
+        ("c", "t1", "tool", "a result before", []),
     ]
     df = spark.createDataFrame(rows, "chat_id string, id string, role string, content string, tool_calls array<struct<id:string,name:string,arguments:string>>")
     got = {(r.chat_id, r.message_id, r.tool_call_id): r for r in cv.attach_tool_results(df).collect()}

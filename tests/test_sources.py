@@ -118,16 +118,20 @@ def test_manifest_rows(spark):
         (3, "[1, 2]"),
         (4, '{"statement_response": 5}'),
         (5, "{}"),
+        (6, envelope([{"name": "a"}, {"name": "a"}, {"name": "b"}], [["1", "2", "3"]])),
     ]
     out = en.manifest_to_rows(spark.createDataFrame(rows, "id int, body string")).orderBy("id", "row_number").collect()
     first = [r.values for r in out if r.id == 1]
     assert first == [{"a": "1", "column_1": "2", "c": "3"}, {"a": "4", "column_1": None, "c": None}]
-    assert [r.values["a"] for r in out if r.id == 2] == [str(i) for i in range(50)]
-    assert {r.id for r in out} == {1, 2}
+    assert [r.values["a"] for r in out if r.id == 2] == [str(i) for i in range(60)]
+    assert [r.values for r in out if r.id == 6] == [{"a": "2", "b": "3"}]
+    capped = en.manifest_to_rows(spark.createDataFrame(rows[1:2], "id int, body string"), cap=50)
+    assert capped.count() == 50
+    assert {r.id for r in out} == {1, 2, 6}
 
 
 def test_json_document(spark):
     df = spark.createDataFrame([(i, f"v{i}") for i in range(60)], "k int, v string")
     doc = json.loads(en.to_json_document(df, "predictions", "which?", ["k"], "text").first().document)
     assert (doc["source"], doc["question"], doc["summary"]) == ("predictions", "which?", "text")
-    assert [r["k"] for r in doc["rows"]] == list(range(50)) and doc["rows"][1] == {"k": 1, "v": "v1"}
+    assert [r["k"] for r in doc["rows"]] == list(range(60)) and doc["rows"][1] == {"k": 1, "v": "v1"}

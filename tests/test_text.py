@@ -65,10 +65,12 @@ def test_redact_json(spark):
     given = [
         '{"access_token": "a\\"b", "n": 1}', '{"a": {"refresh_token": 5, "k": [{"access_token": null}]}}',
         '{"access_token": {"x": "y"}, "other": "access_token"}', '{"my_access_token_2": "keep"}',
+        '{"access_token": {"a": {"b": "secret"}}, "c": [1]}', '[{"access_token": [[1, "s2"], "s3"]}, 7]', '{"access_token": {"cut": "sec', None,
     ]
     assert column(spark, tx.redact_json("x"), given) == [
         '{"access_token": "[REDACTED]", "n": 1}', '{"a": {"refresh_token": "[REDACTED]", "k": [{"access_token": "[REDACTED]"}]}}',
         '{"access_token": "[REDACTED]", "other": "access_token"}', '{"my_access_token_2": "keep"}',
+        '{"access_token": "[REDACTED]", "c": [1]}', '[{"access_token": "[REDACTED]"}, 7]', '{"access_token": "[REDACTED]"', None,
     ]
 
 
