@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larder.functions.scalars import round_to
 from larder.operators.aggregates import grouped
@@ -15,10 +16,8 @@ from larder.session import materialise
 
 PROBABILITY = "shortage_probability_30d"
 KEYS = ("snapshot_date", "location_id", "item_id", "preferred_supplier_id")
-DIMENSIONS = (
-    "region", "location_type", "service", "commodity_group", "family_code", "criticality",
-    "supplier_type", "supplier_region", "mission_priority", "cold_chain_required",
-)
+#: What predictions can be grouped by.
+DIMENSIONS = ("region", "site_kind", "commodity_group", "criticality", "supplier_kind", "supplier_region", "mission_priority", "cold_chain_required")
 
 
 def serve(raw: DataFrame, scoring: DataFrame, raw_col: str, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -88,15 +87,11 @@ def high_risk_by_supplier(predictions: DataFrame, t: float = 0.70) -> DataFrame:
     return counts.filter(F.col("positions_over") > 0).orderBy(F.desc("positions_over"), "preferred_supplier_id")
 
 
-CATEGORICAL = ("commodity_group", "criticality", "region", "location_type", "service", "supplier_type", "supplier_region")
-NUMERIC = (
-    "mission_priority", "supported_population", "unit_cost_usd", "shelf_life_days", "current_on_hand_units",
-    "current_on_order_units", "current_backordered_units", "current_expiring_90d_units",
-    "current_days_of_supply", "minimum_days_supply", "target_days_supply", "inventory_gap_days",
-    "avg_daily_demand_7d", "avg_daily_demand_30d", "demand_growth_7_vs_30", "demand_cv_30d",
-    "avg_days_of_supply_7d", "min_days_of_supply_30d", "on_order_coverage_days", "contract_lead_time_days",
-    "baseline_ontime_rate", "quality_acceptance_rate",
-)
+def feature_columns(df: DataFrame, left_out: Sequence[str]) -> tuple[list[str], list[str]]:
+    """The columns of a model table that are text or truth values, and those that are numbers; dates and the left out are neither."""
+    fields = [f for f in df.schema if f.name not in left_out]
+    named = [f.name for f in fields if f.dataType.typeName() in ("string", "boolean")]
+    return named, [f.name for f in fields if isinstance(f.dataType, T.NumericType)]
 
 
 def time_split(df: DataFrame, cut_date: dt.date, gap_days: int = 30, day: str = "snapshot_date") -> tuple[DataFrame, DataFrame]:
@@ -121,16 +116,13 @@ def train(
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
     from pyspark.ml.feature import StringIndexer, VectorAssembler
 
+    named, numbers = feature_columns(df, (*KEYS, label))
     rows, _ = time_split(df, cut_date, gap_days)
-    rows = materialise(
-        rows.select(
-            *CATEGORICAL, *[F.col(c).cast("double").alias(c) for c in NUMERIC], F.col(label).cast("double").alias("label")
-        )
-    )
-    indexed = [f"{c}_index" for c in CATEGORICAL]
+    rows = materialise(_ready(rows, named, numbers, F.col(label).cast("double").alias("label")))
+    indexed = [f"{c}_index" for c in named]
     stages = [
-        StringIndexer(inputCols=list(CATEGORICAL), outputCols=indexed, handleInvalid="keep"),
-        VectorAssembler(inputCols=[*indexed, *NUMERIC], outputCol="features", handleInvalid="keep"),
+        StringIndexer(inputCols=named, outputCols=indexed, handleInvalid="keep"),
+        VectorAssembler(inputCols=[*indexed, *numbers], outputCol="features", handleInvalid="keep"),
         GBTClassifier(maxIter=trees, maxDepth=4, maxBins=64, seed=7, checkpointInterval=10)
         if kind == "gbt"
         else LogisticRegression(maxIter=50),
@@ -138,9 +130,14 @@ def train(
     return Pipeline(stages=stages).fit(rows)
 
 
+def _ready(df: DataFrame, named: Sequence[str], numbers: Sequence[str], *more: Column | str) -> DataFrame:
+    return df.select(*more, *[F.col(c).cast("string").alias(c) for c in named], *[F.col(c).cast("double").alias(c) for c in numbers])
+
+
 def score(model, df: DataFrame, keys: Sequence[str] = KEYS, out: str = "shortage_within_30d_1_PREDICTION") -> DataFrame:
-    """Raw predictions table: keys and the probability of the positive class."""
+    """Raw predictions table: keys and the probability of the positive class, from the columns that the model was fitted to."""
     from pyspark.ml.functions import vector_to_array
 
-    ready = df.select(*keys, *CATEGORICAL, *[F.col(c).cast("double").alias(c) for c in NUMERIC])
-    return model.transform(ready).select(*keys, vector_to_array("probability")[1].alias(out))
+    named = list(model.stages[0].getInputCols())
+    numbers = [c for c in model.stages[1].getInputCols() if c not in model.stages[0].getOutputCols()]
+    return model.transform(_ready(df, named, numbers, *keys)).select(*keys, vector_to_array("probability")[1].alias(out))

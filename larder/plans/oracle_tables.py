@@ -21,8 +21,9 @@ def _pick(values, index: str) -> str:
     return f"{_list(values)}[CAST(({index}) % {len(values)} AS INTEGER) + 1]"
 
 
-def _band(value: str) -> str:
-    return f"CASE WHEN {value} < 18 THEN 'MISSION_CRITICAL' WHEN {value} < 55 THEN 'HIGH' ELSE 'ROUTINE' END"
+def _criticality(index: str) -> str:
+    value = f"(({index}) * 5 + 4) % 6"
+    return f"CASE WHEN {value} < 1 THEN 'MISSION_CRITICAL' WHEN {value} < 3 THEN 'HIGH' ELSE 'ROUTINE' END"
 
 
 def _crit_days(c: str) -> str:
@@ -58,8 +59,7 @@ def _performance(mode: str, source: str) -> str:
     upper = f"AND ship_date <= {_AS_OF}" if mode == "as_known" else ""
     rate = "CAST(count(*) FILTER (on_time_flag) AS DOUBLE) / nullif(count(on_time_flag), 0)"
     late = "CAST(sum(days_late) AS DOUBLE) / nullif(count(days_late), 0)"
-    return f"""SELECT p.*, s.supplier_name, s.supplier_region, s.supplier_type, s.contract_lead_time_days,
-        s.baseline_ontime_rate
+    return f"""SELECT p.*, s.supplier_name, s.supplier_region, s.contract_lead_time_days
     FROM (SELECT supplier_id, count(*) AS shipments_90d, {rnd(rate, 4)} AS actual_ontime_rate_90d,
             {rnd(late, 2)} AS avg_days_late_90d, max(days_late) AS max_days_late_90d,
             count(*) FILTER (shipment_status = 'LATE') AS late_shipments_90d
@@ -80,30 +80,25 @@ TABLES = {
         CAST(shelf_life_days AS INTEGER) AS shelf_life_days, CAST(unit_cost_usd AS DECIMAL(18,2)) AS unit_cost_usd,
         printf('ITM-%06d', item_index + 1) AS item_id,
         commodity_group || ' item ' || printf('%04d', item_index + 1) AS item_name,
-        {_band('(item_index * 37 + 11) % 100')} AS criticality,
+        {_criticality('item_index')} AS criticality,
         'MED-STOCK-' || family_code AS policy_reference_id,
-        CAST(base_min_days + {_crit_days(_band('(item_index * 37 + 11) % 100'))} AS INTEGER) AS policy_min_days_supply
+        CAST(base_min_days + {_crit_days(_criticality('item_index'))} AS INTEGER) AS policy_min_days_supply
         FROM com""",
     "prt": f"""SELECT printf('PRT-%08d', p_partkey + 1) AS item_id, p_partkey AS item_index,
         c.commodity_group, c.family_code, CAST(c.base_min_days AS INTEGER) AS base_min_days,
-        {_band('(p_partkey * 37 + 11) % 100')} AS criticality,
+        {_criticality('p_partkey')} AS criticality,
         CAST(p_retailprice AS DECIMAL(18,2)) AS unit_cost_usd
         FROM part JOIN com c ON p_type = c.commodity_group""",
     "loc": f"""SELECT CAST(n_nationkey AS BIGINT) AS location_index,
         printf('LOC-%05d', n_nationkey + 1) AS location_id, n_name AS location_name, r_name AS region,
-        {_pick(m.LOCATION_TYPES, 'n_nationkey * 3 + 1')} AS location_type,
-        {_pick(m.SERVICES, 'n_nationkey * 5 + 2')} AS service,
-        CAST(1 + (n_nationkey // 5) % 5 AS INTEGER) AS mission_priority,
-        CAST(1000 + n_nationkey * 337 AS INTEGER) AS supported_population,
-        r_name IN ('ASIA', 'MIDDLE EAST') AS remote_location_flag, n_nationkey % 3 <> 0 AS cold_storage_flag
+        {_pick(m.SITE_KINDS, 'n_nationkey + n_regionkey')} AS site_kind,
+        CAST(1 + (n_nationkey // 5) % 5 AS INTEGER) AS mission_priority, n_nationkey % 3 <> 0 AS cold_storage_flag
         FROM nation JOIN region ON n_regionkey = r_regionkey""",
     "sup": f"""SELECT s_suppkey AS supplier_index, printf('SUP-%05d', s_suppkey + 1) AS supplier_id,
         s_name AS supplier_name, r_name AS supplier_region,
-        {_pick(m.SUPPLIER_TYPES, 's_suppkey * 3 + 1')} AS supplier_type,
+        {_pick(m.SUPPLIER_KINDS, 's_suppkey')} AS supplier_kind,
         CAST(7 + (s_suppkey * 29 + 3) % 63 AS INTEGER) AS contract_lead_time_days,
-        CAST(7600 + (s_suppkey * 131 + 17) % 2300 AS DOUBLE) / 10000e0 AS baseline_ontime_rate,
-        CAST(9650 + (s_suppkey * 53 + 7) % 340 AS DOUBLE) / 10000e0 AS quality_acceptance_rate,
-        (s_suppkey * 41 + 5) % 100 < 55 AS small_business_flag
+        CAST(floor(s_acctbal) AS BIGINT) AS account_balance
         FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     "prs": """SELECT l.location_id, l.location_index, i.item_id, i.item_index, i.commodity_group, i.criticality,
         i.cold_chain_required, i.unit_cost_usd,
@@ -190,13 +185,12 @@ TABLES = {
         CAST(ordered_units * unit_cost_usd AS DECIMAL(28,2)) AS extended_value_usd FROM ord1""",
     "late": """SELECT location_id, item_id, count(*) AS backordered_orders,
         CAST(sum(ordered_units - delivered_units) AS BIGINT) AS late_inbound_units,
-        min(promised_delivery_date) AS oldest_missed_promise_date
+        min(promised_delivery_date) AS waiting_since
         FROM ord WHERE order_status = 'BACKORDERED' GROUP BY ALL""",
     "evt": f"""SELECT printf('EVT-%06d', s_suppkey * 2 + k + 1) AS event_id,
         printf('SUP-%05d', s_suppkey + 1) AS supplier_id,
         {_pick(_EVENT_TYPES, 's_suppkey * 5 + k + 1')} AS event_type,
-        CASE WHEN (s_suppkey * 37 + k * 53 + 11) % 100 < 18 THEN 'SEVERE'
-            WHEN (s_suppkey * 37 + k * 53 + 11) % 100 < 55 THEN 'MODERATE' ELSE 'LOW' END AS severity,
+        CASE WHEN (s_suppkey + k) % 10 < 2 THEN 'SEVERE' WHEN (s_suppkey + k) % 10 < 6 THEN 'MODERATE' ELSE 'LOW' END AS severity,
         {_START} + CAST((s_suppkey * 97 + k * 211 + 13) % 520 AS INTEGER) AS start_date,
         {_START} + CAST((s_suppkey * 97 + k * 211 + 13) % 520 AS INTEGER)
             + CAST(5 + (s_suppkey * 17 + k * 7) % 36 AS INTEGER) AS end_date,
@@ -205,17 +199,11 @@ TABLES = {
     "active": f"""SELECT supplier_id, count(*) AS active_events,
         list_sort(list_distinct(list(event_type))) AS active_event_types
         FROM evt WHERE start_date <= {_AS_OF} AND end_date >= {_AS_OF} GROUP BY supplier_id""",
-    "pos": f"""SELECT v.snapshot_date, location_id, l.location_name, l.region, l.location_type, l.service,
-        l.mission_priority, l.supported_population, item_id, i.item_name, i.commodity_group, i.family_code,
-        i.criticality, i.policy_reference_id, i.cold_chain_required, i.unit_cost_usd, v.preferred_supplier_id,
-        p.supplier_name, p.supplier_region, p.supplier_type, v.daily_demand_units, v.on_hand_units, v.on_order_units,
-        v.backordered_units, v.days_of_supply, v.minimum_days_supply, v.target_days_supply,
-        CAST(v.days_of_supply - v.minimum_days_supply AS DECIMAL(18,2)) AS days_above_minimum,
-        v.inventory_status, v.inventory_value_usd, coalesce(o.backordered_orders, 0) AS backordered_orders,
-        coalesce(o.late_inbound_units, 0) AS late_inbound_units, o.oldest_missed_promise_date,
-        p.contract_lead_time_days, p.actual_ontime_rate_90d, p.avg_days_late_90d,
-        coalesce(p.late_shipments_90d, 0) AS late_shipments_90d,
-        v.snapshot_date + CAST(ceil(v.days_of_supply) AS INTEGER) AS estimated_stockout_date
+    "pos": f"""SELECT v.*, CAST(v.days_of_supply - v.minimum_days_supply AS DECIMAL(18,2)) AS days_above_minimum,
+        v.snapshot_date + CAST(ceil(v.days_of_supply) AS INTEGER) AS runs_out_on,
+        i.item_name, i.commodity_group, i.criticality, i.cold_chain_required, i.policy_reference_id,
+        l.location_name, l.region, l.mission_priority, p.supplier_name, p.contract_lead_time_days, p.actual_ontime_rate_90d,
+        coalesce(o.backordered_orders, 0) AS backordered_orders, coalesce(o.late_inbound_units, 0) AS late_inbound_units
         FROM inv v JOIN itm i USING (item_id) JOIN loc l USING (location_id)
         LEFT JOIN perf p ON p.supplier_id = v.preferred_supplier_id
         LEFT JOIN late o USING (location_id, item_id) WHERE v.snapshot_date = {_AS_OF}""",
@@ -247,29 +235,21 @@ TABLES = {
         CAST(days_of_supply - minimum_days_supply AS DOUBLE) AS inventory_gap_days,
         CASE WHEN avg_daily_demand_30d > 0 THEN on_order_units / avg_daily_demand_30d ELSE 0e0 END
             AS on_order_coverage_days FROM feat0""",
-    "feat_x": """SELECT f.snapshot_date, f.location_id, f.item_id, f.preferred_supplier_id, i.commodity_group,
-        i.criticality, i.family_code, l.region, l.location_type, l.service, s.supplier_type, s.supplier_region,
-        l.mission_priority, l.supported_population, l.remote_location_flag, i.cold_chain_required,
-        s.small_business_flag, i.unit_cost_usd, i.shelf_life_days, f.on_hand_units AS current_on_hand_units,
-        f.on_order_units AS current_on_order_units, f.backordered_units AS current_backordered_units,
-        f.expiring_within_90_days_units AS current_expiring_90d_units, f.days_of_supply AS current_days_of_supply,
-        f.minimum_days_supply, f.target_days_supply, f.inventory_gap_days, f.avg_daily_demand_7d,
-        f.avg_daily_demand_30d, f.demand_growth_7_vs_30, f.demand_cv_30d, f.avg_days_of_supply_7d,
-        f.min_days_of_supply_30d, f.on_order_coverage_days, s.contract_lead_time_days, s.baseline_ontime_rate,
-        s.quality_acceptance_rate, f.future_shortage_flag
+    "feat_x": """SELECT f.* EXCLUDE (snapshot_month, daily_demand_units, demand_stddev_30d, inventory_status, inventory_value_usd),
+        i.commodity_group, i.criticality, i.unit_cost_usd, i.cold_chain_required, l.region, l.site_kind, l.mission_priority,
+        s.supplier_kind, s.supplier_region, s.contract_lead_time_days, s.account_balance
         FROM feat f JOIN itm i USING (item_id) JOIN loc l USING (location_id)
         JOIN sup s ON s.supplier_id = f.preferred_supplier_id""",
     "trn": f"""SELECT * EXCLUDE (future_shortage_flag), CAST(future_shortage_flag AS INTEGER) AS shortage_within_30d
         FROM feat_x WHERE date_diff('day', {_START}, snapshot_date) % 7 = 0 AND snapshot_date <= {_AS_OF} - 30
-        AND current_days_of_supply >= minimum_days_supply AND future_shortage_flag IS NOT NULL""",
-    "scr": f"""SELECT * EXCLUDE (future_shortage_flag), current_days_of_supply < minimum_days_supply
+        AND days_of_supply >= minimum_days_supply AND future_shortage_flag IS NOT NULL""",
+    "scr": f"""SELECT * EXCLUDE (future_shortage_flag), days_of_supply < minimum_days_supply
         AS currently_below_minimum FROM feat_x WHERE snapshot_date = {_AS_OF}""",
-    "pred": """SELECT snapshot_date, location_id, item_id, preferred_supplier_id, region, location_type, service,
-        commodity_group, family_code, criticality, supplier_type, supplier_region, mission_priority,
-        cold_chain_required, 4e0 * minimum_days_supply / (4e0 * minimum_days_supply
-            + CAST(current_days_of_supply AS DOUBLE)) AS shortage_probability_30d FROM scr""",
+    "pred": """SELECT snapshot_date, location_id, item_id, preferred_supplier_id, region, site_kind, commodity_group,
+        criticality, supplier_kind, supplier_region, mission_priority, cold_chain_required, 4e0 * minimum_days_supply / (4e0 * minimum_days_supply
+            + CAST(days_of_supply AS DOUBLE)) AS shortage_probability_30d FROM scr""",
     "trs": """SELECT *, 4e0 * minimum_days_supply / (4e0 * minimum_days_supply
-        + CAST(current_days_of_supply AS DOUBLE)) AS p FROM trn""",
+        + CAST(days_of_supply AS DOUBLE)) AS p FROM trn""",
     "lab": """SELECT doc_id, quality, toxic, CAST((doc_id * 7919) % 1000 + 300 * quality AS DOUBLE) / 1300e0 AS p
         FROM labels""",
     "req": """SELECT event_id, user_id AS thread_id, ts, event_type AS name,

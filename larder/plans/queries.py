@@ -97,7 +97,7 @@ def _(spark, d):
 @query("prediction_view", "SELECT * FROM pred")
 def _(spark, d):
     scoring = materialise(_scoring(spark, d))
-    raw = m.raw_predictions(scoring, "current_days_of_supply")
+    raw = m.raw_predictions(scoring, "days_of_supply")
     rk.prediction_view(scoring, raw, m.RAW_PREDICTION, "shortage_risk_predictions")
     return spark.table("shortage_risk_predictions")
 
@@ -109,22 +109,20 @@ def _stock(spark, d):
 
 def _scoring(spark, d, stock=None):
     stock = m.inventory(spark, d) if stock is None else stock
-    return ft.scoring_set(stock, m.items(spark), m.locations(spark, d), m.suppliers(spark, d), AS_OF)
+    return ft.scoring_set(stock, m.described(spark, d), AS_OF)
 
 
 def _training(spark, d):
-    return ft.training_set(
-        m.inventory(spark, d), m.items(spark), m.locations(spark, d), m.suppliers(spark, d), START, AS_OF
-    )
+    return ft.training_set(m.inventory(spark, d), m.described(spark, d), START, AS_OF)
 
 
 def _predictions(spark, d, stock=None):
     scoring = materialise(_scoring(spark, d, stock))  # the stand-in predictions are made from it too
-    return rk.prediction_view(scoring, m.raw_predictions(scoring, "current_days_of_supply"), m.RAW_PREDICTION)
+    return rk.prediction_view(scoring, m.raw_predictions(scoring, "days_of_supply"), m.RAW_PREDICTION)
 
 
 def _scored_training(spark, d):
-    return _training(spark, d).withColumn("p", m.risk_score("current_days_of_supply", "minimum_days_supply"))
+    return _training(spark, d).withColumn("p", m.risk_score("days_of_supply", "minimum_days_supply"))
 
 
 # --- projections and predicates --------------------------------------------------------------------
@@ -196,7 +194,7 @@ def _(spark, d):
     coalesce(late_inbound_units, 0) AS late_inbound_units FROM prs LEFT JOIN late USING (location_id, item_id)""",
 )
 def _(spark, d):
-    late = sp.late_orders(m.order_lines(spark, d)).drop("oldest_missed_promise_date")
+    late = sp.late_orders(m.order_lines(spark, d)).drop("waiting_since")
     both = m.pairs(spark, d).select(*KEYS).join(late, KEYS, "left")
     return pr.fill_nulls(both, {"backordered_orders": 0, "late_inbound_units": 0})
 
@@ -206,15 +204,15 @@ def _(spark, d):
 
 @query(
     "enrich",
-    """SELECT region, supplier_type, commodity_group, CAST(sum(on_hand_units) AS BIGINT) AS on_hand_units
+    """SELECT region, supplier_kind, commodity_group, CAST(sum(on_hand_units) AS BIGINT) AS on_hand_units
     FROM inv JOIN (SELECT item_id, commodity_group FROM itm) i USING (item_id) JOIN loc USING (location_id)
     JOIN sup ON supplier_id = preferred_supplier_id GROUP BY ALL""",
 )
 def _(spark, d):
     out = jn.enrich(m.inventory(spark, d), m.items(spark), "item_id", ["commodity_group"])
     out = jn.enrich(out, m.locations(spark, d), "location_id", ["region"])
-    out = jn.enrich(out, m.suppliers(spark, d), "preferred_supplier_id", ["supplier_type"], dim_key="supplier_id")
-    return out.groupBy("region", "supplier_type", "commodity_group").agg(F.sum("on_hand_units").alias("on_hand_units"))
+    out = jn.enrich(out, m.suppliers(spark, d), "preferred_supplier_id", ["supplier_kind"], dim_key="supplier_id")
+    return out.groupBy("region", "supplier_kind", "commodity_group").agg(F.sum("on_hand_units").alias("on_hand_units"))
 
 
 @query(
@@ -360,9 +358,9 @@ def _(spark, d):
     return rk.risk_by(_predictions(spark, d), ["region", "criticality"], "rollup")
 
 
-@query("risk_by_cube", f"SELECT supplier_type, location_type, {_RISK} FROM pred GROUP BY CUBE (supplier_type, location_type)")
+@query("risk_by_cube", f"SELECT supplier_kind, site_kind, {_RISK} FROM pred GROUP BY CUBE (supplier_kind, site_kind)")
 def _(spark, d):
-    return rk.risk_by(_predictions(spark, d), ["supplier_type", "location_type"], "cube")
+    return rk.risk_by(_predictions(spark, d), ["supplier_kind", "site_kind"], "cube")
 
 
 @query("count_over", "SELECT region, count(*) FILTER (shortage_probability_30d >= 0.7) AS positions_over FROM pred GROUP BY 1")
@@ -1113,7 +1111,7 @@ def _(spark, d):
 @query("serve", "SELECT snapshot_date, location_id, item_id, preferred_supplier_id, shortage_probability_30d FROM pred")
 def _(spark, d):
     scoring = materialise(_scoring(spark, d))
-    return rk.serve(m.raw_predictions(scoring, "current_days_of_supply"), scoring, m.RAW_PREDICTION)
+    return rk.serve(m.raw_predictions(scoring, "days_of_supply"), scoring, m.RAW_PREDICTION)
 
 
 @query(
@@ -1235,7 +1233,7 @@ def _(spark, d):
     return mq.ramp_test(mq.monthly_prevalence(_training(spark, d)))
 
 
-_COMPARED = ["current_days_of_supply", "inventory_gap_days", "demand_growth_7_vs_30"]
+_COMPARED = ["days_of_supply", "inventory_gap_days", "demand_growth_7_vs_30"]
 
 
 def _mean6(c: str) -> str:
@@ -1263,7 +1261,7 @@ def _(spark, d):
     return mq.target_balance(_training(spark, d))
 
 
-_PSI_COLS = ["current_days_of_supply", "avg_daily_demand_30d", "demand_cv_30d"]
+_PSI_COLS = ["days_of_supply", "avg_daily_demand_30d", "demand_cv_30d"]
 _PSI_LONG = " UNION ALL ".join(
     f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS x, snapshot_date < DATE '{FOLD_CUTS[1]}' AS base FROM trn" for c in _PSI_COLS
 )

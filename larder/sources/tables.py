@@ -18,6 +18,7 @@ SECTION_SCHEMA = (
     "section_id string, policy_type string, authority string, effective_date date, "
     "synthetic_policy boolean, applies_to string"
 )
+# The fields of a published figure.
 METRIC_SCHEMA = T.StructType(
     [
         T.StructField("scope", T.StringType(), False),
@@ -31,15 +32,6 @@ METRIC_SCHEMA = T.StructType(
 )
 
 
-def quote(name: str) -> str:
-    """One identifier, or a list of up to three joined by dots, in backticks."""
-    return "`" + name.replace("`", "``") + "`"
-
-
-def qualified(*parts: str) -> str:
-    return ".".join(quote(p) for p in parts)
-
-
 def read_table(spark: SparkSession, name: str, folder: str | None = None, schema: str | None = None) -> DataFrame:
     """A catalog table or view by name, or the parquet file of that name in a folder."""
     if folder is None:
@@ -49,9 +41,11 @@ def read_table(spark: SparkSession, name: str, folder: str | None = None, schema
 
 
 def ensure_schema(spark: SparkSession, name: str, use: bool = True) -> None:
-    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {quote(name)}")
+    """Make a schema unless the catalog has it, and switch to it."""
+    if not spark.catalog.databaseExists(name):
+        spark.sql("CREATE SCHEMA IF NOT EXISTS IDENTIFIER(:name)", args={"name": name})
     if use:
-        spark.sql(f"USE {quote(name)}")
+        spark.catalog.setCurrentDatabase(name)
 
 
 def write_table(
@@ -75,13 +69,13 @@ def overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str])
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
 
 
-def drop_tables(spark: SparkSession, names: Sequence[str]) -> None:
-    for name in names:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-
-
-def table_count(spark: SparkSession, name: str) -> int:
-    return spark.table(name).count()
+def drop_known(spark: SparkSession, schema: str, names: Sequence[str]) -> list[str]:
+    """Drop the named tables that a schema has, and nothing else; gives the names of those that went."""
+    there = {t.name for t in spark.catalog.listTables(schema) if not t.isTemporary}
+    gone = [n for n in names if n in there]
+    for name in gone:
+        spark.sql("DROP TABLE IDENTIFIER(:name)", args={"name": f"{schema}.{name}"})
+    return gone
 
 
 def table_counts(tables: Mapping[str, DataFrame]) -> DataFrame:

@@ -105,18 +105,18 @@ def test_time_split_and_training(spark):
 
 
 def test_logistic_model_scores_every_row(spark):
-    from larder.operators.features import MODEL_COLUMNS
+    from larder.operators.features import MEASURES, STATE
 
     def value(name):
-        if name in rk.CATEGORICAL:
-            return F.concat(F.lit("v"), F.col("id") % 2).alias(name)
         if name == "snapshot_date":
             return F.date_add(F.lit(dt.date(2024, 1, 1)), (F.col("id") % 200).cast("int")).alias(name)
-        if name in rk.NUMERIC:
-            return (F.col("id") % 17).cast("double").alias(name)
-        return F.col("id").cast("string").alias(name)
+        if name in ("region", "cold_chain_required"):
+            return (F.concat(F.lit("v"), F.col("id") % 2) if name == "region" else F.col("id") % 2 == 0).alias(name)
+        return (F.col("id").cast("string") if name in rk.KEYS else (F.col("id") % 17).cast("double")).alias(name)
 
-    rows = spark.range(300).select(*[value(c) for c in MODEL_COLUMNS], (F.col("id") % 17 > 9).cast("int").alias("shortage_within_30d"))
+    names = (*rk.KEYS, *STATE, *MEASURES, "region", "cold_chain_required")
+    rows = spark.range(300).select(*[value(c) for c in names], (F.col("id") % 17 > 9).cast("int").alias("shortage_within_30d"))
+    assert rk.feature_columns(rows, (*rk.KEYS, "shortage_within_30d")) == (["region", "cold_chain_required"], [*STATE, *MEASURES])
     model = rk.train(rows, dt.date(2024, 6, 1), kind="logistic")
     out = rk.score(model, rows)
     assert out.count() == 300
@@ -139,7 +139,7 @@ def test_run_outcomes(spark):
         "ok": "finished", "bad": "error", "cut": "incomplete", "http": "http_error", "slow": "timeout", "odd": "exception",
     }
     assert (got["ok"].total_duration_s, got["ok"].ttft_s, got["ok"].error_detail) == (5.0, 2.0, None)
-    assert (got["bad"].ttft_s, len(got["bad"].error_detail), got["http"].http_status) == (None, 200, 503)
+    assert (got["bad"].ttft_s, len(got["bad"].error_detail), got["http"].http_status) == (None, 300, 503)
 
 
 def test_latency_small_groups_and_sketch(spark):

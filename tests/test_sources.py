@@ -15,7 +15,7 @@ def test_catalog_tables(spark):
     tb.ensure_schema(spark, "readiness", use=False)
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "id int, p string")
     tb.write_table(df, "readiness.facts", ["p"], "It's a fact")
-    assert tb.table_count(spark, "readiness.facts") == 3
+    assert tb.table_counts({"facts": tb.read_table(spark, "readiness.facts")}).first() == ("facts", 3)
     listed = {r.table_name for r in tb.list_tables(spark, "readiness").collect()}
     assert listed == {"facts"}
     df.createOrReplaceTempView("facts_view")
@@ -25,9 +25,10 @@ def test_catalog_tables(spark):
     tb.write_table(df.withColumn("extra", F.lit(1)).filter("id > 1"), "readiness.facts")
     again = tb.read_table(spark, "readiness.facts")
     assert again.columns == ["id", "p", "extra"] and again.count() == 2
-    tb.drop_tables(spark, ["readiness.facts", "readiness.never_there"])
-    assert tb.list_tables(spark, "readiness").count() == 0
-    assert tb.qualified("a", "b`c") == "`a`.`b``c`"
+    tb.write_table(df, "readiness.stays")
+    assert tb.drop_known(spark, "readiness", ["facts", "never_there"]) == ["facts"]
+    assert [r.table_name for r in tb.list_tables(spark, "readiness").collect()] == ["stays"]
+    tb.drop_known(spark, "readiness", ["stays"])
 
 
 def test_overwrite_partitions(spark, tmp_path):
