@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -36,17 +38,27 @@ def build_session(app: str = "larder", master: str | None = None, **conf: str) -
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint, for a result that is read many times.
+    """Cut lineage with a reliable checkpoint in the shared folder, for a result that is read many times."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Without one there is nothing
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for rows that all executors read again.
+
+    It is the one the cluster names in ``spark.checkpoint.dir``. Without one there is nothing
     that all executors share: on a cluster that is an error; in local mode, where all threads share a
     disk, the rows come from a folder in the session's warehouse.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None and not (context.master == "local" or context.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()

@@ -30,6 +30,21 @@ def _seconds(text: str) -> int:
     return int(dt.timedelta(**{unit.rstrip("s") + "s": int(number)}).total_seconds())
 
 
+def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Run a stream over all input there is, and give what it wrote under ``folder``.
+
+    In the complete mode each micro-batch replaces the result, else it adds to it.
+    """
+    out = f"{folder}/out"
+    writer = stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").option("path", out).start()
+    else:
+        query = writer.outputMode(mode).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+
+
 def stream_dedup(
     messages: DataFrame, delay: str = "10 minutes", keys: Sequence[str] = ("chat_id", "message_id"), ts: str = "ts"
 ) -> DataFrame:
@@ -139,18 +154,21 @@ def stream_status_alerts(inventory: DataFrame, delay: str = "10 minutes", ts: st
 
 
 def stream_messages(
-    events: DataFrame, idle: str = "30 minutes", delay: str = "10 minutes", keep: str = "1 day"
+    events: DataFrame, idle: str = "30 minutes", delay: str = "10 minutes", keep: str = "1 day", arrived: str | None = None
 ) -> DataFrame:
     """Resolve a stream of run events; group the rows with the ``assemble_*`` functions on read.
 
     State per chat is what is active now and the ids of its messages, never their text.
     ``late`` marks events that come after their run was closed for idleness; a chat is forgotten when
-    nothing came for ``keep`` after that.
+    nothing came for ``keep`` after that. What counts is when events arrive: the column ``arrived``
+    where the source gives one, which then must not go back, else the time of the micro-batch. An
+    event's own time may be as old as it likes, so that no event is behind the watermark and lost.
     """
     from larder.streaming.stateful import CHAT_STATE, RESOLVED_SCHEMA, make_resolver
 
     return (
-        events.withWatermark("ts", delay)
+        events.withColumn("arrived", F.col(arrived) if arrived else F.current_timestamp())
+        .withWatermark("arrived", delay)
         .groupBy("chat_id")
         .applyInPandasWithState(
             make_resolver(_seconds(idle), _seconds(keep)), RESOLVED_SCHEMA, CHAT_STATE, "append", "EventTimeTimeout"

@@ -161,8 +161,9 @@ def make_resolver(idle_seconds: int, keep_seconds: int):
             resolved.append({"late": True} if late else resolve_one(chat, memory, e))
             memory["seq"] = max(memory.get("seq", -1), int(e["seq"]))
             memory["ts"] = max(memory.get("ts", 0), pd.Timestamp(e["ts"]).value // 1000)
+            memory["at"] = max(memory.get("at", 0), pd.Timestamp(e["arrived"]).value // 1000)
         state.update((json.dumps(memory),))
-        timeout = max(memory["ts"] // 1000 + idle_seconds * 1000, state.getCurrentWatermarkMs() + 1)
+        timeout = max(memory["at"] // 1000 + idle_seconds * 1000, state.getCurrentWatermarkMs() + 1)
         state.setTimeoutTimestamp(timeout)
         yield rows_of(events, resolved)
 

@@ -69,7 +69,7 @@ def test_stream_fold_equals_batch_fold(spark, tmp_path):
     third = len(rows) // 3
     by_time = sorted(rows, key=lambda r: (r["seq"], r["chat_id"]))
     batches = [frame(spark, by_time[:third]), frame(spark, by_time[third : 2 * third]), frame(spark, by_time[2 * third :])]
-    out = run(spark, sj.stream_messages(stream_of(spark, batches, tmp_path / "in"), idle="30 minutes"), "resolved", tmp_path / "cp")
+    out = run(spark, sj.stream_messages(stream_of(spark, batches, tmp_path / "in"), idle="30 minutes", arrived="ts"), "resolved", tmp_path / "cp")
     resolved = out.filter("NOT late").drop("late")
     batch = cv.resolve_events(whole)
     for assemble in (cv.assemble_messages, cv.assemble_tool_calls, cv.assemble_reasonings):
@@ -87,7 +87,7 @@ def test_idle_runs_are_closed_and_later_events_are_marked(spark, tmp_path):
     three = frame(spark, [event("b", 1, at(9001), "TEXT_MESSAGE_CONTENT", message_id="n", delta="z")])
     four = frame(spark, [event("a", 1, at(9002), "TEXT_MESSAGE_CONTENT", message_id="m", delta="late")])
     stream = stream_of(spark, [one, two, three, four], tmp_path / "in")
-    out = run(spark, sj.stream_messages(stream, idle="10 minutes", delay="1 second"), "idle", tmp_path / "cp")
+    out = run(spark, sj.stream_messages(stream, idle="10 minutes", delay="1 second", arrived="ts"), "idle", tmp_path / "cp")
     rows = out.collect()
     assert [(r.chat_id, r.seq) for r in rows if r.late] == [("a", 1)]
     messages = {m.message_id: m for m in cv.assemble_messages(out.filter("NOT late")).collect()}
@@ -95,6 +95,23 @@ def test_idle_runs_are_closed_and_later_events_are_marked(spark, tmp_path):
     assert (messages["n"].content, messages["n"].in_progress) == ("yz", True)
 
 
+def test_events_with_an_old_time_are_not_lost(spark, tmp_path):
+    def event(chat, seq, when, came, **f):
+        row = dict.fromkeys(cv.EVENT_FIELDS)
+        row.update(chat_id=chat, run_id="r", seq=seq, ts=when, type="TEXT_MESSAGE_CONTENT", **f)
+        return frame(spark, [row]).withColumn("came", F.lit(came))
+
+    batches = [
+        event("a", 0, at(0), at(10), message_id="m", delta="x"), event("b", 0, at(9000), at(9000), message_id="n", delta="y"),
+        event("b", 1, at(9001), at(9001), message_id="n", delta="z"), event("a", 1, at(1), at(9002), message_id="m", delta="old"),
+        event("c", 0, at(2), at(9003), message_id="o", delta="first of its chat"),
+    ]
+    stream = stream_of(spark, batches, tmp_path / "in")
+    out = run(spark, sj.stream_messages(stream, idle="10 minutes", delay="1 second", arrived="came"), "old", tmp_path / "cp").collect()
+    assert sorted((r.chat_id, r.seq) for r in out if r.late) == [("a", 1)]
+    assert [(r.chat_id, r.delta) for r in out if r.chat_id == "c"] == [("c", "first of its chat")]
+
+
 def test_forgotten_chats_start_afresh(spark, tmp_path):
     def event(chat, seq, when, **f):
         row = dict.fromkeys(cv.EVENT_FIELDS)
@@ -104,7 +121,7 @@ def test_forgotten_chats_start_afresh(spark, tmp_path):
     others = [event("b", i, at(9000 * (i + 1)), message_id="n") for i in range(4)]
     batches = [event("a", 0, at(0), message_id="m"), *others, event("a", 1, at(36_001), message_id="m")]
     stream = stream_of(spark, batches, tmp_path / "in")
-    out = run(spark, sj.stream_messages(stream, "10 minutes", "1 second", keep="1 hour"), "forgotten", tmp_path / "cp")
+    out = run(spark, sj.stream_messages(stream, "10 minutes", "1 second", keep="1 hour", arrived="ts"), "forgotten", tmp_path / "cp")
     assert [(r.seq, r.late) for r in out.filter("chat_id = 'a' AND type <> 'RUN_FINISHED'").orderBy("seq").collect()] == [(0, False), (1, False)]
 
 
