@@ -109,11 +109,12 @@ def disruption_days(
     supplier: str = "preferred_supplier_id",
     day: str = "snapshot_date",
     out: str = "disrupted_days",
+    ahead: int = 0,
 ) -> DataFrame:
-    """Days with a disruption at the preferred supplier in the last ``lookback`` days, today included.
+    """Days with a disruption at the preferred supplier in the last ``lookback`` days, today included, and in the next ``ahead``.
 
     Intervals become one row per supplier and affected day (overlaps merge), each such day is then
-    spread over the ``lookback`` following days it counts for and counted there. The position is
+    spread over the days it counts for and counted there. The position is
     joined once, by equality on supplier and day: no range join, and a supplier with very many
     events adds no more than its calendar.
     """
@@ -125,7 +126,7 @@ def disruption_days(
         affected.select(
             F.col("supplier_id").alias(supplier),
             F.explode(
-                F.sequence("affected", F.date_add("affected", lookback - 1), F.expr("interval 1 day"))
+                F.sequence(F.date_sub("affected", ahead), F.date_add("affected", lookback - 1), F.expr("interval 1 day"))
             ).alias(day),
         )
         .groupBy(supplier, day)

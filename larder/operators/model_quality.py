@@ -221,8 +221,9 @@ def target_balance(train: DataFrame, y: str = "shortage_within_30d") -> DataFram
 def psi(base: DataFrame, current: DataFrame, cols: Sequence[str], bins: int = 10, floor: float = 1e-6) -> DataFrame:
     """Population stability index per column between two windows.
 
-    Bins have equal width between the extremes of the base; values outside fall in the end bins. Bin
-    parts are floored, so an empty bin gives a large but finite score.
+    Bins hold equal parts of the base: they begin at the smallest values whose share of smaller ones reaches the next
+    part, so that no single value makes all bins but one empty. Smaller values than any fall in the first bin. Bin parts
+    are floored, so an empty bin gives a large but finite score.
     """
 
     def long(df: DataFrame, side: str) -> DataFrame:
@@ -231,11 +232,14 @@ def psi(base: DataFrame, current: DataFrame, cols: Sequence[str], bins: int = 10
             F.col("x").isNotNull()
         )
 
-    limits = long(base, "base").groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    rows = long(base, "base").unionByName(long(current, "current")).join(F.broadcast(limits), "feature")
-    width = F.col("hi") - F.col("lo")
-    at = F.when(width > 0, F.floor((F.col("x") - F.col("lo")) / width * bins)).otherwise(F.lit(0))
-    slot = F.greatest(F.lit(0), F.least(F.lit(bins - 1), at)).cast("int")
+    values = long(base, "base").groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n"))
+    placed = running_totals(values, ["feature"], "x", {"before": "n"})
+    total = values.groupBy("feature").agg(F.sum("n").alias("total"))  # one row per feature, as are the edges
+    bin_of = F.floor(F.col("before") * bins / F.col("total"))
+    edges = placed.join(F.broadcast(total), "feature").groupBy("feature", bin_of.alias("part")).agg(F.min("x").alias("edge"))
+    edges = edges.groupBy("feature").agg(F.collect_list("edge").alias("edges"))
+    rows = long(base, "base").unionByName(long(current, "current")).join(F.broadcast(edges), "feature")
+    slot = F.greatest(F.lit(1), F.size(F.filter("edges", lambda e: e <= F.col("x")))).cast("int")
     counted = rows.groupBy("feature", slot.alias("bin")).agg(
         F.count_if(F.col("side") == "base").alias("b"), F.count_if(F.col("side") == "current").alias("c")
     )

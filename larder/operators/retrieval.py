@@ -72,8 +72,10 @@ def _finish(parts: list[DataFrame], k: int, digits: int) -> DataFrame:
 def retrieve_vectors(queries: DataFrame, sections: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """Best k sections per query by cosine of dense vectors.
 
-    Both sides have a whole-number ``id`` and an array column ``vector``.
+    Both sides have a whole-number ``id`` and an array column ``vector``; a row without a vector finds nothing.
     """
+    queries = queries.filter(F.col("id").isNotNull() & F.col("vector").isNotNull())
+    sections = sections.filter(F.col("vector").isNotNull())
 
     def unit(vectors) -> np.ndarray:
         m = np.asarray(vectors.tolist(), dtype=np.float64)
@@ -96,8 +98,9 @@ def retrieve_top_k(queries: DataFrame, sections: DataFrame, k: int, digits: int
     Words are lower-cased and cut at white space. Section weights are 1 + ln tf, query weights
     (1 + ln tf) · ln(N / df), both normalised (the lnc.ltc scheme). Only the words of the queries need
     a document frequency, so the vocabulary of the sections is never shuffled. Both sides have a
-    whole-number ``id`` and a ``text``; whole texts are used.
+    whole-number ``id`` and a ``text``; whole texts are used. A query or section without text finds nothing.
     """
+    queries = queries.filter(F.col("id").isNotNull() & F.col("text").isNotNull())
     spark = sections.sparkSession
     texts = sections.filter(F.col("text").isNotNull()).select("id", F.lower("text").alias("text"))
     n = texts.count()

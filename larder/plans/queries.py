@@ -298,6 +298,19 @@ def _(spark, d):
     return jn.disruption_days(daily, m.supplier_events(spark, d), 30).drop("preferred_supplier_id")
 
 
+@query(
+    "disruption_days_ahead",
+    """SELECT v.location_id, v.item_id, v.snapshot_date, count(DISTINCT a.day) AS disrupted_days
+    FROM inv v LEFT JOIN (SELECT DISTINCT supplier_id, CAST(unnest(generate_series(start_date, end_date, INTERVAL 1 DAY)) AS DATE) AS day
+        FROM evt) a ON a.supplier_id = v.preferred_supplier_id AND a.day BETWEEN v.snapshot_date + 1 AND v.snapshot_date + 30
+    GROUP BY ALL""",
+)
+def _(spark, d):
+    """The next 30 days, without today."""
+    daily = m.inventory(spark, d).select(*KEYS, "preferred_supplier_id", "snapshot_date")
+    return jn.disruption_days(daily, m.supplier_events(spark, d), 0, ahead=30).drop("preferred_supplier_id")
+
+
 # --- aggregates ------------------------------------------------------------------------------------
 
 
@@ -959,6 +972,15 @@ def _(spark, d):
     return out.select(*KEYS, "days_above_minimum", "active_events")
 
 
+@query(
+    "elevated_review_wide",
+    f"SELECT location_id, item_id, days_above_minimum, active_events FROM posx WHERE {_NEAR.replace('+ 5', '+ 40')} AND ({_PRESSURE} OR active_events > 0)",
+)
+def _(spark, d):
+    out = es.elevated_review(m.position(spark, d), m.supplier_events(spark, d), AS_OF, band=40)
+    return out.select(*KEYS, "days_above_minimum", "active_events")
+
+
 @query("predictive_trigger", "SELECT * FROM pred WHERE shortage_probability_30d >= 0.7 AND criticality IN ('MISSION_CRITICAL', 'HIGH')")
 def _(spark, d):
     return es.predictive_trigger(_predictions(spark, d))
@@ -1272,9 +1294,10 @@ _PSI_LONG = " UNION ALL ".join(
     f"""SELECT feature, {rnd("CAST(sum(CAST((pc - pb) * ln(pc / pb) AS DECIMAL(28,15))) AS DOUBLE)", 6)} AS psi FROM (
     SELECT feature, greatest(1e-6, CAST(b AS DOUBLE) / CAST(sum(b) OVER (PARTITION BY feature) AS DOUBLE)) AS pb,
         greatest(1e-6, CAST(c AS DOUBLE) / CAST(sum(c) OVER (PARTITION BY feature) AS DOUBLE)) AS pc FROM (
-        SELECT feature, greatest(0, least(9, CASE WHEN hi - lo > 0 THEN floor((x - lo) / (hi - lo) * 10) ELSE 0 END)) AS bin,
-            count(*) FILTER (base) AS b, count(*) FILTER (NOT base) AS c
-        FROM ({_PSI_LONG}) JOIN (SELECT feature, min(x) AS lo, max(x) AS hi FROM ({_PSI_LONG}) WHERE base GROUP BY 1) USING (feature)
+        SELECT feature, greatest(1, len(list_filter(edges, lambda e: e <= x))) AS bin, count(*) FILTER (base) AS b, count(*) FILTER (NOT base) AS c
+        FROM ({_PSI_LONG}) JOIN (SELECT feature, list(edge) AS edges FROM (SELECT feature, part, min(x) AS edge FROM (
+            SELECT feature, x, (rank() OVER (PARTITION BY feature ORDER BY x) - 1) * 10 // count(*) OVER (PARTITION BY feature) AS part
+            FROM ({_PSI_LONG}) WHERE base) GROUP BY ALL) GROUP BY feature) USING (feature)
         GROUP BY ALL)) GROUP BY feature""",
 )
 def _(spark, d):
@@ -1476,13 +1499,25 @@ def _(spark, d):
 @query(
     "scale_report",
     f"""SELECT * , actual = expected AS matches FROM (
-    SELECT 'locations' AS table_name, CAST(25 AS BIGINT) AS expected, (SELECT count(*) FROM loc) AS actual
-    UNION ALL SELECT 'positions', 150, (SELECT count(*) FROM prs)
-    UNION ALL SELECT 'inventory_daily', {150 * m.PANEL_DAYS}, (SELECT count(*) FROM inv)
-    UNION ALL SELECT 'orders', 60000, (SELECT count(*) FROM ord) UNION ALL SELECT 'supplier_events', 200, (SELECT count(*) FROM evt))""",
-)
-def _(spark, d):
-    expected = ck.expected_scale(spark, 25, len(m.COMMODITIES), m.PANEL_DAYS, 60_000, 200)
+    SELECT 'locations' AS table_name, (SELECT count(*) FROM nation) AS expected, (SELECT count(*) FROM loc) AS actual
+    UNION ALL SELECT 'positions', (SELECT count(*) * (SELECT count(DISTINCT p_type) FROM part) FROM nation), (SELECT count(*) FROM prs)
+    UNION ALL SELECT 'inventory_daily', (SELECT count(*) * (SELECT count(DISTINCT p_type) FROM part) * {m.PANEL_DAYS} FROM nation), (SELECT count(*) FROM inv)
+    UNION ALL SELECT 'orders', (SELECT count(*) FROM lineitem), (SELECT count(*) FROM ord)
+    UNION ALL SELECT 'supplier_events', (SELECT 2 * count(*) FROM supplier), (SELECT count(*) FROM evt))""",
+)
+def _(spark, d):
+    """What the source tables let expect, beside what is derived from them."""
+    count = F.count("*").alias("n")
+    kinds = m.table(spark, d, "part").agg(F.count_distinct("p_type").alias("kinds"))
+    places = m.table(spark, d, "nation").agg(count).join(F.broadcast(kinds))  # one row each
+    expected = places.select(F.lit("locations").alias("table_name"), F.col("n").alias("expected"))
+    for name, rows in (
+        ("positions", places.select(F.col("n") * F.col("kinds"))),
+        ("inventory_daily", places.select(F.col("n") * F.col("kinds") * m.PANEL_DAYS)),
+        ("orders", m.table(spark, d, "lineitem").agg(count)),
+        ("supplier_events", m.table(spark, d, "supplier").agg((2 * F.count("*")).alias("n"))),
+    ):
+        expected = expected.unionByName(rows.toDF("expected").select(F.lit(name).alias("table_name"), "expected"))
     tables = {
         "locations": m.locations(spark, d), "positions": m.pairs(spark, d), "inventory_daily": m.inventory(spark, d),
         "orders": m.order_lines(spark, d), "supplier_events": m.supplier_events(spark, d),

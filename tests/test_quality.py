@@ -84,6 +84,8 @@ def test_drift(spark):
     scores = {r.feature: r.psi for r in mq.psi(base, moved, ["x", "same"]).collect()}
     assert scores["x"] > 1 and scores["same"] == 0
     assert {r.feature: r.psi for r in mq.psi(base, base, ["x"]).collect()} == {"x": 0.0}
+    outlier = spark.createDataFrame([(1e9, 1.0)], base.schema)
+    assert mq.psi(base.unionByName(outlier), moved, ["x"]).first().psi > 1
 
 
 def test_gates_and_evaluation(spark):

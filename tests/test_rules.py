@@ -109,6 +109,10 @@ def test_disruption_days_equal_brute_force(spark):
         window = {r.snapshot_date - dt.timedelta(days=k) for k in range(30)}
         hit = {x for x in window if any(e[1] == r.preferred_supplier_id and e[3] <= x <= e[4] for e in events)}
         assert r.disrupted_days == len(hit)
+    for r in jn.disruption_days(days, ev, 0, ahead=14).collect():
+        window = {r.snapshot_date + dt.timedelta(days=k) for k in range(1, 15)}
+        hit = {x for x in window if any(e[1] == r.preferred_supplier_id and e[3] <= x <= e[4] for e in events)}
+        assert r.disrupted_days == len(hit)
 
 
 def test_rules_for_positions(spark):
