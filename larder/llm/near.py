@@ -7,7 +7,9 @@ shingles, whose chunks differ by chance, meets with probability 0.99997.
 
 Classes that meet are not paired with each other. First each one is paired with the busiest class that it meets, which
 joins most of a large family at little cost. Then only where what meets is still of several components, the members
-outside the largest are compared with all others by their signatures. All pairs that are close enough are confirmed.
+outside the largest are compared with all others by their signatures, and the nearest member of each other component is
+confirmed. A member that it doesn't link is compared with the sets of the whole component, block by block, so that no
+link is missed and no pair is written out.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ SYMBOLS = CHUNKS * CHUNK
 #: 27 do once in a million such pairs.
 MOST_DIFFERENT = 27
 WORDS = SYMBOLS // 8 + 1  # longs of a signature
+#: Rows of a key that are compared with each other in one piece, and sets of a component.
+BLOCK, SET_BLOCK = 1024, 256
 
 
 def _hashed(data: np.ndarray, offsets: np.ndarray, size: int, rolling: C.Rolling) -> tuple[np.ndarray, np.ndarray]:
@@ -110,27 +114,156 @@ def _close(a: str, b: str, percent: int) -> Column:
     return (100 * n >= percent * m) & (100 * m >= percent * n) & (_different(a, b) <= MOST_DIFFERENT)
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets are as alike as asked. Texts are read once more, for classes of a pair."""
+def _sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(node, shingles) of the wanted nodes; their texts are read once more."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = _rolling()
         for batch, data, offsets in C.slices(batches, "text"):
             hashes, at = _hashed(data, offsets, size, rolling)
             held = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("node"), held], ["node", "shingles"])
 
-    pairs = stored(pairs, "near-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct()
-    wanted = wanted.join(classes.select("node", "id", "hash"), F.col("n") == F.col("node")).select("node", "id", "hash")
+    wanted = wanted.select(F.col("node").alias("n")).distinct().join(classes.select("node", "id", "hash"), F.col("n") == F.col("node"))
     texts = docs.select(F.col("doc_id").cast("long").alias("i"), F.xxhash64("text").alias("h"), "text")
     texts = wanted.join(texts, (F.col("id") == F.col("i")) & (F.col("hash") == F.col("h"))).select("node", "text")
-    found = stored(texts.mapInArrow(sets, "node long, shingles array<long>").dropDuplicates(["node"]), "near-sets")
+    return stored(texts.mapInArrow(rows, "node long, shingles array<long>").dropDuplicates(["node"]), "near-sets")
+
+
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets are as alike as asked."""
+    found = _sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), classes, docs, size)
     left, right = found.select(F.col("node").alias("a"), F.col("shingles").alias("x")), found.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     checked = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("x", "y")))
     return checked.filter(100 * F.col("both") >= percent * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches of whole groups of rows that are sorted by ``keys``, and where each group starts and the last one ends."""
+    held: list[pa.RecordBatch] = []
+
+    def joined() -> tuple[pa.RecordBatch, np.ndarray]:
+        batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        new = np.zeros(batch.num_rows, bool)
+        new[0] = True
+        for k in keys:
+            values = batch.column(k).to_numpy(zero_copy_only=False)
+            new[1:] |= values[1:] != values[:-1]
+        return batch, np.append(np.flatnonzero(new), batch.num_rows)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        whole, bounds = joined()
+        if len(bounds) > 2:
+            yield whole.slice(0, bounds[-2]), bounds[:-1]
+        held = [whole.slice(bounds[-2])]
+    if held:
+        yield joined()
+
+
+def _meetings(apart: DataFrame, percent: int) -> DataFrame:
+    """(node, other, nearest, different, least, most): which components a node meets, and which of their members.
+
+    Rows of a key are dealt into blocks, and members outside the largest component are compared with each block by
+    signature. Pairs that are close are not written out: of a node and a component there is one row per block, with the
+    nearest member and the smallest and largest one. A pair is looked at under the first key that it shares only.
+    """
+    blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    every = F.explode(F.sequence(F.lit(0), blocks - 1))
+    members = apart.select("*", every.alias("i"), own.alias("j"), F.lit(0).alias("side"))
+    outside = apart.filter("component <> largest").select("*", own.alias("i"), every.alias("j"), F.lit(1).alias("side"))
+    columns = ["key", "i", "j", "side", "node", "component", "largest", "n_shingles", *_signature()]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, bounds in _groups(batches, ["key", "i", "j"]):
+            v = {c: batch.column(c).to_numpy() for c in columns[:8]}
+            symbols = np.stack([batch.column(c).to_numpy() for c in _signature()], 1).view(np.uint8)[:, :SYMBOLS]
+            found = []
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                split = a + int(np.searchsorted(v["side"][a:b], 1))
+                for o in range(split, b, 32):
+                    x, y = np.arange(o, min(o + 32, b)), np.arange(a, split)
+                    unlike = symbols[x][:, None] != symbols[y][None]
+                    total = unlike.sum(2)
+                    n, m = v["n_shingles"][x][:, None], v["n_shingles"][y][None]
+                    ok = (total <= MOST_DIFFERENT) & (100 * n >= percent * m) & (100 * m >= percent * n)
+                    ok &= v["component"][x][:, None] != v["component"][y][None]
+                    ok &= (v["component"][y] == v["largest"][y])[None] | (v["node"][x][:, None] < v["node"][y][None])
+                    p, q = np.nonzero(ok)
+                    if len(p):
+                        errors = unlike[p, q].reshape(-1, CHUNKS, CHUNK)
+                        chunk = (errors.sum(2) <= 1).argmax(1)
+                        first = chunk * CHUNK + errors[np.arange(len(p)), chunk].argmax(1)
+                        p, q = p[first == v["key"][a] & 255], q[first == v["key"][a] & 255]
+                        found.append((x[p], y[q], total[p, q]))
+            if not found:
+                continue
+            x, y, different = (np.concatenate(z) for z in zip(*found))
+            node, other, near = v["node"][x], v["component"][y], v["node"][y]
+            order = np.lexsort((near, different, other, node))
+            node, other, near, different = (z[order] for z in (node, other, near, different))
+            new = np.ones(len(node), bool)
+            new[1:] = (node[1:] != node[:-1]) | (other[1:] != other[:-1])
+            at = np.flatnonzero(new)
+            if len(at):
+                out = [node[at], other[at], near[at], different[at].astype(np.int32), np.minimum.reduceat(near, at), np.maximum.reduceat(near, at)]
+                yield pa.RecordBatch.from_arrays([pa.array(z) for z in out], ["node", "other", "nearest", "different", "least", "most"])
+
+    both = members.select(*columns).unionByName(outside.select(*columns))
+    dealt = both.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+    met = dealt.mapInArrow(rows, "node long, other long, nearest long, different int, least long, most long")
+    nearest = F.min(F.struct("different", "nearest"))["nearest"].alias("nearest")
+    return met.groupBy("node", "other").agg(nearest, F.min("least").alias("least"), F.max("most").alias("most"))
+
+
+def _linked(open_: DataFrame, members: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) of nodes with any member of a component, for (node, other) of which the nearest member was none.
+
+    Whole sets are compared, block by block of members and of nodes; of a node and a block one link is enough.
+    """
+    sized = open_.groupBy("other").agg(F.count("*").alias("nodes")).join(
+        members.groupBy(F.col("component").alias("c")).agg(F.count("*").alias("size")), F.col("other") == F.col("c")
+    )
+    sized = sized.select("c", F.ceil(F.col("nodes") / SET_BLOCK).cast("int").alias("is"), F.ceil(F.col("size") / SET_BLOCK).cast("int").alias("js"))
+    sized = stored(sized, "near-sizes")
+    held = members.join(sized, F.col("component") == F.col("c"))
+    held = held.select("c", F.explode(F.sequence(F.lit(0), F.col("is") - 1)).alias("i"), F.pmod(F.xxhash64("node"), F.col("js")).cast("int").alias("j"), F.lit(0).alias("side"), "node")
+    asked = open_.join(sized, F.col("other") == F.col("c"))
+    asked = asked.select("c", F.pmod(F.xxhash64("node"), F.col("is")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("js") - 1)).alias("j"), F.lit(1).alias("side"), "node")
+    both = stored(held.unionByName(asked), "near-asked")
+    sets = _sets(both.select("node"), classes, docs, size).withColumnRenamed("node", "n")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, bounds in _groups(batches, ["c", "i", "j"]):
+            side, node = batch.column("side").to_numpy(), batch.column("node").to_numpy()
+            lists = batch.column("shingles")
+            values = lists.flatten().to_numpy().view(np.uint64)
+            at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                split = a + int(np.searchsorted(side[a:b], 1))
+                own, of = values[at[a] : at[split]], np.repeat(np.arange(split - a), np.diff(at[a : split + 1]))
+                order = np.argsort(own, kind="stable")
+                own, of = own[order], of[order]
+                n = np.diff(at[a : split + 1])
+                for x in range(split, b):
+                    mine = values[at[x] : at[x + 1]]
+                    low, high = np.searchsorted(own, mine), np.searchsorted(own, mine, side="right")
+                    hits = np.repeat(low - np.cumsum(high - low) + (high - low), high - low) + np.arange((high - low).sum())
+                    both_ = np.bincount(of[hits], minlength=split - a)
+                    ok = np.flatnonzero(100 * both_ >= percent * (n + len(mine) - both_))
+                    if len(ok):
+                        found.append((node[x], node[a + ok[0]]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+    dealt = both.join(sets, F.col("node") == F.col("n")).select("c", "i", "j", "side", "node", "shingles")
+    return dealt.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", "side").mapInArrow(rows, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFrame:
     """doc_id, text_hash, n_shingles, class_id, component_id, kept for every row.
 
@@ -158,21 +291,25 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     hubs = hubs.select(F.col("key").alias("k"), F.col("hub.node").alias("hub"))
     pairs = members.join(hubs, F.col("key") == F.col("k")).filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     pairs = pairs.join(side.alias("x"), F.col("a") == F.col("x.n")).join(side.alias("y"), F.col("b") == F.col("y.n"))
-    links = stored(_confirmed(pairs.filter(_close("x", "y", percent)).select("a", "b"), classes, docs, size, percent), "near-links")
+    pairs = stored(pairs.filter(_close("x", "y", percent)).select("a", "b"), "near-pairs")
+    links = stored(_confirmed(pairs, classes, docs, size, percent), "near-links")
 
-    # What is still apart under a key: all pairs of which one is outside the largest component there.
+    # What is still apart under a key: those outside the largest component there, with all others.
     joined = components(links).withColumnRenamed("node", "n")
-    placed = members.join(joined, F.col("node") == F.col("n"), "left").select("node", "key", F.coalesce("component", "node").alias("component"))
-    placed = stored(placed, "near-placed")
-    parts = placed.groupBy("key", "component").count().groupBy("key").agg(F.max(F.struct("count", "component")).alias("most"), F.count("*").alias("parts"))
-    parts = parts.filter("parts > 1").select(F.col("key").alias("k"), F.col("most.component").alias("largest"))
+    joined = stored(classes.select("node").join(joined, F.col("node") == F.col("n"), "left").select("node", F.coalesce("component", "node").alias("component")), "near-joined")
+    placed = stored(members.select("node", "key").join(joined, "node"), "near-placed")
+    parts = placed.groupBy("key", "component").count().groupBy("key").agg(F.max(F.struct("count", "component")).alias("most"), F.sum("count").alias("rows"), F.count("*").alias("parts"))
+    parts = parts.filter("parts > 1").select(F.col("key").alias("k"), F.col("most.component").alias("largest"), "rows")
     apart = placed.join(parts, F.col("key") == F.col("k")).join(side, F.col("node") == F.col("n")).drop("k", "n")
-    apart = stored(apart, "near-apart")
-    outside, every = apart.filter("component <> largest").alias("x"), apart.alias("y")
-    once = (F.col("y.component") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node"))
-    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & once & _close("x", "y", percent)
-    more = outside.join(every, met).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    more = _confirmed(more, classes, docs, size, percent)
+    met = stored(_meetings(apart, percent), "near-met")
+    nearest = met.select(F.col("node").alias("a"), F.col("nearest").alias("b"))
+    more = stored(_confirmed(nearest, classes, docs, size, percent), "near-links")
+    # A node that its nearest member doesn't link is compared with all of the component, unless others have joined them.
+    labels = components(links.unionByName(more)).withColumnRenamed("node", "n")
+    labels = stored(joined.join(labels.withColumnRenamed("component", "now"), F.col("node") == F.col("n"), "left").select("node", F.coalesce("now", "node").alias("now")), "near-labels")
+    open_ = met.filter("least <> most").join(labels, "node")
+    open_ = open_.join(labels.select(F.col("node").alias("nearest"), F.col("now").alias("there")), "nearest").filter("now <> there").select("node", "other")
+    more = more.unionByName(_linked(stored(open_, "near-open"), joined, classes, docs, size, percent))
     joined = components(links.unionByName(more)).withColumnRenamed("node", "n")
 
     classes = classes.join(joined, F.col("node") == F.col("n"), "left").select("node", "id", F.coalesce("component", "node").alias("component"))
