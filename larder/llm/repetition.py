@@ -19,8 +19,8 @@ from larder.llm import columns as C
 NGRAM_SHARES = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 #: Largest shares of lines that came before, by number and by word characters.
 LINE_SHARE, LINE_CHAR_SHARE = 0.30, 0.20
-#: Fewest words, largest percentage of words in repeated runs of three, largest share of symbols.
-LEAST_WORDS, REPEATED_PERCENT, SYMBOL_SHARE = 50, 50, 0.20
+#: Fewest words, largest percentage of words in repeated runs of three, most symbols per word.
+LEAST_WORDS, REPEATED_PERCENT, SYMBOLS_PER_WORD = 50, 50, 0.1
 SYMBOLS = b"#*$%&|<>"
 
 SCHEMA = (
@@ -121,7 +121,7 @@ def quality(docs: DataFrame, shares: Mapping[int, float] = NGRAM_SHARES) -> Data
                 "repeated_words": 100 * m["n_repeat_words"] > REPEATED_PERCENT * m["n_words"],
                 "lines": line_share > LINE_SHARE,
                 "line_chars": m["line_char_share"] > LINE_CHAR_SHARE,
-                "symbols": m["n_symbols"] > SYMBOL_SHARE * m["word_chars"],
+                "symbols": m["n_symbols"] > SYMBOLS_PER_WORD * m["n_words"],
             } | {f"ngrams_{k}": m["ngram_shares"][:, i] > s for i, (k, s) in enumerate(shares.items())}
             failed = np.stack(list(rules.values()), 1)
             names = np.array(list(rules))
