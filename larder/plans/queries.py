@@ -1359,6 +1359,18 @@ def _(spark, d):
     return out.select("chat_id", "message_id", "name", "content", "in_progress")
 
 
+@query(
+    "fold_odd_runs",
+    """SELECT CAST(chat_id AS VARCHAR) AS chat_id, message_id, 'assistant' AS role, content, (chat_id + seq) % 4 = 2 AS in_progress,
+        CASE WHEN (chat_id + seq) % 4 = 1 THEN '[E1] Failed' END AS error FROM msg
+    UNION ALL SELECT CAST(chat_id AS VARCHAR), message_id || '-other', 'assistant', 'aside', false, NULL FROM msg WHERE (chat_id + seq) % 4 = 3""",
+)
+def _(spark, d):
+    """Runs that come in chunks, fail, never end, or write two messages in turn."""
+    out = cv.fold_messages(m.odd_run_events(spark, d))
+    return out.select("chat_id", "message_id", "role", "content", "in_progress", "error")
+
+
 @query("unclosed_chats", "SELECT CAST(chat_id AS VARCHAR) AS chat_id, count(*) AS open_messages FROM msg WHERE role = 'assistant' GROUP BY 1")
 def _(spark, d):
     events = m.run_events(spark, d)
@@ -1376,6 +1388,28 @@ def _(spark, d):
     return rq.run_outcomes(events).select("chat_id", "run_id", "outcome")
 
 
+@query(
+    "run_outcomes_all",
+    """SELECT chat_id, message_id AS run_id, (['finished', 'error', 'http_error', 'timeout', 'exception', 'incomplete'])[seq % 6 + 1] AS outcome,
+    CASE WHEN seq % 6 BETWEEN 1 AND 4 THEN content END AS error_detail, CASE WHEN seq % 6 = 2 THEN 503 ELSE 200 END AS http_status,
+    CAST(seq % 6 AS DOUBLE) AS total_duration_s FROM msg""",
+)
+def _(spark, d):
+    """Runs of every outcome, by the place of a message in its chat; texts of errors are whole."""
+    kinds = F.array(*[F.lit(k) for k in ("RUN_FINISHED", "RUN_ERROR", "HTTP_ERROR", "TIMEOUT", "EXCEPTION", "TEXT_MESSAGE_CONTENT")])
+    which = sc.pmod("seq", 6).cast("int")
+    rows = m.messages(spark, d).withColumns({"chat_id": F.col("chat_id"), "run_id": F.col("message_id"), "which": which})
+    step = F.explode(F.array(F.lit(0), F.lit(1))).alias("step")
+    events = rows.select("chat_id", "run_id", "which", "content", "created_at", step).select(
+        "chat_id", "run_id", F.col("step").alias("seq"),
+        F.expr("timestampadd(SECOND, which * step, created_at)").alias("ts"),
+        F.when(F.col("step") == 0, "RUN_STARTED").otherwise(F.get(kinds, F.col("which"))).alias("type"),
+        F.when(F.col("step") == 1, F.col("content")).alias("error_message"),
+        F.when((F.col("which") == 2) & (F.col("step") == 1), 503).otherwise(200).alias("http_status"),
+    )
+    return rq.run_outcomes(events).select("chat_id", "run_id", "outcome", "error_detail", "http_status", "total_duration_s")
+
+
 @query(
     "dedup_messages",
     """SELECT chat_id, message_id, seq, role, CASE WHEN k.message_id IS NOT NULL THEN 'duplicate'
