@@ -27,8 +27,9 @@ ORDER = 5
 SAMPLE_ROWS = 1500
 #: One of so many sampled rows sets the limit of a language and isn't counted.
 LIMIT_SHARE = 4
-#: Share of good texts that the limit may reject, and bits that it leaves above the others.
-REJECTED_SHARE, MARGIN_BITS = 0.001, 0.5
+#: Share of good texts that the limit may reject, and bits that it leaves above the others: a text of which half is in
+#: another known language costs up to two bits more per character, and stays.
+REJECTED_SHARE, MARGIN_BITS = 0.001, 2.0
 #: Characters beyond which more text makes a score no surer.
 SURE_AFTER = 64
 BEGIN, END = 1, 2
