@@ -58,6 +58,14 @@ def _(spark, d):
     return tb.table_counts({t: m.table(spark, d, t) for t in TABLE_NAMES})
 
 
+@query("table_size_properties", " UNION ALL ".join(f"SELECT '{t}' AS table_name, true AS has_files, true AS megabytes_match" for t in TABLE_NAMES))
+def _(spark, d):
+    """What must hold of any inventory of files, whatever their number."""
+    sizes = tb.table_sizes(spark, {t: f"{d}/{t}.parquet" for t in TABLE_NAMES})
+    matches = F.abs(F.col("megabytes") - F.col("bytes") / 1048576) <= 0.005
+    return sizes.select("table_name", ((F.col("files") >= 1) & (F.col("bytes") > 0)).alias("has_files"), matches.alias("megabytes_match"))
+
+
 @query("table_sizes")
 def _(spark, d):
     return tb.table_sizes(spark, {t: f"{d}/{t}.parquet" for t in TABLE_NAMES})
@@ -673,6 +681,26 @@ def _(spark, d):
     )
 
 
+@query(
+    "hash_properties",
+    "SELECT count(*) AS rows, true AS no_two_alike, true AS salt_matters, true AS fractions_in_range, true AS all_tenths_are_hit FROM orders",
+)
+def _(spark, d):
+    """What must hold of any good hash: distinct keys differ, another salt gives other values, fractions fill [0, 1) evenly."""
+    rows = m.table(spark, d, "orders").select(
+        sc.stable_hash("o_orderkey", salt=7).alias("a"), sc.stable_hash("o_orderkey", salt=8).alias("b"), sc.hash_fraction("o_orderkey").alias("f")
+    )
+    n, f = F.count("*"), F.col("f")
+    tenths = [F.count_if(F.floor(f * 10) == i) for i in range(10)]
+    return rows.agg(
+        n.alias("rows"),
+        (F.count_distinct("a") == n).alias("no_two_alike"),
+        (F.count_if(F.col("a") == F.col("b")) == 0).alias("salt_matters"),
+        ((F.min("f") >= 0) & (F.max("f") < 1)).alias("fractions_in_range"),
+        ((F.least(*tenths) > n / 20) & (F.greatest(*tenths) < n / 5)).alias("all_tenths_are_hit"),
+    )
+
+
 @query(
     "message_functions",
     r"""SELECT chat_id, seq, CASE WHEN regexp_matches(content, '\S')
