@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from larder.functions.scalars import round_to
 from larder.operators.aggregates import grouped
+from larder.operators.model_quality import fold_of
 from larder.operators.ordering import top_n, top_per
 from larder.session import materialise
 
@@ -134,6 +135,23 @@ def _ready(df: DataFrame, named: Sequence[str], numbers: Sequence[str], *more: C
     return df.select(*more, *[F.col(c).cast("string").alias(c) for c in named], *[F.col(c).cast("double").alias(c) for c in numbers])
 
 
+def score_folds(
+    df: DataFrame, cuts: Sequence[dt.date], gap_days: int = 30, label: str = "shortage_within_30d", trees: int = 20, kind: str = "gbt"
+) -> DataFrame:
+    """Rows of every chronological fold with the probability from a model of their own past: keys, ``fold``, the label, the prediction.
+
+    For each fold a model is fitted to the rows whose label was known at its cut. Measures and calibration by fold follow
+    from ``model_quality``; the last fold is the holdout.
+    """
+    folds = df.withColumn("fold", fold_of("snapshot_date", cuts, gap_days))
+    out = None
+    for i, cut in enumerate(cuts):
+        rows = folds.filter(F.col("fold") == i + 1)
+        scored = score(train(df, cut, gap_days, label, trees, kind), rows).join(rows.select(*KEYS, "fold", label), list(KEYS))
+        out = scored if out is None else out.unionByName(scored)
+    return out
+
+
 def score(model, df: DataFrame, keys: Sequence[str] = KEYS, out: str = "shortage_within_30d_1_PREDICTION") -> DataFrame:
     """Raw predictions table: keys and the probability of the positive class, from the columns that the model was fitted to."""
     from pyspark.ml.functions import vector_to_array

@@ -1348,6 +1348,13 @@ def _(spark, d):
     return mq.score_gates(scores, rules, ["doc_id"])
 
 
+@query("backtest_models")
+def _(spark, d):
+    """A model per fold, and its measures on the days it has not seen."""
+    scored = rk.score_folds(materialise(_training(spark, d)), FOLD_CUTS, kind="logistic")
+    return mq.all_measures(scored, "shortage_within_30d", m.RAW_PREDICTION, ["fold"])
+
+
 @query("train_and_score")
 def _(spark, d):
     rows = materialise(_training(spark, d))

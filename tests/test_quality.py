@@ -88,6 +88,20 @@ def test_drift(spark):
     assert mq.psi(base.unionByName(outlier), moved, ["x"]).first().psi > 1
 
 
+def test_models_of_folds_see_only_their_past(spark):
+    day = F.date_add(F.lit(dt.date(2024, 1, 1)), (F.col("id") % 300).cast("int"))
+    late = F.col("snapshot_date") >= F.lit(dt.date(2024, 8, 1))
+    rows = spark.range(3000).select(
+        day.alias("snapshot_date"), F.lit("l").alias("location_id"), F.col("id").cast("string").alias("item_id"), F.lit("s").alias("preferred_supplier_id"),
+        (F.col("id") * 7 % 19).cast("double").alias("x"), F.concat(F.lit("v"), F.col("id") % 2).alias("region"),
+    )
+    rows = rows.withColumn("shortage_within_30d", F.when(late, F.col("x") < 9).otherwise(F.col("x") > 9).cast("int"))
+    scored = rk.score_folds(rows, [dt.date(2024, 5, 1), dt.date(2024, 8, 1)], kind="logistic")
+    measures = {r.fold: r for r in mq.all_measures(scored, "shortage_within_30d", "shortage_within_30d_1_PREDICTION", ["fold"]).collect()}
+    assert measures[1].roc_auc > 0.99  # nothing of the turn in August is known
+    assert measures[2].roc_auc < 0.01
+
+
 def test_gates_and_evaluation(spark):
     df = spark.createDataFrame([(1, 5000, 0.9), (2, 10, 0.5), (3, 10, None)], "id int, tokens int, score double")
     got = mq.score_gates(df, [("tokens", "greaterThan", 4000, "block"), ("score", "lessThan", 0.7, "report")], ["id"]).collect()
