@@ -13,7 +13,7 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     named = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
         named = context.getCheckpointDir()
@@ -25,7 +25,10 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The same rows read back from a Parquet table in the shared folder: lost executors don't repeat what made them."""
+    """The same rows read back from a Parquet table in the shared folder: lost executors don't repeat what made them.
+
+    The table stays for as long as results may be read; who owns the folder clears it, as with checkpoints.
+    """
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
