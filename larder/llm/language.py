@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ from larder.llm import columns as C
 UNKNOWN = "und"
 ORDER = 5
 #: Labelled rows per language, on average, that are counted or used for the limit: the bound of what is fitted.
-SAMPLE_ROWS = 1500
+SAMPLE_ROWS = 400
 #: One of so many sampled rows sets the limit of a language and isn't counted.
 LIMIT_SHARE = 4
 #: Share of good texts that the limit may reject, and bits that it leaves above the others: a text of which half is in
@@ -128,8 +129,8 @@ def _count(words: list[str], counts: np.ndarray, rolling: C.Rolling) -> list[dic
     symbols = np.concatenate([np.frombuffer(("\x01" + w + "\x02").encode("utf-32-le"), np.uint32) for w in words])
     length = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
     bounds = np.concatenate([[0], np.cumsum(length)])
-    begin, weight = np.repeat(bounds[:-1], length), np.repeat(counts, length)
-    sums, place = rolling.sums(symbols), np.arange(len(symbols))
+    begin, weight = np.repeat(bounds[:-1].astype(np.int32), length), np.repeat(counts.astype(np.float32), length)
+    sums, place = rolling.sums(symbols), np.arange(len(symbols), dtype=np.int32)
     orders: list[dict[str, np.ndarray]] = []
     longer: np.ndarray | None = None  # an example of each n-gram that is one longer
     for k in range(ORDER, 0, -1):
@@ -216,10 +217,11 @@ def learn(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model | None:
             )
 
     counted = sample.filter(~for_limit).mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    table = counted.toPandas().sort_values(["lang", "word"])
+    table = counted.toArrow().sort_by([("lang", "ascending"), ("word", "ascending")])
     if not len(table):
         return None
-    model = fit({k: (x["word"].tolist(), x["n"].to_numpy(np.float64)) for k, x in table.groupby("lang")})
+    by_language = {k: table.filter(pa.compute.equal(table["lang"], k)) for k in table["lang"].unique().to_pylist()}
+    model = fit({k: (x["word"].to_pylist(), x["n"].to_numpy().astype(np.float64)) for k, x in by_language.items()})
     return _with_limits(model, annotate(sample.filter(for_limit), model).select("lang", "language.*").toPandas())
 
 
