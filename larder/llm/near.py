@@ -132,7 +132,8 @@ def _sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, size: int) ->
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets are as alike as asked."""
-    found = _sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), classes, docs, size)
+    both_sides = pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct())
+    found = _sets(both_sides, classes, docs, size)
     left, right = found.select(F.col("node").alias("a"), F.col("shingles").alias("x")), found.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     checked = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("x", "y")))
     return checked.filter(100 * F.col("both") >= percent * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
