@@ -252,10 +252,11 @@ def annotate(docs: DataFrame, model: Model | None) -> DataFrame:
     """
     docs = docs.drop("language")
     fields = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("cross_entropy", pa.float64()), ("n_symbols", pa.int64()), ("rejected", pa.bool_())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain arrays: what is broadcast must not need this package on an executor.
+    shared = docs.sparkSession.sparkContext.broadcast(None if model is None else dict(vars(model)))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, words = shared.value, Words()
+        model, words = None if shared.value is None else Model(**shared.value), Words()
         for batch, data, offsets in C.slices(batches, "text"):
             symbols, bounds, which, first, length = words(data, offsets)
             n = C.run_sums(length[which], first)
