@@ -1,13 +1,15 @@
 """Find license statements by conditional compression.
 
 A block of text that may state a license is compressed alone and with each template as a raw dictionary. Templates are
-ranked by how much smaller the block gets, and the best ones are confirmed, from the first on, by the words in which the
-block differs from the template. A block goes on after what was found in it, so that it can state several licenses.
+ranked by how much smaller the block gets, and all of them are confirmed, from the first on, by the words in which the
+block differs from the template. A block goes on with what is left without the statement that was found, so that it can
+state any number of licenses.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Mapping
 from difflib import SequenceMatcher
 
@@ -69,9 +71,9 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 #: Fixed value: what a sentence has that may state a license.
 CUE = r"(?i)licen[sc]e|copyright|permission|redistribut|warrant|creative commons|public domain|free software|\bCC[ -]BY\b"
 
-#: Templates that are compared word by word for each place, sentences after a cue that belong to its block, and the largest
-#: share of a template's words in which a long statement may differ. Statements of less than 20 words must have all of them.
-TRIED, APART, DIFFERENT = 4, 2, 0.05
+#: Sentences after a cue that belong to its block, and the largest share of a template's words in which a long statement may
+#: differ. Statements of less than 20 words must have all of them.
+APART, DIFFERENT = 2, 0.05
 
 _CUE = re.compile(CUE)
 _SENTENCE = re.compile(r"[^\n.;:!?]*(?:[.;:!?](?![\s\"')\]]|$)[^\n.;:!?]*)*(?:[.;:!?]+[\"')\]]*|\n|\Z)", re.S)
@@ -105,10 +107,11 @@ def _words(text: str) -> list[tuple[str, int, int]]:
 
 
 class Matcher:
-    """Ranks templates for a block and compares the best ones by words."""
+    """Ranks templates for a block and compares all of them by words."""
 
     def __init__(self, templates: Mapping[str, tuple[str, ...]]):
         self.templates = [(name, [w for w, _, _ in _words(t)], t.encode()) for name, texts in templates.items() for t in texts]
+        self.counts = [Counter(own) for _, own, _ in self.templates]
         plain = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
         settings = zstandard.ZstdCompressionParameters.from_level(6, **plain)
         self.alone = zstandard.ZstdCompressor(compression_params=settings)
@@ -124,35 +127,55 @@ class Matcher:
         """(start, end, license, reduction, words that differ) of the statements in a block, in order."""
         out = []
         words = _words(block)
-        while words:
-            start = words[0][1]
-            saved = self.reductions(block[start:].encode())
+        until = [s for _, s, _ in words[1:]] + [len(block)]
+        left = [(w, s, e, u) for (w, s, e), u in zip(words, until)]
+        while left:
+            saved = self.reductions("".join(block[s:u] for _, s, _, u in left).encode())
             # Templates that save alike differ in length: the longer one says more.
             order = sorted(range(len(saved)), key=lambda i: (-round(saved[i], 2), -len(self.templates[i][1]), i))
-            found = [x for i in order[:TRIED] if (x := self._confirm(i, words))]
-            if not found:
+            best = self._best(order, [w for w, _, _, _ in left])
+            if best is None:
                 break
-            i, first, last, different = max(found, key=lambda x: (len(self.templates[x[0]][1]) - x[3], -x[0]))
-            out.append((words[first][1], words[last][2], self.templates[i][0], round(saved[i], 4), different))
-            words = words[:first] + words[last + 1 :] if first else words[last + 1 :]
+            i, first, last, different = best
+            out.append((left[first][1], left[last][2], self.templates[i][0], round(saved[i], 4), different))
+            left = left[:first] + left[last + 1 :]
         return sorted(out)
 
-    def _confirm(self, i: int, words: list[tuple[str, int, int]]) -> tuple[int, int, int, int] | None:
+    def _best(self, order: list[int], own: list[str]) -> tuple[int, int, int, int] | None:
+        """Of all templates that fit the one with the most words in common, then the fewest that differ, then the first in the order."""
+        best, most = None, (0, 0)
+        counts = Counter(own)
+        for i in order:
+            size = len(self.templates[i][1])
+            if size >= most[0] and (x := self._confirm(i, own, counts)) and (size - x[3], -x[3]) > most:
+                best, most = x, (size - x[3], -x[3])
+        return best
+
+    def _confirm(self, i: int, own: list[str], counts: Counter[str]) -> tuple[int, int, int, int] | None:
         """Where the words of a template are, if they differ in few: (template, first word, last word, words missing or between)."""
         wanted = self.templates[i][1]
-        own = [w for w, _, _ in words]
         most = int(DIFFERENT * len(wanted)) if len(wanted) >= 20 else 0
+        if sum((self.counts[i] - counts).values()) > most:  # so many words aren't there in any order
+            return None
         if not most:
             for k in range(len(own) - len(wanted) + 1):
                 if own[k : k + len(wanted)] == wanted:
                     return i, k, k + len(wanted) - 1, 0
             return None
-        same = [b for b in SequenceMatcher(None, wanted, own, autojunk=False).get_matching_blocks() if b.size > 2]
-        if not same:
-            return None
-        first, last, matched = same[0].b, same[-1].b + same[-1].size - 1, sum(b.size for b in same)
-        different = max(len(wanted) - matched, last - first + 1 - matched)
-        return (i, first, last, different) if different <= most else None
+        found = None
+        # A statement is whole in one of the overlapping stretches; what is alike elsewhere is in others.
+        step = len(wanted) + most
+        for at in range(0, max(1, len(own) - step), step):
+            same = [b for b in SequenceMatcher(None, wanted, own[at : at + 2 * step], autojunk=False).get_matching_blocks() if b.size > 2]
+            for x in range(len(same)):
+                matched = 0
+                for b in same[x:]:
+                    matched += b.size
+                    span = b.b + b.size - same[x].b
+                    different = max(len(wanted) - matched, span - matched)
+                    if different <= most and (found is None or different < found[3]):
+                        found = i, at + same[x].b, at + b.b + b.size - 1, different
+        return found
 
 
 SCHEMA = "start long, length long, license string, reduction double, differences long"
@@ -162,7 +185,7 @@ def statements(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPL
     """One row for each license statement: doc_id, start and length in code points, license, reduction, differences.
 
     Texts without a cue, null or empty ones have no row; a text of any length is read whole. Repeated rows have the same
-    rows each. Of templates that fit at one place the one with the most words in common is taken. Other columns are left alone.
+    rows each. Of templates that fit at one place the one with the most words in common is taken, with equally many the one that differs least. Other columns are left alone.
     """
     templates = dict(templates)
 

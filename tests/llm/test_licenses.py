@@ -41,6 +41,25 @@ def test_compression_ranks_the_template_first(matcher):
         assert saved[i] >= max(saved) - 0.01, name
 
 
+def test_many_statements_in_one_block(matcher):
+    """More than a few templates, behind other words, with short statements after long ones that are like each other."""
+    long = [(name, t) for name, t in ALL if len(t.split()) >= 20]
+    short = [(name, t) for name, t in ALL if len(t.split()) < 20]
+    assert len(long) > 4
+    for planted in (ALL, ALL[::-1], long + short[:1], [*long, *long, *short[-2:]]):
+        block = " ".join(["This project has several licenses.", *[t for _, t in planted]])
+        found = matcher.statements(block)
+        assert [(n, d) for _, _, n, _, d in found] == [(n, 0) for n, _ in planted]
+        assert all(block[a:b] == t.rstrip("./") for (a, b, *_), (_, t) in zip(found, planted))
+
+
+def test_a_changed_statement_beside_words_it_shares_with_others(matcher):
+    text = dict(ALL)["Apache-2.0"]
+    few = text.replace("this file", "this script")
+    block = f"You may not use it here. {few} " + " ".join(t for n, t in ALL if n != "Apache-2.0")
+    assert [(n, d) for _, _, n, _, d in matcher.statements(block)] == [("Apache-2.0", 1), *[(n, 0) for n, _ in ALL if n != "Apache-2.0"]]
+
+
 def test_texts(spark):
     both = "A. Released under the MIT License. B. Licensed under CC BY-NC 4.0. C"
     rows = [(1, both, ""), (2, None, ""), (3, "", ""), (4, "no such thing", ""), (5, "words. " * 30_000 + "\nLicensed under CC BY 4.0.", ""), (None, both, ""), (1, both, "")]
