@@ -265,15 +265,8 @@ def _linked(open_: DataFrame, members: DataFrame, classes: DataFrame, docs: Data
     return dealt.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", "side").mapInArrow(rows, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFrame:
-    """doc_id, text_hash, n_shingles, class_id, component_id, kept for every row.
-
-    Words are lower-cased for A-Z; a set has the distinct runs of ``size`` words, or the whole sequence if it is shorter.
-    Rows whose sets have at least ``percent`` of their union in common are linked; ``component_id`` is the smallest
-    doc_id that a row reaches, and it is kept if that is its own. ``class_id`` is the smallest doc_id with the same set. A
-    row without words, with a null text or a null doc_id is linked with nothing and kept. Rows that repeat are alike; of
-    different texts under one doc_id each has its own links. An empty table gives an empty table.
-    """
+def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, class_id, component_id, component for every row; the last three null for rows that are linked with nothing."""
     named = ["n_shingles", "name_a", "name_b"]
     signed = stored(signatures(docs, size).withColumn("node", F.xxhash64(*named)), "near-signatures")
     usable = signed.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
@@ -316,15 +309,41 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     classes = classes.join(joined, F.col("node") == F.col("n"), "left").select("node", "id", F.coalesce("component", "node").alias("component"))
     classes = stored(classes, "near-components")
     least = classes.groupBy("component").agg(F.min("id").alias("component_id")).withColumnRenamed("component", "c")
-    classes = classes.join(least, F.col("component") == F.col("c")).select(F.col("node").alias("n"), F.col("id").alias("class_id"), "component_id")
+    classes = classes.join(least, F.col("component") == F.col("c")).select(F.col("node").alias("n"), F.col("id").alias("class_id"), "component_id", "component")
     out = signed.join(classes, (F.col("node") == F.col("n")) & F.col("doc_id").isNotNull(), "left")
+    return out.select("doc_id", "text_hash", "n_shingles", "class_id", "component_id", "component")
+
+
+def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFrame:
+    """doc_id, text_hash, n_shingles, class_id, component_id, kept for every row.
+
+    Words are lower-cased for A-Z; a set has the distinct runs of ``size`` words, or the whole sequence if it is shorter.
+    Rows whose sets have at least ``percent`` of their union in common are linked; ``component_id`` is the smallest
+    doc_id that a row reaches, and it is kept if that is its own. ``class_id`` is the smallest doc_id with the same set. A
+    row without words, with a null text or a null doc_id is linked with nothing and kept. Rows that repeat are alike; of
+    different texts under one doc_id each has its own links. An empty table gives an empty table.
+    """
+    out = _grouped(docs, size, percent)
     component = F.coalesce("component_id", "doc_id")
     kept = component.eqNullSafe(F.col("doc_id"))
     return out.select("doc_id", "text_hash", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), component.alias("component_id"), kept.alias("kept"))
 
 
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents with one of each component left, in the columns they came with."""
-    found = near_duplicates(docs, size, percent).filter("not kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    same = (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
-    return docs.join(found, same, "left_anti")
+    """The documents with one row of each component left, in the columns they came with.
+
+    The row that stays has the smallest doc_id, then the smallest hash of its text, then the smallest other columns; of rows
+    that repeat one stays. Rows with a null doc_id are compared like others and come last. Rows without words all stay.
+    """
+    # A null id counts as the largest; rows of one id are told apart by their texts.
+    id_, hash_ = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), F.xxhash64("text")
+    found = _grouped(docs.select(id_.alias("doc_id"), "text"), size, percent).filter("component is not null")
+    texts = stored(found.groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("rows")), "near-texts")
+    first = texts.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).withColumnRenamed("component", "c")
+    one = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    texts = texts.join(first, F.col("component") == F.col("c")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "rows", one.alias("stays"))
+    same = (id_ == F.col("__id")) & (hash_ == F.col("__hash"))
+    alone = docs.join(texts.filter("not stays or rows > 1"), same, "left_anti")
+    repeated = docs.join(texts.filter("stays and rows > 1").select("__id", "__hash"), same)
+    repeated = repeated.groupBy("__id", "__hash").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__row")).select("__row.*")
+    return alone.unionByName(repeated)

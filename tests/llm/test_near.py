@@ -88,6 +88,26 @@ def test_one_of_each_group_stays(spark):
     assert near.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_one_row_stays_of_rows_that_repeat_or_share_an_id_or_have_none(spark):
+    def text(word, n=100):
+        return " ".join(f"{word}{i}" for i in range(n))
+
+    a, b, c, d, e = map(text, "abcde")
+    groups = [
+        [(5, a, "x", 1)] * 3 + [(5, a, "w", 2)],
+        [(3, b, "", 0), (3, b + " more", "", 0), (8, b, "", 0)],
+        [(None, c, "", 0), (None, c, "", 0), (None, c + " more", "", 0)],
+        [(9, d, "", 0), (None, d, "", 0), (None, d + " more", "", 0)],
+        [(3, e, "", 0)],  # another text under an id of a group
+    ]
+    empty = [(None, None, "", 0), (None, None, "", 0), (11, "", "", 0)]
+    data = [r for g in groups for r in g] + empty
+    out = [tuple(r) for r in near.deduplicated(spark.createDataFrame(data, SCHEMA).repartition(4)).collect()]
+    assert [sum(r[1] is not None and r[1][:2] == g[0][1][:2] for r in out) for g in groups] == [1] * len(groups)
+    assert set(out) <= set(data) and len(out) == len(groups) + len(empty)
+    assert (5, a, "w", 2) in out and (9, d, "", 0) in out and (3, e, "", 0) in out
+
+
 def test_components_of_paths_and_stars(spark):
     rng = random.Random(1)
     nodes = list(range(400))

@@ -93,3 +93,14 @@ def test_run_gives_the_same(spark, tables):
 def test_an_empty_table(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_repeated_rows_keep_their_text_through_the_repeats_stage(spark, tmp_path):
+    text = " ".join(f"word{i}" for i in range(200))
+    other = " ".join(f"other{i}" for i in range(200))
+    rows = [(1, text, "en", "src0", len(text))] * 2 + [(None, other, "en", "src0", len(other))] * 2
+    at = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("near_duplicates", "repeats"):
+        at = stages[name](spark, at, str(tmp_path))
+    assert key(tuple(r) for r in at.collect()) == key(set(rows))
