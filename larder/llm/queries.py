@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from larder.llm import fingerprint, language, licenses, mixing, near, packing, pages, repeats, repetition, warc
+from larder.llm import fingerprint, language, licenses, mixing, near, packing, pages, repeats, repetition, trie, warc
 from larder.llm.store import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,4 +85,9 @@ def _(spark, d):
     return mixing.mix(documents(spark, d))
 
 
+@query("op13_prefix_tree")
+def _(spark, d):
+    return trie.shared_prefixes(spark.read.parquet(f"{d}/conversations.parquet"))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
