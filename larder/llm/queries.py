@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from larder.llm import audit, fingerprint, language, licenses, mixing, near, packing, pages, repeats, repetition, trie, warc
+from larder.llm import audit, fingerprint, language, licenses, mixing, near, packing, pages, repeats, repetition, trie, warc, windows
 from larder.llm.store import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,6 +123,11 @@ def _(spark, d):
     return audit.divergence(documents(spark, d))
 
 
+@query("op12_pack_windows")
+def _(spark, d):
+    return windows.pack_windows(documents(spark, d), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query("op13_prefix_tree")
 def _(spark, d):
     return trie.shared_prefixes(spark.read.parquet(f"{d}/conversations.parquet"))
