@@ -133,17 +133,18 @@ class Encoder:
         self.kinds = character_classes()
         self._forget()
 
-    def _forget(self) -> None:
-        self.met = 0
-        self.slot = np.zeros(1 << SLOT_BITS, np.uint64)
-        self.at = np.zeros(1 << SLOT_BITS, np.int32)
-        self.length = np.zeros(1 << SLOT_BITS, np.int32)
+    def _forget(self, words: int = 0) -> None:
+        """Start anew, with slots for twice the words of a slice at least."""
+        self.met, self.bits = 0, max(SLOT_BITS, (2 * words).bit_length())
+        self.slot = np.zeros(1 << self.bits, np.uint64)
+        self.at = np.zeros(1 << self.bits, np.int32)
+        self.length = np.zeros(1 << self.bits, np.int32)
         self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """The slot of each hash: its own, or the empty one where it belongs."""
-        mask = np.int64((1 << SLOT_BITS) - 1)
-        at = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        mask = np.int64((1 << self.bits) - 1)
+        at = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
         held = self.slot[at]
         left = np.flatnonzero((held != hashes) & (held != 0))
         while len(left):
@@ -184,8 +185,8 @@ class Encoder:
         if len(new):
             different, first = np.unique(hashes[new], return_index=True)
             if self.met + len(different) > KEPT_WORDS:
-                self._forget()
                 different, first = np.unique(hashes, return_index=True)
+                self._forget(len(different))
                 new = np.arange(len(hashes))
             text, example = data.tobytes(), new[first]
             self._learn(different, [text[a:b] for a, b in zip(starts[example].tolist(), ends[example].tolist())])

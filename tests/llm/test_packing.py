@@ -41,6 +41,14 @@ def test_ids(monkeypatch):
     assert ours([]) == [] and ours(["", ""]) == [[], []]
 
 
+def test_more_different_words_than_slots(monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT_WORDS", 100)
+    monkeypatch.setattr(tokens, "SLOT_BITS", 8)
+    encode, text = tokens.Encoder(PATH), " ".join(f"w{i}" for i in range(3000))
+    for t in (text, "a b", text):
+        assert encode(*C.utf8(pa.array([t])))[0].tolist() == plain_ids([t])[0]
+
+
 @pytest.mark.parametrize("capacity", [7, 20, 64, 1024])
 def test_plan_is_as_good_as_plain_best_fit(capacity):
     rng = random.Random(capacity)
