@@ -1,7 +1,10 @@
 import datetime as dt
+import math
 import random
+from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from larder.operators import escalation as es
@@ -131,24 +134,59 @@ def test_rule_mismatches(spark):
     assert names(es.rule_mismatches(items, rules), "commodity_group") == ["b", "c"]
 
 
-def test_vector_retrieval_equals_brute_force_and_block_size_does_not_matter(spark, monkeypatch):
+@pytest.mark.parametrize("sections_, queries_", [(4096, 1024), (50, 2)])
+def test_vector_retrieval_equals_brute_force_and_block_size_does_not_matter(spark, monkeypatch, sections_, queries_):
+    monkeypatch.setattr(rt, "SECTION_BLOCK", sections_)
+    monkeypatch.setattr(rt, "QUERY_BLOCK", queries_)
     rng = np.random.default_rng(4)
     s, q = rng.normal(size=(300, 8)), rng.normal(size=(7, 8))
-    sections = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(s)], "id bigint, vector array<double>").repartition(6)
-    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "id bigint, vector array<double>")
+    other = [(400, [0.0] * 8), (401, None), (None, [1.0] * 8)]
+    sections = spark.createDataFrame([*((i, v.tolist()) for i, v in enumerate(s)), *other], "id bigint, vector array<double>").repartition(6)
+    queries = spark.createDataFrame([*((i, v.tolist()) for i, v in enumerate(q)), *other], "id bigint, vector array<double>")
     cos = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (s / np.linalg.norm(s, axis=1, keepdims=True)).T
     want = {(i, int(j), r) for i in range(7) for r, j in enumerate(np.argsort(-cos[i])[:5], 1)}
-    for block in (512, 2):
-        monkeypatch.setattr(rt, "MAX_QUERIES", block)
-        got = rt.retrieve_vectors(queries, sections, 5).collect()
-        assert {(r.query_id, r.section_id, r.rank) for r in got} == want
-
-
-def test_text_retrieval(spark, monkeypatch):
-    texts = ["cold chain items need care", "supplier rate below limit", "Cold storage of cold items", "nothing to see", None]
+    got = rt.retrieve_vectors(queries, sections, 5).collect()
+    assert {(r.query_id, r.section_id, r.rank) for r in got} == want and len(got) == 35
+    assert rt.retrieve_vectors(queries.limit(0), sections, 5).count() == rt.retrieve_vectors(queries, sections.limit(0), 5).count() == 0
+
+
+def plain_retrieval(queries, sections, k):
+    words = lambda t: Counter(t.lower().split())
+    texts = {i: words(t) for i, t in sections if t is not None}
+    df = Counter(w for c in texts.values() for w in c)
+    out = set()
+    for i, t in queries:
+        asked = {w: (1 + math.log(c)) * math.log(len(texts) / df[w]) for w, c in words(t).items() if w in df}
+        norm = math.sqrt(sum(x * x for x in asked.values()))
+        found = []
+        for j, c in texts.items():
+            length = math.sqrt(sum((1 + math.log(n)) ** 2 for n in c.values()))
+            score = sum(x * (1 + math.log(c[w])) for w, x in asked.items() if w in c) / (norm * length) if norm and length else 0
+            if round(score, 9) > 0:
+                found.append((-round(score, 9), j))
+        out |= {(i, r, j) for r, (_, j) in enumerate(sorted(found)[:k], 1)}
+    return out
+
+
+@pytest.mark.parametrize("sections_, queries_, held", [(4096, 1024, 1 << 21), (2, 1, 3)])
+def test_text_retrieval(spark, monkeypatch, sections_, queries_, held):
+    for name, value in (("SECTION_BLOCK", sections_), ("QUERY_BLOCK", queries_), ("HELD_PRODUCTS", held)):
+        monkeypatch.setattr(rt, name, value)
+    texts = ["cold chain items need care", "supplier rate below limit", "Cold storage of cold items", "nothing to see", None, "", " \n "]
     sections = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
-    queries = spark.createDataFrame([(1, "cold items"), (2, "supplier limit"), (3, "unknown words")], "id bigint, text string")
-    for block in (512, 1):
-        monkeypatch.setattr(rt, "MAX_QUERIES", block)
-        got = rt.retrieve_top_k(queries, sections, 2).collect()
-        assert sorted((r.query_id, r.rank, r.section_id) for r in got) == [(1, 1, 2), (1, 2, 0), (2, 1, 1)]
+    queries = spark.createDataFrame([(1, "cold items"), (2, "supplier limit"), (3, "unknown words"), (4, ""), (5, None)], "id bigint, text string")
+    got = rt.retrieve_top_k(queries, sections, 2)
+    assert sorted((r.query_id, r.rank, r.section_id) for r in got.collect()) == [(1, 1, 2), (1, 2, 0), (2, 1, 1)]
+    assert rt.retrieve_top_k(queries.limit(0), sections, 2).count() == rt.retrieve_top_k(queries, sections.limit(0), 2).count() == 0
+
+
+def test_ten_thousand_queries_without_a_job_before_the_result(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    hot = lambda: "the " if rng.random() < 0.7 else ""
+    sections = [(i, hot() + " ".join(rng.choices(words, k=rng.randint(1, 12)))) for i in range(150)] + [(900, "w1 " * 20_000 + "w2")]
+    queries = [(i, hot() + " ".join(rng.choices(words, k=3))) for i in range(10_000)]
+    spark.sparkContext.setJobGroup("retrieval", "retrieval")
+    found = rt.retrieve_top_k(spark.createDataFrame(queries, "id int, text string"), spark.createDataFrame(sections, "id int, text string"), 3)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("retrieval")
+    assert {(r.query_id, r.rank, r.section_id) for r in found.collect()} == plain_retrieval(queries, sections, 3)
