@@ -280,9 +280,21 @@ def _kept(data: np.ndarray, offsets: np.ndarray, gone: np.ndarray) -> tuple[list
     return [raw[a:b] for a, b in zip(left[:-1].tolist(), left[1:].tolist())], np.diff(first)
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def long_runs(data: np.ndarray, offsets: np.ndarray, gone: np.ndarray, words: int) -> np.ndarray:
+    """The bytes of ``gone`` that lie in a run with at least so many whole words."""
+    first, last, _ = C.runs(gone, offsets)
+    starts, ends, _ = C.words(data, offsets)
+    inside = np.searchsorted(ends, last, side="right") - np.searchsorted(starts, first)
+    step = np.zeros(len(data) + 1, np.int64)
+    step[first[inside >= words]] = 1
+    np.add.at(step, last[inside >= words], -1)
+    return np.cumsum(step[:-1]) > 0
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, words: int = 0) -> DataFrame:
     """The documents in the columns they came with, their texts without repeated passages; parts of a character go with its rest.
 
+    A passage is a run of bytes that strings of ``length`` bytes found twice cover, with ``words`` whole words at least.
     ``n_chars`` follows the text. A null text stays null; a text of which nothing is left is empty.
     """
 
@@ -290,6 +302,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         rolling = _rolling()
         for batch, data, offsets in C.slices(batches, "text"):
             gone = removed_spans(data, offsets, *(batch.column(c) for c in ("__unique", "__first", "__last")), rolling, length)
+            if words:
+                gone = long_runs(data, offsets, gone, words)
             kept, _ = _kept(data, offsets, gone)
             texts = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string(), mask=batch.column("text").is_null().to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([texts if c == "text" else batch.column(c) for c in names], names)

@@ -1,5 +1,7 @@
 """The stages in turn, each against plain Python on its own input."""
 
+import random
+import re
 from collections import Counter
 
 import pytest
@@ -9,7 +11,6 @@ from larder.llm import language, mixing
 
 from .test_near import plain as plain_components
 from .test_packing import plain_ids
-from .test_repeats import plain as plain_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -51,15 +52,45 @@ def test_near_duplicates(tables):
     assert len(kept) < len(given)
 
 
+def plain_cut(texts, length, words):
+    """Each text without runs of repeated strings that have so many whole words."""
+    raw = [(t or "").encode() for t in texts]
+    seen = Counter(x[i : i + length] for x in raw for i in range(len(x) - length + 1))
+    out = []
+    for x in raw:
+        gone = bytearray(len(x))
+        for i in range(len(x) - length + 1):
+            if seen[x[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        kept, at = b"", 0
+        for run in re.finditer(rb"\x01+", bytes(gone)):
+            inside = [w for w in re.finditer(rb"[^\x20\x09-\x0D]+", x) if run.start() <= w.start() and w.end() <= run.end()]
+            if len(inside) >= words:
+                kept, at = kept + x[at : run.start()], run.end()
+        out.append((kept + x[at:]).decode("utf-8", "ignore"))
+    return out
+
+
 def test_repeats(tables):
     _, (_, _, given, cut, *_) = tables
     by_id = {r["doc_id"]: r for r in cut}
     assert len(by_id) == len(cut) == len(given)
-    for r, (_, _, _, left) in zip(given, plain_repeats([r["text"] for r in given], 400)):
-        text = left.decode("utf-8", "ignore")
+    for r, text in zip(given, plain_cut([r["text"] for r in given], corpus_pipeline.PASSAGE_BYTES, 50)):
         assert by_id[r["doc_id"]] == r | {"text": text, "n_chars": len(text)}
 
 
+def test_repeats_cut_passages_of_fifty_words_alone(spark, tmp_path):
+    rng = random.Random(4)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(n))
+    planted, short = [prose(rng.randint(51, 80)) for _ in range(10)], prose(42)
+    rows = [(i, f"{prose(90)} {planted[i % 10]} {prose(30)}") for i in range(30)] + [(i, f"{prose(100)} {short}") for i in range(30, 40)]
+    at = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    cut = {r["doc_id"]: r["text"] for r in dict(corpus_pipeline.STAGES)["repeats"](spark, at, str(tmp_path)).collect()}
+    for i, t in rows[:30]:
+        assert planted[i % 10] not in cut[i] and 0 <= len(t) - len(planted[i % 10]) - len(cut[i]) <= 8
+    assert all(cut[i] == t for i, t in rows[30:])
+
+
 def test_mix(spark, tables):
     folder, (_, _, _, given, taken, _) = tables
     often = {r["doc_id"]: r["repeats"] for r in mixing.mix(spark.read.parquet(f"{folder}/repeats")).collect()}
