@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from larder.llm import language, mixing, near, packing, repeats
 from larder.llm.store import stored
 
+#: Repeated strings of so many bytes are found first; together they must cover so many words. 50 words of prose are longer.
+PASSAGE_BYTES, PASSAGE_WORDS = 200, 50
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -30,8 +33,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without passages of 400 bytes that are found anywhere else."""
-    return repeats.without_repeats(docs, repeats.LENGTH)
+    """All documents, without passages of 50 words that are found anywhere else."""
+    return repeats.without_repeats(docs, PASSAGE_BYTES, PASSAGE_WORDS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
