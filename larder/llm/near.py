@@ -265,6 +265,15 @@ def _linked(open_: DataFrame, members: DataFrame, classes: DataFrame, docs: Data
     return dealt.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", "side").mapInArrow(rows, "a long, b long")
 
 
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after more links (a, b) of nodes; only components that these links join are looked at again."""
+    a, b = (labels.select(F.col("node").alias(f"{x}n"), F.col("component").alias(f"{x}c")) for x in "ab")
+    between = links.join(a, F.col("a") == F.col("an")).join(b, F.col("b") == F.col("bn")).filter("ac <> bc")
+    moved = components(between.select(F.col("ac").alias("a"), F.col("bc").alias("b"))).select(F.col("node").alias("was"), F.col("component").alias("now"))
+    found = labels.join(moved, F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component"))
+    return stored(found, "near-joined")
+
+
 def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, text_hash, n_shingles, class_id, component_id, component for every row; the last three null for rows that are linked with nothing."""
     named = ["n_shingles", "name_a", "name_b"]
@@ -296,15 +305,17 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     parts = parts.filter("parts > 1").select(F.col("key").alias("k"), F.col("most.component").alias("largest"), "rows")
     apart = placed.join(parts, F.col("key") == F.col("k")).join(side, F.col("node") == F.col("n")).drop("k", "n")
     met = stored(_meetings(apart, percent), "near-met")
-    nearest = met.select(F.col("node").alias("a"), F.col("nearest").alias("b"))
-    more = stored(_confirmed(nearest, classes, docs, size, percent), "near-links")
-    # A node that its nearest member doesn't link is compared with all of the component, unless others have joined them.
-    labels = components(links.unionByName(more)).withColumnRenamed("node", "n")
-    labels = stored(joined.join(labels.withColumnRenamed("component", "now"), F.col("node") == F.col("n"), "left").select("node", F.coalesce("now", "node").alias("now")), "near-labels")
-    open_ = met.filter("least <> most").join(labels, "node")
-    open_ = open_.join(labels.select(F.col("node").alias("nearest"), F.col("now").alias("there")), "nearest").filter("now <> there").select("node", "other")
-    more = more.unionByName(_linked(stored(open_, "near-open"), joined, classes, docs, size, percent))
-    joined = components(links.unionByName(more)).withColumnRenamed("node", "n")
+    if not met.isEmpty():
+        nearest = met.select(F.col("node").alias("a"), F.col("nearest").alias("b"))
+        more = stored(_confirmed(nearest, classes, docs, size, percent), "near-links")
+        labels = _relabelled(joined, more)
+        # A node that its nearest member doesn't link is compared with all of the component, unless others have joined them.
+        now = labels.select(F.col("node").alias("n"), F.col("component").alias("now"))
+        open_ = met.filter("least <> most").join(now, F.col("node") == F.col("n")).drop("n")
+        there = labels.select(F.col("node").alias("n"), F.col("component").alias("there"))
+        open_ = stored(open_.join(there, F.col("nearest") == F.col("n")).filter("now <> there").select("node", "other"), "near-open")
+        joined = labels if open_.isEmpty() else _relabelled(labels, stored(_linked(open_, joined, classes, docs, size, percent), "near-links"))
+    joined = joined.withColumnRenamed("node", "n")
 
     classes = classes.join(joined, F.col("node") == F.col("n"), "left").select("node", "id", F.coalesce("component", "node").alias("component"))
     classes = stored(classes, "near-components")
