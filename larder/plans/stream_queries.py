@@ -98,7 +98,7 @@ def _(spark, d):
     some = m.locations(spark, d).filter("location_index % 2 = 0").select("location_id")
     new = panel.filter(F.col("snapshot_date") >= F.date_sub(F.lit(m.AS_OF), 3)).join(some, "location_id")
     job = sj.stream_feature_refresh(
-        _streamed(new, f"{folder}/in"), lambda: panel, lambda rows: rows.write.mode("append").parquet(f"{folder}/out"), f"{folder}/state", ft.PANEL
+        _streamed(new, f"{folder}/in"), lambda: panel, lambda rows, number: sj.write_refresh(rows, f"{folder}/out", number), f"{folder}/state", ft.PANEL
     )
     job.awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select("location_id", "item_id", "snapshot_date", "min_days_of_supply_30d")
+    return sj.read_refreshed(spark.read.parquet(f"{folder}/out")).select("location_id", "item_id", "snapshot_date", "min_days_of_supply_30d")

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from larder.functions.scalars import round_to
 from larder.operators.features import PANEL, PanelSpec, rolling_features
+from larder.operators.ordering import top_per
 from larder.operators.requests import user_sessions
+from larder.sources.tables import overwrite_partitions
 
 
 def read_events(spark: SparkSession, path: str, schema: str, files_per_batch: int = 200) -> DataFrame:
@@ -123,14 +125,25 @@ def refresh_batch(
 def stream_feature_refresh(inventory, history, write, checkpoint: str, spec: PanelSpec = PANEL):
     """Start the refresh of features from a stream of inventory rows; returns the streaming query.
 
-    ``history`` gives the stored panel with the new rows in it; ``write`` replaces feature rows.
+    ``history`` gives the stored panel with the new rows in it; ``write`` gets the feature rows of a batch and the batch's
+    number. A batch that failed half-way comes again with its number, so ``write`` must replace what that number has
+    left, as :func:`write_refresh` does.
     """
-    return (
-        inventory.writeStream.foreachBatch(lambda batch, _: refresh_batch(batch, history, write, spec))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+
+    def refresh(batch: DataFrame, number: int) -> None:
+        refresh_batch(batch, history, lambda rows: write(rows, number), spec)
+
+    return inventory.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def write_refresh(rows: DataFrame, path: str, number: int) -> None:
+    """Store the rows of a batch under its number, in place of any that an earlier try has left there."""
+    overwrite_partitions(rows.withColumn("refresh", F.lit(number).cast("bigint")), path, ["refresh"])
+
+
+def read_refreshed(refreshed: DataFrame, spec: PanelSpec = PANEL) -> DataFrame:
+    """One row for each key and day of what :func:`write_refresh` has stored: that of the newest batch."""
+    return top_per(refreshed, [*spec.keys, spec.day], ["-refresh"], 1).drop("rank", "refresh")
 
 
 def stream_status_alerts(inventory: DataFrame, delay: str = "10 minutes", ts: str = "ts") -> DataFrame:

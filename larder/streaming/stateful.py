@@ -131,6 +131,10 @@ def make_resolver(idle_seconds: int, keep_seconds: int):
         pdf["ts"] = pd.to_datetime(pdf["ts"])
         return pdf.astype({"seq": "Int64", "block": "Int64", "late": bool})
 
+    def shifted(memory, number):
+        """An event's number after the closing events that were put before it, each of which has a number of its own."""
+        return number + sum(n for at, n in memory.get("shifts", []) if at < number)
+
     def resolve(key, batches, state):
         (chat,) = key
         memory = json.loads(state.get[0]) if state.exists else {}
@@ -140,11 +144,13 @@ def make_resolver(idle_seconds: int, keep_seconds: int):
         if state.hasTimedOut:
             open_runs = {r: s for r, s in memory.get("runs", {}).items() if s.get("active") and not s.get("ended")}
             closed = []
-            for run_id in open_runs:
+            for nth, run_id in enumerate(sorted(open_runs), 1):
                 e = dict.fromkeys(names)
-                e.update(chat_id=chat, run_id=run_id, seq=memory["seq"] + 1, type="RUN_FINISHED")
+                e.update(chat_id=chat, run_id=run_id, seq=shifted(memory, memory["seq"]) + nth, type="RUN_FINISHED")
                 e["ts"] = pd.Timestamp(memory["ts"], unit="us")
                 closed.append((e, resolve_one(chat, memory, e)))
+            if closed:
+                memory.setdefault("shifts", []).append([memory["seq"], len(closed)])
             memory["idle"] = sorted(set(memory.get("idle", [])) | set(open_runs))
             memory["runs"], memory["closed"] = {}, True
             state.update((json.dumps(memory),))
@@ -157,9 +163,11 @@ def make_resolver(idle_seconds: int, keep_seconds: int):
         memory.pop("closed", None)
         resolved = []
         for e in events:
-            late = e["run_id"] in memory.get("idle", [])
+            late, number = e["run_id"] in memory.get("idle", []), int(e["seq"])
+            if not late:
+                e["seq"] = shifted(memory, number)
             resolved.append({"late": True} if late else resolve_one(chat, memory, e))
-            memory["seq"] = max(memory.get("seq", -1), int(e["seq"]))
+            memory["seq"] = max(memory.get("seq", -1), number)
             memory["ts"] = max(memory.get("ts", 0), pd.Timestamp(e["ts"]).value // 1000)
             memory["at"] = max(memory.get("at", 0), pd.Timestamp(e["arrived"]).value // 1000)
         state.update((json.dumps(memory),))

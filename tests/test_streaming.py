@@ -135,8 +135,39 @@ def test_feature_refresh_writes_what_a_full_run_gives(spark, tmp_path):
     written = []
     new = panel.filter((F.col("k") == "a") & (F.col("snapshot_date") >= F.lit(day0 + dt.timedelta(days=75))))
     stream = stream_of(spark, [new], tmp_path / "in")
-    q = sj.stream_feature_refresh(stream, lambda: panel, lambda df: written.extend(df.collect()), str(tmp_path / "cp"), spec)
+    q = sj.stream_feature_refresh(stream, lambda: panel, lambda df, _: written.extend(df.collect()), str(tmp_path / "cp"), spec)
     q.awaitTermination(300)
     assert q.exception() is None
     full = ft.rolling_features(panel, spec).filter((F.col("k") == "a") & (F.col("snapshot_date") >= F.lit(day0 + dt.timedelta(days=75))))
     assert sorted(map(str, written)) == sorted(map(str, full.collect()))
+
+
+def test_a_replayed_batch_replaces_its_rows(spark, tmp_path):
+    spec, out = ft.PanelSpec(keys=("k",), day="day"), str(tmp_path / "out")
+    rows = lambda *x: spark.createDataFrame([(k, dt.date(2024, 1, day), v) for k, day, v in x], "k string, day date, v int")
+    sj.write_refresh(rows(("a", 1, 1), ("b", 1, 1)), out, 0)
+    sj.write_refresh(rows(("a", 1, 2), ("a", 2, 2)), out, 1)
+    with pytest.raises(Exception, match="killed"):
+        sj.write_refresh(rows(("a", 1, 3), ("c", 1, 3)).withColumn("v", F.when(F.col("k") == "c", F.raise_error(F.lit("killed"))).otherwise(F.col("v"))), out, 2)
+    for _ in range(2):  # the batch comes again
+        sj.write_refresh(rows(("a", 1, 4), ("c", 1, 4)), out, 2)
+    stored = spark.read.parquet(out)
+    assert stored.filter("refresh = 2").count() == 2
+    got = sorted((r.k, r.day.day, r.v) for r in sj.read_refreshed(stored, spec).collect())
+    assert got == [("a", 1, 4), ("a", 2, 2), ("b", 1, 1), ("c", 1, 4)]
+
+
+def test_closing_events_have_numbers_of_their_own(spark, tmp_path):
+    def event(chat, run_id, seq, when, **f):
+        row = dict.fromkeys(cv.EVENT_FIELDS)
+        row.update(chat_id=chat, run_id=run_id, seq=seq, ts=when, type="TEXT_MESSAGE_CONTENT", delta="x", **f)
+        return row
+
+    one = frame(spark, [event("a", r, i, at(i), message_id=f"m{i}") for i, r in enumerate(["r", "s", "t"])])
+    idle = [frame(spark, [event("b", "r", i, at(9000 + i), message_id="n")]) for i in range(2)]
+    again = frame(spark, [event("a", "u", i, at(9010 + i), message_id="m9") for i in (3, 4)])
+    stream = stream_of(spark, [one, *idle, again], tmp_path / "in")
+    out = run(spark, sj.stream_messages(stream, idle="10 minutes", delay="1 second", arrived="ts"), "numbers", tmp_path / "cp")
+    rows = sorted((r.seq, r.type, r.run_id) for r in out.filter("chat_id = 'a'").collect())
+    assert [x[0] for x in rows] == list(range(8))
+    assert [x[2] for x in rows if x[1] == "RUN_FINISHED"] == ["r", "s", "t"] and [x[2] for x in rows[6:]] == ["u", "u"]
