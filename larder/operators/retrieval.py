@@ -56,27 +56,21 @@ def word_weights(rows: DataFrame, unit: bool = False) -> DataFrame:
     return rows.select("id", F.lower("text").alias("text")).mapInArrow(count, "id bigint, word string, weight double")
 
 
-def _blocks(rows: int | Column, size: int) -> Column:
+def _blocks(rows: Column, size: int) -> Column:
     return F.greatest(F.ceil(rows / F.lit(size)), F.lit(1)).cast("int")
 
 
-def _dealt(sections: DataFrame, queries: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides with (section_block, query_block): a row once for each block of the other side.
-
-    ``sizes`` is one row (n_sections, n_queries).
-    """
-    n, m = _blocks(F.col("n_sections"), SECTION_BLOCK), _blocks(F.col("n_queries"), QUERY_BLOCK)
-    own = {"section_block": F.pmod(F.xxhash64("id"), n).cast("int"), "query_block": F.pmod(F.xxhash64("id"), m).cast("int")}
-    every = {"section_block": F.explode(F.sequence(F.lit(0), n - 1)), "query_block": F.explode(F.sequence(F.lit(0), m - 1))}
-    one = F.broadcast(sizes)  # one row
-    left = sections.crossJoin(one).withColumn("section_block", own["section_block"]).withColumn("query_block", every["query_block"])
-    right = queries.crossJoin(one).withColumn("query_block", own["query_block"]).withColumn("section_block", every["section_block"])
-    return left.drop("n_sections", "n_queries"), right.drop("n_sections", "n_queries")
+def _count(rows: DataFrame) -> Column:
+    """How many rows there are, found when the result is."""
+    return rows.agg(F.count(F.lit(1))).scalar()
 
 
-def _sizes(sections: DataFrame, queries: DataFrame) -> DataFrame:
-    both = sections.select(F.lit(1).alias("s"), F.lit(0).alias("q")).unionByName(queries.select(F.lit(0).alias("s"), F.lit(1).alias("q")))
-    return both.agg(F.coalesce(F.sum("s"), F.lit(0)).alias("n_sections"), F.coalesce(F.sum("q"), F.lit(0)).alias("n_queries"))
+def _dealt(sections: DataFrame, queries: DataFrame, n_sections: Column, n_queries: Column) -> tuple[DataFrame, DataFrame]:
+    """Both sides with (section_block, query_block): a row once for each block of the other side."""
+    n, m = _blocks(n_sections, SECTION_BLOCK), _blocks(n_queries, QUERY_BLOCK)
+    left = sections.withColumn("section_block", F.pmod(F.xxhash64("id"), n).cast("int")).withColumn("query_block", F.explode(F.sequence(F.lit(0), m - 1)))
+    right = queries.withColumn("query_block", F.pmod(F.xxhash64("id"), m).cast("int")).withColumn("section_block", F.explode(F.sequence(F.lit(0), n - 1)))
+    return left, right
 
 
 def _best(scores: np.ndarray, section_ids: np.ndarray, query_ids: np.ndarray, k: int, least: float = -np.inf) -> pd.DataFrame:
@@ -121,7 +115,7 @@ def retrieve_vectors(queries: DataFrame, sections: DataFrame, k: int, digits: in
         return _best(unit(right["vector"]) @ unit(left["vector"]).T, left["id"].to_numpy(), right["id"].to_numpy(), k)
 
     sections, queries = usable(sections), usable(queries)
-    left, right = _dealt(sections, queries, _sizes(sections, queries))
+    left, right = _dealt(sections, queries, _count(sections), _count(queries))
     blocks = ["section_block", "query_block"]
     return _finish(left.groupBy(blocks).cogroup(right.groupBy(blocks)).applyInPandas(near, FOUND), k, digits)
 
@@ -173,17 +167,17 @@ def retrieve_top_k(queries: DataFrame, sections: DataFrame, k: int, digits: int
     vocabulary = asked.select(F.col("word").alias("wanted")).distinct()
     index = word_weights(sections, unit=True)
     index = index.join(vocabulary, F.col("word") == F.col("wanted"), "left_semi")
-    sizes = _sizes(sections, queries)
-    dealt, _ = _dealt(index, asked, sizes)
+    sizes = _count(sections), _count(queries)
+    dealt, _ = _dealt(index, asked, *sizes)
     # Counting frequencies on every column of what is dealt lets Spark use one exchange for both; the texts are read once.
     dealt = dealt.repartition("section_block", "query_block")
     once = (F.col("query_block") == 0) & F.col("id").isNotNull() & (F.col("weight") > 0) & (F.col("section_block") >= 0)
-    frequency = dealt.groupBy(F.col("word").alias("w")).agg(F.count_if(once).alias("df")).crossJoin(F.broadcast(sizes))
-    frequency = frequency.select("w", F.log(F.col("n_sections") / F.col("df").cast("double")).alias("idf"))
+    frequency = dealt.groupBy(F.col("word").alias("w")).agg(F.count_if(once).alias("df"))
+    frequency = frequency.select("w", F.log(sizes[0] / F.col("df").cast("double")).alias("idf"))
     weighed = asked.join(frequency, F.col("word") == F.col("w")).select("id", "word", (F.col("weight") * F.col("idf")).alias("weight"))
     norms = weighed.groupBy(F.col("id").alias("i")).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     weighed = weighed.join(norms, F.col("id") == F.col("i")).filter("norm > 0").select("id", "word", (F.col("weight") / F.col("norm")).alias("weight"))
-    _, weighed = _dealt(index, weighed, sizes)
+    _, weighed = _dealt(index, weighed, *sizes)
     # Words meet by a hash of 64 bits.
     hashed = F.xxhash64("word").alias("word")
     left = dealt.select("id", hashed, "weight", "section_block", "query_block").groupBy("section_block", "query_block")
