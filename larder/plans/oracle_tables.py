@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 
 from larder.plans import model as m
 
@@ -264,12 +265,13 @@ TABLES = {
 }
 
 
-def with_tables(body: str) -> str:
+def with_tables(body: str, more: Mapping[str, str] | None = None) -> str:
     """Put the derived tables that a query names, and those they name, in front of it."""
+    tables = {**TABLES, **(more or {})}
     needed: list[str] = []
 
     def visit(text: str) -> None:
-        for name, sql in TABLES.items():
+        for name, sql in tables.items():
             if name not in needed and re.search(rf"\b(FROM|JOIN)\s+{name}\b", text):
                 visit(sql)
                 if name not in needed:
@@ -278,5 +280,5 @@ def with_tables(body: str) -> str:
     visit(body)
     if not needed:
         return body
-    order = [n for n in TABLES if n in needed]
-    return "WITH " + ",\n".join(f"{n} AS ({TABLES[n]})" for n in order) + "\n" + body
+    order = [n for n in tables if n in needed]
+    return "WITH " + ",\n".join(f"{n} AS ({tables[n]})" for n in order) + "\n" + body
