@@ -80,7 +80,7 @@ TABLES = {
         CAST(base_min_days AS INTEGER) AS base_min_days, cold_chain_required,
         CAST(shelf_life_days AS INTEGER) AS shelf_life_days, CAST(unit_cost_usd AS DECIMAL(18,2)) AS unit_cost_usd,
         printf('ITM-%06d', item_index + 1) AS item_id,
-        commodity_group || ' item ' || printf('%04d', item_index + 1) AS item_name,
+        lower(commodity_group) || '/' || family_code || '/' || item_index AS item_name,
         {_criticality('item_index')} AS criticality,
         'MED-STOCK-' || family_code AS policy_reference_id,
         CAST(base_min_days + {_crit_days(_criticality('item_index'))} AS INTEGER) AS policy_min_days_supply

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import os
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -48,20 +49,43 @@ def ensure_schema(spark: SparkSession, name: str, use: bool = True) -> None:
         spark.catalog.setCurrentDatabase(name)
 
 
+@dataclass(frozen=True)
+class Layout:
+    """How a stored table lies on disk: a folder per partition value, and in each a file per bucket of a key.
+
+    Tables with the same buckets are joined, grouped and windowed by that key without an exchange.
+    """
+
+    partitions: tuple[str, ...] = ()
+    bucket_by: tuple[str, ...] = ()
+    buckets: int = 0
+    sort_by: tuple[str, ...] = ()
+
+    def arranged(self, df: DataFrame) -> DataFrame:
+        """Rows as the files need them: each bucket in one task, or else a rebalance that splits a large partition
+        value over tasks and merges small ones by measured size."""
+        if self.buckets:
+            return df.repartition(self.buckets, *self.bucket_by)
+        return df.hint("rebalance", *self.partitions) if self.partitions else df
+
+
 def write_table(
-    df: DataFrame, name: str, partition_by: Sequence[str] = (), comment: str = "", fmt: str = "parquet"
+    df: DataFrame, name: str, partition_by: Sequence[str] = (), comment: str = "", fmt: str = "parquet", layout: Layout | None = None
 ) -> None:
-    """Replace a table and its schema. Rows of one partition value are brought together first; a
-    rebalance splits a large partition value over tasks and merges small ones, by measured size."""
-    if partition_by:
-        df = df.hint("rebalance", *partition_by)
-    writer = df.write.format(fmt).mode("overwrite").option("overwriteSchema", "true")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.saveAsTable(name)
+    """Put rows in the place of a table, whatever columns it had. ``layout`` takes the place of ``partition_by``."""
+    layout = layout or Layout(tuple(partition_by))
+    files = layout.arranged(df).write
+    if layout.buckets:
+        files = files.bucketBy(layout.buckets, *layout.bucket_by).sortBy(*(layout.sort_by or layout.bucket_by))
+    files.saveAsTable(name, format=fmt, mode="overwrite", partitionBy=list(layout.partitions) or None)
     if comment:
-        text = comment.replace("\\", "\\\\").replace("'", "\\'")
-        df.sparkSession.sql(f"COMMENT ON TABLE {name} IS '{text}'")
+        describe_table(df.sparkSession, name, comment)
+
+
+def describe_table(spark: SparkSession, name: str, comment: str) -> None:
+    """Keep a comment with a table, as its property of that name."""
+    quoted = comment.translate({ord("\\"): "\\\\", ord("'"): "\\'"})
+    spark.sql(f"ALTER TABLE IDENTIFIER(:name) SET TBLPROPERTIES ('comment' = '{quoted}')", args={"name": name})
 
 
 def overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:

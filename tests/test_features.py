@@ -146,8 +146,8 @@ def test_training_rows_follow_all_guards(spark):
         assert r.future_shortage_flag is not None
 
 
-def test_leakage_report():
-    assert ft.leakage_report((*ft.STATE, *ft.MEASURES)) == {}
+def test_leakage_report(spark):
+    assert ft.leakage_report((*ft.trailing_measures(), *ft.compared_measures())) == {}
     found = ft.leakage_report(["a", "_latent", "future_shortage_flag", "secret"], forbidden=["secret"])
     assert found == {"_latent": "private", "future_shortage_flag": "future", "secret": "forbidden"}
 

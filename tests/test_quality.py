@@ -121,7 +121,9 @@ def test_time_split_and_training(spark):
 
 
 def test_logistic_model_scores_every_row(spark):
-    from larder.operators.features import MEASURES, STATE
+    from larder.operators.features import compared_measures, trailing_measures
+
+    numbers = ["days_of_supply", "minimum_days_supply", "on_hand_units", *trailing_measures(), *compared_measures()]
 
     def value(name):
         if name == "snapshot_date":
@@ -130,9 +132,9 @@ def test_logistic_model_scores_every_row(spark):
             return (F.concat(F.lit("v"), F.col("id") % 2) if name == "region" else F.col("id") % 2 == 0).alias(name)
         return (F.col("id").cast("string") if name in rk.KEYS else (F.col("id") % 17).cast("double")).alias(name)
 
-    names = (*rk.KEYS, *STATE, *MEASURES, "region", "cold_chain_required")
+    names = (*rk.KEYS, *numbers, "region", "cold_chain_required")
     rows = spark.range(300).select(*[value(c) for c in names], (F.col("id") % 17 > 9).cast("int").alias("shortage_within_30d"))
-    assert rk.feature_columns(rows, (*rk.KEYS, "shortage_within_30d")) == (["region", "cold_chain_required"], [*STATE, *MEASURES])
+    assert rk.feature_columns(rows, (*rk.KEYS, "shortage_within_30d")) == (["region", "cold_chain_required"], numbers)
     model = rk.train(rows, dt.date(2024, 6, 1), kind="logistic")
     out = rk.score(model, rows)
     assert out.count() == 300
