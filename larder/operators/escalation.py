@@ -84,16 +84,21 @@ def cold_chain_urgency(position: DataFrame, events: DataFrame, as_of) -> DataFra
 
 def escalation(
     position: DataFrame,
-    predictions: DataFrame,
+    predictions: DataFrame | None,
     events: DataFrame,
     as_of,
     band: int = ELEVATED_BAND_DAYS,
     t: float = PREDICTIVE_THRESHOLD,
     rate_below: float = SUPPLIER_RATE_THRESHOLD,
 ) -> DataFrame:
-    """Level of every position with the ids of the rules that fired, in one pass over the positions."""
-    p = predictions.select("location_id", "item_id", "shortage_probability_30d")
-    out = attach_active(position, events, as_of, EVENT_TYPES).join(p, ["location_id", "item_id"], "left")
+    """Level of every position with the ids of the rules that fired, in one pass over the positions.
+
+    Without ``predictions`` the positions have their probability already.
+    """
+    out = attach_active(position, events, as_of, EVENT_TYPES)
+    if predictions is not None:
+        p = predictions.select("location_id", "item_id", "shortage_probability_30d")
+        out = out.join(p, ["location_id", "item_id"], "left")
     active = F.col("active_events") > 0
     cold = F.array_contains("active_event_types", COLD_CHAIN_EVENT)
     fired = {
@@ -112,15 +117,17 @@ def escalation(
     )
 
 
-def transfer_candidates(position: DataFrame, predictions: DataFrame, k: int = 3, band: int = ELEVATED_BAND_DAYS) -> DataFrame:
+def transfer_candidates(position: DataFrame, predictions: DataFrame | None, k: int = 3, band: int = ELEVATED_BAND_DAYS) -> DataFrame:
     """Up to k lower-risk locations that hold the same item above its minimum, per position in need.
 
     Donors are ordered by risk first, so the donors a position may use are a prefix of its item's
     list. The best k donors of each item are therefore enough, and a position is matched with k
     donors at most, never with all locations of the item.
     """
-    p = predictions.select("location_id", "item_id", F.col("shortage_probability_30d").alias("risk"))
-    rows = position.join(p, ["location_id", "item_id"])
+    rows = position.withColumnRenamed("shortage_probability_30d", "risk")
+    if predictions is not None:
+        p = predictions.select("location_id", "item_id", F.col("shortage_probability_30d").alias("risk"))
+        rows = position.join(p, ["location_id", "item_id"])
     margin = F.col("days_of_supply") - F.col("minimum_days_supply")
     donors = rows.filter((margin > 0) & (~F.col("cold_chain_required") | F.col("cold_storage_flag"))).select(
         "item_id",

@@ -8,25 +8,35 @@ and frame edge there.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from larder.functions.scalars import padded_id, pmod, safe_ratio
+from larder.functions.scalars import add_days, month_of, padded_id, pmod, safe_ratio
 from larder.operators import spans as sn
 from larder.operators import status
+from larder.operators.escalation import escalation, transfer_candidates
 from larder.operators.ordering import top_n
+from larder.operators.risk import PROBABILITY, high_risk_by_supplier, risk_by
+from larder.operators.supply import Evidence, current_position, late_orders
 from larder.operators.windows import frame
 from larder.plans import model as m
+from larder.plans.queries import _FIRED as FIRED
+from larder.plans.queries import _NEAR as NEAR
+from larder.plans.queries import _RISK as RISK
 from larder.plans.registry import query
+from larder.sources import tables as tb
 
 KEYS = ["item_index", "location_index"]
 DAY = "snapshot_date"
 FLOWS = ["issues", "receipts", "warm_up_units"]
 #: Days after a receipt on which it starts and stops to count as expiring within 90 days.
 EXPIRING = (m.SHELF_LIFE_DAYS - 90, m.SHELF_LIFE_DAYS + 1)
+#: Buckets of the stored spans; a setting of the build, like the partitions of a shuffle.
+BUCKETS = 8
 _AS_OF, _START = f"DATE '{m.AS_OF}'", f"DATE '{m.START}'"
 
 
@@ -219,6 +229,22 @@ PART_TABLES = {
             ASOF JOIN pst s ON s.item_index = x.item_index AND s.location_index = x.location_index AND x.day >= s.day) t""",
 }
 
+PART_TABLES |= {
+    "plt": """SELECT printf('PRT-%08d', l_partkey + 1) AS item_id, location_id, count(*) AS backordered_orders,
+        CAST(sum(ordered_units) AS BIGINT) AS late_inbound_units, min(promised_delivery_date) AS waiting_since
+        FROM ord1 WHERE order_status = 'BACKORDERED' GROUP BY ALL""",
+    "pps": f"""SELECT v.* EXCLUDE (valid_from, valid_to), CAST(v.days_of_supply - v.minimum_days_supply AS DECIMAL(18,2)) AS days_above_minimum,
+        {_AS_OF} + CAST(ceil(v.days_of_supply) AS INTEGER) AS runs_out_on, k.cold_chain_required, l.location_name, l.cold_storage_flag,
+        p.supplier_name, p.actual_ontime_rate_90d, coalesce(o.backordered_orders, 0) AS backordered_orders,
+        coalesce(o.late_inbound_units, 0) AS late_inbound_units, coalesce(a.active_events, 0) AS active_events,
+        coalesce(a.active_event_types, []) AS active_event_types,
+        4e0 * v.minimum_days_supply / (4e0 * v.minimum_days_supply + CAST(v.days_of_supply AS DOUBLE)) AS shortage_probability_30d
+        FROM piv v JOIN (SELECT item_id, location_id, cold_chain_required FROM ppo) k USING (item_id, location_id)
+        JOIN (SELECT location_id, location_name, cold_storage_flag FROM loc) l USING (location_id)
+        LEFT JOIN perf p ON p.supplier_id = v.preferred_supplier_id LEFT JOIN plt o USING (item_id, location_id)
+        LEFT JOIN active a ON a.supplier_id = v.preferred_supplier_id WHERE v.valid_to = {_AS_OF}""",
+}
+
 _SPAN = """item_id, location_id, valid_from, valid_to, preferred_supplier_id, on_hand_units, on_order_units, backordered_units,
     expiring_within_90_days_units, days_of_supply, minimum_days_supply, inventory_value_usd, inventory_status"""
 _MEASURED = """item_id, location_id, snapshot_date, on_hand_units, days_of_supply, minimum_days_supply, avg_daily_demand_7d,
@@ -299,3 +325,143 @@ def _(spark, d):
         "item_id", "location_id", "criticality", "days_of_supply", "minimum_days_supply", "backordered_units",
         "preferred_supplier_id", "days_above_minimum",
     )
+
+
+#: The longest lead time and the longest delay of the order lines.
+LONGEST_LEAD, LONGEST_DELAY = 69, 18
+
+
+def part_late_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """What each position waits for. An order promised and late on the as-of date has a date within a few months of
+    it, so only those months of the orders are read."""
+    heads = m.table(spark, folder, "orders").filter(
+        m._between("o_orderdate", m.AS_OF - dt.timedelta(days=LONGEST_LEAD + LONGEST_DELAY), m.AS_OF)
+    ).select(F.col("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").alias("order_date"))
+    where = m.table(spark, folder, "supplier").select(
+        F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("bigint").alias("location_index")
+    )
+    lines = m.table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint").alias("ordered_units")
+    )
+    rows = lines.join(heads, "l_orderkey").withColumn("promised_delivery_date", add_days("order_date", m.lead_days(F.col("l_suppkey"))))
+    rows = rows.withColumns(
+        {
+            "__actual": add_days("promised_delivery_date", m._delay()),
+            "__shipped": add_days("order_date", pmod(F.col("l_linenumber"), 4) + 1),
+            "__cancelled": m._cancelled(),
+            # Nothing of a backordered line has come.
+            "delivered_units": F.lit(0).cast("bigint"),
+        }
+    )
+    state = status.order_status(m.AS_OF, "__cancelled", "__actual", "promised_delivery_date", "__shipped")
+    rows = rows.withColumn("order_status", state).filter(F.col("order_status") == "BACKORDERED").join(where, "l_suppkey")
+    return late_orders(rows.withColumnsRenamed({"l_partkey": "item_index", "l_orderkey": "order_id"}), KEYS)
+
+
+def part_position(spark: SparkSession, folder: str) -> DataFrame:
+    """Current stock of every position with what is known of its site, its supplier and its late orders, and its risk."""
+    known = [
+        Evidence(m.locations(spark, folder), {"location_id": "location_id"}, ["location_name", "cold_storage_flag"], required=True),
+        Evidence(m.performance(spark, folder), {"preferred_supplier_id": "supplier_id"}, ["supplier_name", "actual_ontime_rate_90d"]),
+        Evidence(
+            part_late_orders(spark, folder), {k: k for k in KEYS}, ["backordered_orders", "late_inbound_units"],
+            {"backordered_orders": 0, "late_inbound_units": 0},
+        ),
+    ]
+    stock = current_stock(spark, folder).withColumn(DAY, F.lit(m.AS_OF))
+    risk = m.risk_score("days_of_supply", "minimum_days_supply")
+    return current_position(stock, m.AS_OF, known).withColumn(PROBABILITY, risk)
+
+
+_POSITION = """item_id, location_id, preferred_supplier_id, on_hand_units, on_order_units, backordered_units, days_of_supply,
+    minimum_days_supply, days_above_minimum, runs_out_on, inventory_status, inventory_value_usd, criticality, cold_chain_required,
+    region, location_name, supplier_name, actual_ontime_rate_90d, backordered_orders, late_inbound_units, shortage_probability_30d"""
+
+
+@query("part_position", f"SELECT {_POSITION} FROM pps", PART_TABLES)
+def _(spark, d):
+    return part_position(spark, d).select(*_names(_POSITION))
+
+
+@query(
+    "part_escalation",
+    f"""SELECT location_id, item_id, criticality, days_above_minimum, shortage_probability_30d,
+    CAST(greatest({", ".join(f"CASE WHEN {c} THEN {n} ELSE 0 END" for c, n in FIRED.values())}) AS INTEGER) AS escalation_level,
+    list_filter([{", ".join(f"CASE WHEN {c} THEN '{r}' END" for r, (c, _) in FIRED.items())}], lambda x: x IS NOT NULL) AS rule_ids
+    FROM pps""",
+    PART_TABLES,
+)
+def _(spark, d):
+    return escalation(part_position(spark, d), None, m.supplier_events(spark, d), m.AS_OF)
+
+
+@query(
+    "part_transfers",
+    f"""SELECT * FROM (SELECT r.item_id, r.location_id, r.own_risk, dn.donor_location_id, dn.donor_risk, dn.donor_surplus_days,
+        CAST(row_number() OVER (PARTITION BY r.item_id, r.location_id
+            ORDER BY donor_risk, donor_surplus_days DESC, donor_location_id) AS INTEGER) AS rank
+        FROM (SELECT location_id, item_id, shortage_probability_30d AS own_risk FROM pps
+            WHERE days_of_supply < minimum_days_supply OR ({NEAR})) r
+        JOIN (SELECT location_id AS donor_location_id, item_id, shortage_probability_30d AS donor_risk,
+            CAST(days_of_supply - minimum_days_supply AS DOUBLE) AS donor_surplus_days FROM pps
+            WHERE days_of_supply > minimum_days_supply AND (NOT cold_chain_required OR cold_storage_flag)) dn
+        ON dn.item_id = r.item_id AND dn.donor_risk < r.own_risk) WHERE rank <= 3""",
+    PART_TABLES,
+)
+def _(spark, d):
+    return transfer_candidates(part_position(spark, d), None, 3)
+
+
+@query("part_risk_by", f"SELECT region, criticality, {RISK} FROM pps GROUP BY ALL", PART_TABLES)
+def _(spark, d):
+    return risk_by(part_position(spark, d), ["region", "criticality"])
+
+
+@query(
+    "part_high_risk_by_supplier",
+    "SELECT preferred_supplier_id, count(*) AS positions_over FROM pps WHERE shortage_probability_30d >= 0.7 GROUP BY 1",
+    PART_TABLES,
+)
+def _(spark, d):
+    return high_risk_by_supplier(part_position(spark, d))
+
+
+def store_spans(spans: DataFrame, name: str, buckets: int = BUCKETS) -> None:
+    """Spans by the month in which they end, in buckets of the position: a day reads the months from its own on, and
+    two days of the same table meet without an exchange."""
+    rows = spans.withColumn("until_month", month_of("valid_to"))
+    keys = ("item_id", "location_id")
+    tb.write_table(rows, name, layout=tb.Layout(("until_month",), keys, buckets), comment="Spans of stock by month of their end")
+
+
+def stored_at(spark: SparkSession, name: str, on: dt.date) -> DataFrame:
+    """The spans that hold on a day, from the months that can have them."""
+    rows = tb.read_table(spark, name).filter(F.col("until_month") >= F.lit(on.replace(day=1)))
+    return rows.filter((F.col("valid_from") <= F.lit(on)) & (F.col("valid_to") >= F.lit(on)))
+
+
+def status_moves(spark: SparkSession, name: str, before: dt.date, on: dt.date) -> DataFrame:
+    """Positions by their status on two days."""
+    old = stored_at(spark, name, before).select("item_id", "location_id", F.col("inventory_status").alias("from_status"))
+    now = stored_at(spark, name, on).select("item_id", "location_id", F.col("inventory_status").alias("to_status"))
+    both = old.join(now, ["item_id", "location_id"])
+    return both.groupBy("from_status", "to_status").agg(F.count(F.lit(1)).alias("positions"))
+
+
+MOVED_SINCE = m.AS_OF - dt.timedelta(days=90)
+
+
+@query(
+    "part_status_moves",
+    f"""SELECT o.inventory_status AS from_status, n.inventory_status AS to_status, count(*) AS positions
+    FROM piv o JOIN piv n USING (item_id, location_id) WHERE n.valid_to = {_AS_OF}
+    AND o.valid_from <= DATE '{MOVED_SINCE}' AND o.valid_to >= DATE '{MOVED_SINCE}' GROUP BY ALL""",
+    PART_TABLES,
+)
+def _(spark, d):
+    """The build job: spans written once, in a schema of its own, and read back for two days."""
+    schema, before = f"readiness_{uuid.uuid4().hex}", spark.catalog.currentDatabase()
+    tb.ensure_schema(spark, schema)
+    spark.catalog.setCurrentDatabase(before)
+    store_spans(part_inventory(spark, d), f"{schema}.part_spans")
+    return status_moves(spark, f"{schema}.part_spans", MOVED_SINCE, m.AS_OF)

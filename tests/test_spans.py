@@ -139,3 +139,48 @@ def test_one_exchange_by_part_serves_sums_master_and_frames(spark):
     by_part = [x for x in plan.splitlines() if "Exchange hashpartitioning(item_index" in x or "Exchange hashpartitioning(p_partkey" in x]
     # Daily totals by key and day, the change rows by part, and the master.
     assert len(by_part) <= 3 and "NestedLoop" not in plan
+
+
+def test_stored_spans_are_read_by_month_and_meet_without_an_exchange(spark):
+    spark.sql("CREATE SCHEMA IF NOT EXISTS spans_test")
+    try:
+        pq.store_spans(pq.part_inventory(spark, FOLDER), "spans_test.held", 4)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        moves = pq.status_moves(spark, "spans_test.held", pq.MOVED_SINCE, pq.m.AS_OF)
+        plan = moves._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("PartitionFilters: [isnotnull(until_month") == 2
+        # The only exchange is that of the few statuses.
+        assert plan.count("Exchange") == 1 and "Exchange hashpartitioning(from_status" in plan
+        positions = pq.part_days(spark, FOLDER).select(*pq.KEYS).distinct().count()
+        assert moves.agg(F.sum("positions")).first()[0] == positions
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP SCHEMA spans_test CASCADE")
+
+
+def test_positions_of_a_part_with_very_many_lines(spark, tmp_path):
+    """A third of all lines are of one part and supplier: at most a row per day reaches the exchange by part."""
+    import shutil
+
+    for name in ("supplier", "part", "nation", "region", "orders"):
+        shutil.copy(f"{FOLDER}/{name}.parquet", tmp_path / f"{name}.parquet")
+    lines = spark.read.parquet(f"{FOLDER}/lineitem.parquet")
+    hot = lines.withColumns({"l_partkey": F.lit(1).cast("bigint"), "l_suppkey": F.lit(1).cast("bigint")})
+    lines.unionByName(hot).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.catalog.clearCache()
+    flows = pq.part_flows(spark, str(tmp_path))
+    busiest = flows.groupBy(*pq.KEYS).count().agg(F.max("count")).first()[0]
+    assert busiest <= 556  # the panel and the inbound days, with the warm-up on the first
+    plain = {(r.item_id, r.location_id, r.valid_from): r.on_hand_units for r in pq.part_inventory(spark, FOLDER).filter("item_index <> 1").collect()}
+    mixed = pq.part_inventory(spark, str(tmp_path)).filter("item_index <> 1").collect()
+    assert plain == {(r.item_id, r.location_id, r.valid_from): r.on_hand_units for r in mixed}
+
+
+def test_late_orders_of_parts_are_those_of_part_types(spark):
+    """The narrow read of the orders loses nothing: units per nation are those of the lines read whole."""
+    from larder.operators.supply import late_orders
+
+    whole = late_orders(pq.m.order_lines(spark, FOLDER), ("location_id",)).select("location_id", "backordered_orders", "late_inbound_units", "waiting_since")
+    narrow = pq.part_late_orders(spark, FOLDER).join(pq.m.locations(spark, FOLDER), "location_index").groupBy("location_id")
+    narrow = narrow.agg(F.sum("backordered_orders"), F.sum("late_inbound_units"), F.min("waiting_since"))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, narrow.collect())) != []
