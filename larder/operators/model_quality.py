@@ -16,9 +16,8 @@ from pyspark.sql.window import Window
 
 from larder.functions.scalars import round_to
 from larder.operators.aggregates import rate
-from larder.operators.scan import attach, running_totals
+from larder.operators.scan import running_totals
 from larder.operators.windows import share
-from larder.session import materialise
 
 DIGITS = 9
 BIG = "decimal(38,0)"
@@ -32,10 +31,8 @@ def _score_counts(df: DataFrame, y: str, p: str, by: Sequence[str]) -> DataFrame
 
 def _ranked(df: DataFrame, y: str, p: str, by: Sequence[str]) -> DataFrame:
     """Distinct scores with their counts, the counts below them, and the totals of the group."""
-    counts = materialise(_score_counts(df, y, p, by))
-    totals = counts.groupBy(*by).agg(F.sum("__pos").alias("__positives"), F.sum("__all").alias("__total"))
-    below = running_totals(counts, by, "__score", {"__pos_below": "__pos", "__all_below": "__all"}, stored=True)
-    return attach(below, totals, list(by), ["__positives", "__total"])
+    below, whole = {"__pos_below": "__pos", "__all_below": "__all"}, {"__positives": "__pos", "__total": "__all"}
+    return running_totals(_score_counts(df, y, p, by), by, "__score", below, whole)
 
 
 def _roc() -> Column:
@@ -233,11 +230,10 @@ def psi(base: DataFrame, current: DataFrame, cols: Sequence[str], bins: int = 10
         )
 
     values = long(base, "base").groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n"))
-    placed = running_totals(values, ["feature"], "x", {"before": "n"})
-    total = values.groupBy("feature").agg(F.sum("n").alias("total"))  # one row per feature, as are the edges
+    placed = running_totals(values, ["feature"], "x", {"before": "n"}, {"total": "n"})
     bin_of = F.floor(F.col("before") * bins / F.col("total"))
-    edges = placed.join(F.broadcast(total), "feature").groupBy("feature", bin_of.alias("part")).agg(F.min("x").alias("edge"))
-    edges = edges.groupBy("feature").agg(F.collect_list("edge").alias("edges"))
+    edges = placed.groupBy("feature", bin_of.alias("part")).agg(F.min("x").alias("edge"))
+    edges = edges.groupBy("feature").agg(F.collect_list("edge").alias("edges"))  # one row per feature
     rows = long(base, "base").unionByName(long(current, "current")).join(F.broadcast(edges), "feature")
     slot = F.greatest(F.lit(1), F.size(F.filter("edges", lambda e: e <= F.col("x")))).cast("int")
     counted = rows.groupBy("feature", slot.alias("bin")).agg(

@@ -17,8 +17,6 @@ from pyspark.sql.window import Window
 from larder.session import materialise
 
 BLOCK_ROWS = 65_536
-SPLITS = 256
-TOTAL_ROWS = 1_000_000
 
 
 def attach(df: DataFrame, side: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -112,53 +110,36 @@ def running_totals(
     by: Sequence[str],
     order: str,
     sums: Mapping[str, str],
-    splits: int = SPLITS,
-    block_rows: int = TOTAL_ROWS,
-    stored: bool = False,
+    whole: Mapping[str, str] | None = None,
+    ranges: int | None = None,
 ) -> DataFrame:
-    """Total of each column over the rows of the group with a smaller ``order`` value.
+    """Total of each column over the rows of the group with a smaller ``order`` value; those of ``whole`` over all rows
+    of the group.
 
     Rows are unique per group and ``order``: pre-aggregate first, so that a value shared by a third
-    of all rows is one row here. Up to ``block_rows`` rows in all are one window. More are cut into
-    blocks, and blocks into blocks, until a block is small enough whichever group it belongs to.
+    of all rows is one row here. They are sorted into ranges of group and value by Spark's sample of them, so a
+    group of any size is spread over as many ranges as it fills. Each range gives one row per group that it has: what
+    comes before a range is summed over those few rows, and what comes before a row inside its range.
 
-    Blocks are cut at a fixed sample of the values (the ones with the smallest hashes), so they stay
-    even whatever the distribution, and every evaluation of the plan, retries included, cuts at the
-    same places. ``stored`` says that the caller has materialised the rows already.
+    The ranges are stored, so that every reader, retries included, sees the same ones. Without ``ranges`` there are as
+    many as shuffle partitions. Only the sums per range, as many rows as ranges, meet in one task, and only without ``by``.
     """
-    if not stored:  # the rows are counted here and read several times below
-        df = materialise(df)
-    levels, size = 0, df.count()
-    while size > block_rows:
-        levels, size = levels + 1, size / splits
-    return _totals(df, list(by), order, dict(sums), splits, levels)
-
-
-def _totals(
-    df: DataFrame, by: list[str], order: str, sums: dict[str, str], splits: int, levels: int
-) -> DataFrame:
-    if levels == 0:
-        earlier = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumns({n: F.coalesce(F.sum(c).over(earlier), F.lit(0)) for n, c in sums.items()})
-    block = f"__block{levels}"
-    hashed = df.select(*by, F.col(order).alias("__s"), F.xxhash64(order).alias("__h"))
-    if by:
-        rank = F.row_number().over(Window.partitionBy(*by).orderBy("__h", "__s"))
-        sample = hashed.withColumn("__r", rank).filter(F.col("__r") <= splits)
-    else:
-        sample = hashed.orderBy("__h", "__s").limit(splits)
-    cuts = sample.groupBy(*by).agg(F.sort_array(F.collect_list("__s")).alias("__cuts"))
-    at = F.size(F.filter("__cuts", lambda cut: cut <= F.col(order)))
-    blocked = attach(df, cuts, by, ["__cuts"]).withColumn(block, at).drop("__cuts")
-    if levels > 1:
-        blocked = materialise(blocked)
-    totals = blocked.groupBy(*by, block).agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
-    earlier = Window.partitionBy(*by).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(*by, block, *[F.sum(f"__t_{n}").over(earlier).alias(f"__c{levels}_{n}") for n in sums])
-    inside = _totals(blocked, [*by, block], order, sums, splits, levels - 1)
-    out = attach(inside, carried, [*by, block], [f"__c{levels}_{n}" for n in sums])
-    whole = {n: F.col(n) + F.coalesce(F.col(f"__c{levels}_{n}"), F.lit(0)) for n in sums}
-    return out.withColumns(whole).drop(block, *[f"__c{levels}_{n}" for n in sums])
+    by, whole = list(by), dict(whole or {})
+    spread = df.repartitionByRange(ranges, *by, order) if ranges else df.repartitionByRange(*by, order)
+    rows = materialise(spread.withColumn("__range", F.spark_partition_id()))
+    few = rows.groupBy(*by, "__range").agg(*[F.sum(c).alias(f"__t_{n}") for n, c in {**sums, **whole}.items()])
+    group = Window.partitionBy(*by)
+    earlier = group.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = few.select(
+        *by,
+        "__range",
+        *[F.coalesce(F.sum(f"__t_{n}").over(earlier), F.lit(0)).alias(f"__c_{n}") for n in sums],
+        *[F.sum(f"__t_{n}").over(group).alias(n) for n in whole],
+    )
+    inside = Window.partitionBy(*by, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({n: F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()})
+    out = attach(rows, offsets, [*by, "__range"], [*[f"__c_{n}" for n in sums], *whole])
+    return out.withColumns({n: F.col(n) + F.col(f"__c_{n}") for n in sums}).drop("__range", *[f"__c_{n}" for n in sums])
 
 
 def exact_percentiles(
@@ -167,7 +148,7 @@ def exact_percentiles(
     probs: Mapping[str, float],
     by: Sequence[str] = (),
     scale: int = 6,
-    block_rows: int = TOTAL_ROWS,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Linearly interpolated percentiles, exact, without holding a group in one task.
 
@@ -175,12 +156,8 @@ def exact_percentiles(
     the running counts. ``scale`` rounds the interpolated result.
     """
     by = list(by)
-    counts = materialise(
-        df.filter(F.col(col).isNotNull()).groupBy(*by, F.col(col).alias("__x")).agg(F.count(F.lit(1)).alias("__n"))
-    )
-    ranked = running_totals(counts, by, "__x", {"__before": "__n"}, block_rows=block_rows, stored=True)
-    sizes = counts.groupBy(*by).agg(F.sum("__n").alias("__total"))
-    ranked = attach(ranked, sizes, by, ["__total"])
+    counts = df.filter(F.col(col).isNotNull()).groupBy(*by, F.col(col).alias("__x")).agg(F.count(F.lit(1)).alias("__n"))
+    ranked = running_totals(counts, by, "__x", {"__before": "__n"}, {"__total": "__n"}, ranges)
     aggs = []
     for name, p in probs.items():
         k = (F.col("__total") - 1) * F.lit(float(p))

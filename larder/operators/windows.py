@@ -106,6 +106,6 @@ def latest_open(children: DataFrame, parent: str, order: Sequence[str], open_fla
 
 
 def share(df: DataFrame, by: Sequence[str], out: str = "share") -> DataFrame:
-    """Row count of each group and its part of all rows. The window sees group rows only."""
-    total = F.sum("count").over(Window.partitionBy())
-    return df.groupBy(*by).count().withColumn(out, F.col("count") / total)
+    """Row count of each group and its part of all rows. The total is one number, read by every task."""
+    counts = df.groupBy(*by).count()
+    return counts.withColumn(out, F.col("count") / counts.agg(F.sum("count")).scalar())
