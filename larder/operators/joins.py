@@ -135,12 +135,22 @@ def disruption_days(
     return position.join(counts, [supplier, day], "left").fillna({out: 0})
 
 
-def attach_policy(position: DataFrame, sections: DataFrame, general: str = "MED-STOCK-GENERAL") -> DataFrame:
-    """The rule sections that govern a position: by its own rule id, and the general ones."""
-    wanted = position.withColumn(
-        "policy_reference_id", F.explode(F.array(F.col("policy_reference_id"), F.lit(general)))
-    )
-    return wanted.join(sections, "policy_reference_id")
+#: Copies of the general sections, so that no task meets all positions.
+POLICY_SALTS = 32
+
+
+def attach_policy(position: DataFrame, sections: DataFrame, general: str = "MED-STOCK-GENERAL", salts: int = POLICY_SALTS) -> DataFrame:
+    """The rule sections that govern a position: by its own rule id, and the general ones.
+
+    Every position has the general id, so its sections come in ``salts`` copies and a position takes one by its hash.
+    """
+    plain = [c for c, kind in position.dtypes if not kind.startswith(("map", "variant"))]
+    own = F.struct(F.col("policy_reference_id"), F.lit(0).alias("__salt"))
+    shared = F.struct(F.lit(general).alias("policy_reference_id"), F.pmod(F.hash(*plain), F.lit(salts)).alias("__salt"))
+    wanted = position.withColumn("__rule", F.explode(F.array(own, shared))).drop("policy_reference_id")
+    wanted = wanted.select(*wanted.columns[:-1], "__rule.*")
+    copies = F.when(F.col("policy_reference_id") == general, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return wanted.join(sections.withColumn("__salt", F.explode(copies)), ["policy_reference_id", "__salt"]).drop("__salt")
 
 
 def nest_children(parents: DataFrame, children: DataFrame, key: str, order: Sequence[str], name: str) -> DataFrame:

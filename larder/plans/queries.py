@@ -28,7 +28,7 @@ from larder.operators import windows as wn
 from larder.plans import model as m
 from larder.plans.oracle_tables import rnd
 from larder.plans.registry import query
-from larder.session import materialise
+from larder.session import materialise, scratch_folder
 from larder.sources import tables as tb
 from larder.streaming import jobs as sj
 
@@ -73,6 +73,50 @@ def _(spark, d):
     return some.unionByName(left.select(F.lit("tables left").alias("part_of"), F.col("table_name").alias("name"), F.col("rows").alias("parts")))
 
 
+@query(
+    "request_results",
+    """SELECT CAST(user_id AS VARCHAR) AS thread_id, CAST(event_id AS VARCHAR) AS run_id,
+    CASE WHEN event_type = 'error' THEN 'error' ELSE 'finished' END AS outcome,
+    CASE WHEN event_type <> 'error' THEN printf('%.4f', value) END AS total_duration_s,
+    CASE WHEN event_type = 'error' THEN nullif(props, '') END AS error_detail FROM events""",
+)
+def _(spark, d):
+    """All requests written as CSV and read back as text."""
+    failed, none = F.col("outcome") == "error", F.lit(None).cast("string")
+    rows = m.requests(spark, d).select(
+        none.alias("user_email"), F.col("thread_id"), F.col("event_id").alias("run_id"), F.lit(0).alias("message_index"), "outcome",
+        F.when(~failed, F.col("duration_s")).alias("total_duration_s"), F.lit(None).cast("double").alias("ttft_s"),
+        F.when(failed, 500).otherwise(200).alias("http_status"), "error_detail",
+    )
+    path = scratch_folder(spark, "requests")
+    tb.write_requests_csv(rows, path)
+    text = ", ".join(f"{c} string" for c in tb.REQUEST_FIELDS)
+    back = spark.read.schema(text).option("header", True).option("multiLine", True).csv(path)
+    return back.select("thread_id", "run_id", "outcome", "total_duration_s", "error_detail")
+
+
+@query(
+    "sections_csv",
+    """SELECT 'SEC-' || item_id AS section_id, 'RULE-' || item_id % 7 AS policy_reference_id, text AS policy_title,
+    item_id % 2 = 0 AS synthetic_policy, DATE '2001-01-01' + CAST(item_id % 28 AS INTEGER) AS effective_date FROM benchmark""",
+)
+def _(spark, d):
+    """The benchmark passages as rule sections: written as quoted CSV, read back by the schema of sections."""
+    item = F.col("item_id")
+    made = {
+        "policy_title": F.col("text"),
+        "section_id": F.concat(F.lit("SEC-"), item),
+        "policy_reference_id": F.concat(F.lit("RULE-"), item % 7),
+        "synthetic_policy": item % 2 == 0,
+        "effective_date": F.date_add(F.lit(dt.date(2001, 1, 1)), (item % 28).cast("int")),
+    }
+    names = [f.split()[0] for f in tb.SECTION_SCHEMA.split(", ")]
+    rows = m.table(spark, d, "benchmark").select(*[made.get(c, F.lit("of the benchmark")).alias(c) for c in names])
+    path = scratch_folder(spark, "sections")
+    rows.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    return tb.read_sections(spark, path).select("section_id", "policy_reference_id", "policy_title", "synthetic_policy", "effective_date")
+
+
 @query("read_table", "SELECT o_orderstatus, count(*) AS orders FROM orders GROUP BY 1")
 def _(spark, d):
     tb.read_table(spark, "orders", d).createOrReplaceTempView("larder_orders")
@@ -1515,6 +1559,19 @@ _CHAT_ITEMS = """SELECT chat_id, created_at AS message_ts, message_id, CAST(0 AS
     UNION ALL SELECT chat_id, created_at, message_id, 2, 'x-' || message_id, 'reasoning', 'Thinking', content FROM msg WHERE role = 'assistant'"""
 
 
+@query("transcript_order", f"SELECT chat_id, message_ts, message_id, kind, id, role, content FROM ({_CHAT_ITEMS})")
+def _(spark, d):
+    """Every message with its tool and reasoning rows behind it, in one order over all chats."""
+    rows = m.messages(spark, d).select("chat_id", F.col("created_at").alias("message_ts"), "message_id", "role", "content")
+    items = [F.struct(F.lit(0).alias("kind"), F.col("message_id").alias("id"), F.col("role").alias("who"), F.col("content").alias("says"))]
+    for kind, mark, who, says in ((1, "t-", "tool", F.lit("Completed lookup")), (2, "x-", "reasoning", F.col("content"))):
+        item = F.struct(F.lit(kind).alias("kind"), F.concat(F.lit(mark), "message_id").alias("id"), F.lit(who).alias("who"), says.alias("says"))
+        items.append(F.when(F.col("role") == "assistant", item))
+    items = rows.withColumn("__item", F.explode(F.array_compact(F.array(*items)))).withColumn("child_ts", F.col("message_ts"))
+    ordered = od.transcript_order(items.select("chat_id", "message_ts", "message_id", "child_ts", "__item.*"))
+    return ordered.select("chat_id", "message_ts", "message_id", "kind", "id", F.col("who").alias("role"), F.col("says").alias("content"))
+
+
 @query("transcript", f"SELECT chat_id, id, role, name, content, row_number() OVER (PARTITION BY chat_id ORDER BY message_ts, message_id, kind, id) AS place FROM ({_CHAT_ITEMS})")
 def _(spark, d):
     none = F.lit(None).cast("string")

@@ -190,3 +190,14 @@ def test_ten_thousand_queries_without_a_job_before_the_result(spark):
     found = rt.retrieve_top_k(spark.createDataFrame(queries, "id int, text string"), spark.createDataFrame(sections, "id int, text string"), 3)
     assert not spark.sparkContext.statusTracker().getJobIdsForGroup("retrieval")
     assert {(r.query_id, r.rank, r.section_id) for r in found.collect()} == plain_retrieval(queries, sections, 3)
+
+
+def test_general_sections_reach_every_position_once_whatever_the_salts(spark):
+    position = spark.range(200).select("id", F.concat(F.lit("R-"), F.col("id") % 3).alias("policy_reference_id"))
+    sections = spark.createDataFrame([("R-0", "a"), ("R-1", "b"), ("G", "c"), ("G", "d")], "policy_reference_id string, title string")
+
+    def got(salts):
+        return sorted(tuple(r) for r in jn.attach_policy(position, sections, "G", salts).select("id", "policy_reference_id", "title").collect())
+
+    want = [(i, r, t) for i in range(200) for r, t in ((f"R-{i % 3}", {0: "a", 1: "b"}.get(i % 3)), ("G", "c"), ("G", "d")) if t]
+    assert got(1) == got(32) == sorted(want)
