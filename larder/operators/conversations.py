@@ -2,8 +2,8 @@
 
 Batch folding works in two steps. ``resolve_events`` says for every event which message, tool call and
 reasoning block it belongs to and what was active before it; chats of usual size are resolved in place
-after one shuffle, and a chat that holds a third of all events is spread over many tasks by blocked
-scans. The ``assemble_*`` functions then group the resolved events. The streaming job resolves with state and assembles with the same
+after one shuffle, and a chat that holds a third of all events is cut into blocks, whose changes are put in order and
+which are then finished side by side. The ``assemble_*`` functions then group the resolved events. The streaming job resolves with state and assembles with the same
 functions.
 """
 
@@ -17,7 +17,8 @@ from pyspark.sql.window import Window
 
 from larder.functions.text import error_text, strip_placeholder
 from larder.operators.aggregates import fold_ordered
-from larder.operators.scan import BLOCK_ROWS, attach, carry_forward, carry_within, hot_keys, running_totals
+from larder.operators.scan import BLOCK_ROWS, carry_forward, carry_within, hot_keys, running_totals
+from larder.session import materialise
 
 EVENT_FIELDS = {
     "chat_id": "string", "run_id": "string", "seq": "bigint", "ts": "timestamp", "type": "string",
@@ -54,27 +55,6 @@ def _same(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
-class _Within:
-    """Ordered steps for chats of bounded size: windows over rows that already lie together."""
-
-    carry = staticmethod(carry_within)
-
-    @staticmethod
-    def least(df: DataFrame, keys: Sequence[str], cols: Mapping[str, Column]) -> DataFrame:
-        w = Window.partitionBy(*keys)
-        return df.withColumns({n: F.min(c).over(w) for n, c in cols.items()})
-
-
-class _Blocked:
-    """The same steps for chats of any size: blocks and map-side combined aggregates."""
-
-    carry = staticmethod(carry_forward)
-
-    @staticmethod
-    def least(df: DataFrame, keys: Sequence[str], cols: Mapping[str, Column]) -> DataFrame:
-        return attach(df, df.groupBy(*keys).agg(*[F.min(c).alias(n) for n, c in cols.items()]), keys, list(cols))
-
-
 def resolve_events(events: DataFrame, chat_rows: int = BLOCK_ROWS) -> DataFrame:
     """Add to each event what it belongs to.
 
@@ -83,29 +63,35 @@ def resolve_events(events: DataFrame, chat_rows: int = BLOCK_ROWS) -> DataFrame:
     reasoning block of a thought, and the block still open at any other event. ``step`` and
     ``title``: what the run was in.
 
-    Runs of a chat follow each other, and the user's messages come before the run that answers them.
-    Chats of up to ``chat_rows`` events are shuffled once and resolved in place; larger ones go
-    through blocked scans, so that no task sorts one of them alone. A count tells them apart.
+    Runs of a chat may follow each other or take turns, and the user's messages come before the run that answers them.
+    Chats of up to ``chat_rows`` events are shuffled once, texts included, and resolved in place; a count finds the
+    larger ones, which are cut into blocks of as many numbers, so that no task gets more of a chat than that.
     """
     hot = hot_keys(events, ["chat_id"], chat_rows)
     if hot is None:
-        return _resolve(events.repartition("chat_id"), _Within)
+        return _resolve_in_place(events.repartition("chat_id"))
     small = events.join(hot, "chat_id", "left_anti").repartition("chat_id")
     large = events.join(hot, "chat_id", "left_semi")
-    return _resolve(small, _Within).unionByName(_resolve(large, _Blocked))
+    return _resolve_in_place(small).unionByName(_resolve_in_blocks(large, chat_rows))
 
 
-def _resolve(events: DataFrame, ordered: type[_Within] | type[_Blocked]) -> DataFrame:
+def _resolve_in_place(events: DataFrame) -> DataFrame:
+    """Chats of bounded size, each in one task: windows over rows that already lie together."""
+
+    def least(df: DataFrame, keys: Sequence[str], cols: Mapping[str, Column]) -> DataFrame:
+        w = Window.partitionBy(*keys)
+        return df.withColumns({n: F.min(c).over(w) for n, c in cols.items()})
+
     own = F.when(_is(*TEXT), F.col("message_id")).when(
         _is("TOOL_CALL_START", "TOOL_CALL_CHUNK"), F.col("parent_message_id")
     )
     started = F.when(_is("RUN_STARTED"), F.col("seq"))
-    rows = ordered.carry(events, ["chat_id", "run_id"], "seq", {"epoch": started})
+    rows = carry_within(events, ["chat_id", "run_id"], "seq", {"epoch": started})
     rows = rows.withColumns({"__own": own, "__touch": _is(*TEXT, *TOOL, *THOUGHT)})
 
     named = F.struct(F.col("name").alias("name"))
     nothing = F.struct(F.lit(None).cast("string").alias("name"))
-    rows = ordered.carry(
+    rows = carry_within(
         rows,
         SCOPE,
         "seq",
@@ -123,7 +109,7 @@ def _resolve(events: DataFrame, ordered: type[_Within] | type[_Blocked]) -> Data
 
     # How each scope begins: with an event that names a message, follows one, or starts a new one.
     loose = F.col("__touch") & F.col("__own").isNull()
-    rows = ordered.least(
+    rows = least(
         rows,
         SCOPE,
         {
@@ -148,7 +134,7 @@ def _resolve(events: DataFrame, ordered: type[_Within] | type[_Blocked]) -> Data
             "__prefix": F.col("__touch") & F.col("__named").isNull(),
         }
     )
-    rows = ordered.least(
+    rows = least(
         rows, ["chat_id", "__created"], {"__first_seen": F.when(F.col("__created").isNotNull(), F.col("seq"))}
     )
 
@@ -161,12 +147,12 @@ def _resolve(events: DataFrame, ordered: type[_Within] | type[_Blocked]) -> Data
     latest = F.when(F.col("__first_seen") == F.col("seq"), point(F.col("__created"), role)).when(
         F.col("__chunk_first") & (F.col("seq") == F.col("__first_chunk")), point(chunk_id, F.lit(ASSISTANT))
     )
-    rows = ordered.carry(rows, ["chat_id"], "seq", before={"__last": latest})
+    rows = carry_within(rows, ["chat_id"], "seq", before={"__last": latest})
     at_start = F.when(F.col("seq") == F.col("__first_follow"), F.col("__last"))
-    rows = ordered.least(rows, SCOPE, {"__latest": at_start})
+    rows = least(rows, SCOPE, {"__latest": at_start})
     rows = rows.withColumn("__since", F.coalesce("__latest.seq", F.lit(-1).cast("bigint")))
     waiting = F.col("__prefix") & ~F.col("__chunk_first")
-    rows = ordered.least(
+    rows = least(
         rows, ["chat_id", "__since"], {"__chunk_since": F.when(waiting & _is(*CHUNKS), F.col("seq"))}
     )
     target = (
@@ -193,7 +179,7 @@ def _resolve(events: DataFrame, ordered: type[_Within] | type[_Blocked]) -> Data
         }
     )
     tool_key = F.struct(F.col("target_id").alias("message_id"), F.col("tool_id").alias("tool_id"))
-    rows = ordered.carry(
+    rows = carry_within(
         rows,
         SCOPE,
         "seq",
@@ -213,6 +199,230 @@ def _resolve(events: DataFrame, ordered: type[_Within] | type[_Blocked]) -> Data
     ).select(*events.columns, *RESOLVED)
 
 
+#: ``__from`` of a stretch whose run started in an earlier block, or never; a place after all events.
+GOES_ON, NEVER = -(2**62), 2**62
+STRETCH = ["__chat", "__block", "__run", "__from"]
+
+
+def _resolve_in_blocks(events: DataFrame, block_rows: int) -> DataFrame:
+    """Chats of any size. The events of one run in one block of ``block_rows`` numbers are a stretch.
+
+    What a stretch changes is one row. These rows are put in order per run, which gives what was true before each
+    stretch, and the stretches are then finished side by side. Events are joined by stretch, never by chat.
+    """
+    rows = _in_blocks(events, block_rows)
+    before = _before_stretches(materialise(_changes(rows)), _created(events))
+    return _finished(rows.join(before, STRETCH)).select(*events.columns, *RESOLVED)
+
+
+def _never(c: str) -> Column:
+    return F.coalesce(F.col(c), F.lit(NEVER).cast("bigint"))
+
+
+def _open(thought: Column, ended: Column) -> tuple[Column, Column]:
+    """Whether a block is open after the thought, and whether it was opened by content."""
+    content = (thought["type"] == "THINKING_TEXT_MESSAGE_CONTENT") & ~F.coalesce(ended, F.lit(False))
+    content = F.coalesce(content, F.lit(False))
+    return content | F.coalesce(thought["type"] == "THINKING_TEXT_MESSAGE_START", F.lit(False)), content
+
+
+def _set_by_event() -> dict[str, Column]:
+    """What an event sets for the events after it in its run."""
+    named = F.struct(F.col("name").alias("name"))
+    nothing = F.struct(F.lit(None).cast("string").alias("name"))
+    return {
+        "named": F.col("__own"),
+        "step": F.when(_is("STEP_STARTED"), named).when(_is("STEP_FINISHED"), nothing),
+        "title": F.when(_is("THINKING_START"), named).when(_is("THINKING_END"), nothing),
+        "tool": F.when(_is(*TOOL), F.col("tool_call_id")),
+        "thought": F.when(_is(*THOUGHT), F.struct(F.col("type").alias("type"), F.col("seq").alias("seq"))),
+        "thought_end": F.when(_is("THINKING_END"), F.col("seq")),
+    }
+
+
+def _in_blocks(events: DataFrame, block_rows: int) -> DataFrame:
+    """Events with their stretch, and what each knows from the events before it in the stretch."""
+
+    def key(c: str) -> Column:  # never NULL, so that it joins
+        return F.coalesce(F.concat(F.lit("="), c), F.lit(""))
+
+    own = F.when(_is(*TEXT), F.col("message_id")).when(
+        _is("TOOL_CALL_START", "TOOL_CALL_CHUNK"), F.col("parent_message_id")
+    )
+    rows = events.withColumns(
+        {
+            "__chat": key("chat_id"),
+            "__run": key("run_id"),
+            "__block": F.floor(F.col("seq") / F.lit(block_rows)),
+            "__own": own,
+            "__touch": _is(*TEXT, *TOOL, *THOUGHT),
+        }
+    )
+    rows = carry_within(rows, STRETCH[:3], "seq", {"__from": F.when(_is("RUN_STARTED"), F.col("seq"))})
+    rows = rows.withColumn("__from", F.coalesce("__from", F.lit(GOES_ON).cast("bigint")))
+    sets = {f"__{n}": c for n, c in _set_by_event().items()}
+    before = {n: sets.pop(n) for n in ("__thought", "__thought_end")}
+    return carry_within(rows, STRETCH, "seq", upto=sets, before=before)
+
+
+def _changes(rows: DataFrame) -> DataFrame:
+    """One row per stretch: what it sets, where it first does what, and the places whose meaning hangs on what was before."""
+    seq, thought = F.col("seq"), _is(*THOUGHT)
+    loose = F.col("__touch") & F.col("__own").isNull()
+    is_open, _ = _open(F.col("__thought"), F.col("__thought_end") > F.col("__thought.seq"))
+    opens = _is("THINKING_TEXT_MESSAGE_START") | (thought & F.col("__thought").isNotNull() & ~is_open)
+    place = F.struct("seq", F.col("__named").alias("named"), F.col("__tool").alias("tool"))
+    start = F.struct("seq", F.col("__thought_end").isNotNull().alias("ended"))
+
+    def first(when: Column) -> Column:
+        return F.min(F.when(when, seq))
+
+    return rows.groupBy(*STRETCH).agg(
+        F.max("chat_id").alias("chat_id"),
+        *[F.max_by(c, F.when(c.isNotNull(), seq)).alias(f"set_{n}") for n, c in _set_by_event().items()],
+        first(F.col("__own").isNotNull()).alias("first_named"),
+        first(loose & ~_is(*CHUNKS)).alias("first_follow"),
+        first(loose & _is(*CHUNKS)).alias("first_chunk"),
+        first(_is("TOOL_CALL_CHUNK") & F.col("tool_call_id").isNull()).alias("first_tool_chunk"),
+        F.max_by(place, F.when(F.col("__touch"), seq)).alias("last_touch"),
+        F.max_by(place, F.when(_is(*TOOL), seq)).alias("last_tool"),
+        F.max_by(place, F.when(thought, seq)).alias("last_thought"),
+        F.min_by(start, F.when(thought, seq)).alias("first_thought"),
+        F.max(F.when(opens, seq)).alias("last_open"),
+    )
+
+
+def _point(id_: Column, role: Column, seq: str) -> Column:
+    return F.struct(id_.alias("id"), role.alias("role"), F.col(seq).alias("seq"))
+
+
+def _created(events: DataFrame) -> DataFrame:
+    """Where each message of a chat is named first, with its role there."""
+    own = F.when(_is("MESSAGE", *TEXT), F.col("message_id")).when(
+        _is("TOOL_CALL_START", "TOOL_CALL_CHUNK"), F.col("parent_message_id")
+    )
+    role = F.when(_is("MESSAGE"), F.coalesce("role", F.lit("user"))).otherwise(
+        F.coalesce(F.when(_is("TEXT_MESSAGE_START"), F.col("role")), F.lit(ASSISTANT))
+    )
+    named = events.withColumn("__id", own).filter(F.col("__id").isNotNull())
+    first = F.min_by(_point(F.col("__id"), role, "seq"), "seq")
+    found = named.groupBy(F.coalesce(F.concat(F.lit("="), "chat_id"), F.lit("")).alias("__chat"), "__id").agg(first.alias("point"))
+    return found.select("__chat", F.col("point.seq").alias("seq"), "point")
+
+
+def _before_stretches(stretches: DataFrame, created: DataFrame) -> DataFrame:
+    """For every stretch, what was true before it and how its scope, a run from one start to the next, begins."""
+    in_run = Window.partitionBy("__chat", "__run").orderBy("__block", "__from")
+    started = F.when(F.col("__from") != GOES_ON, F.col("__from"))
+    epoch = F.last(started, ignorenulls=True).over(in_run.rowsBetween(Window.unboundedPreceding, 0))
+    rows = stretches.withColumn("__epoch", F.coalesce(epoch, F.lit(GOES_ON).cast("bigint")))
+    scope = Window.partitionBy("__chat", "__run", "__epoch")
+    earlier = scope.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+
+    def before(c: Column | str) -> Column:
+        return F.last(c, ignorenulls=True).over(earlier)
+
+    firsts = ("named", "follow", "chunk", "tool_chunk")
+    rows = rows.withColumns(
+        {
+            **{f"in_{n}": before(f"set_{n}") for n in ("named", "step", "title", "tool", "thought", "thought_end")},
+            **{f"of_{n}": F.min(f"first_{n}").over(scope) for n in firsts},
+        }
+    )
+    # A scope begins with an event that names a message, with a chunk that starts one, or with one that follows
+    # the message that was created last in the chat.
+    rows = rows.withColumns(
+        {
+            "chunk_first": F.col("of_chunk") < F.least(_never("of_follow"), _never("of_named")),
+            "follows": F.col("of_follow") < F.least(_never("of_chunk"), _never("of_named")),
+        }
+    ).fillna(False, ["chunk_first", "follows"])
+    chunk_point = _point(_derived_id("new", F.col("of_chunk")), F.lit(ASSISTANT), "of_chunk")
+    by_chunk = rows.filter(F.col("chunk_first") & (F.col("first_chunk") == F.col("of_chunk")))
+    asked = rows.filter(F.col("follows") & (F.col("first_follow") == F.col("of_follow"))).select(
+        "__chat", F.col("of_follow").alias("seq"),
+        F.when(F.col("of_chunk") < _never("of_named"), F.col("of_chunk")).alias("chunk"), F.lit(True).alias("asked"),
+    )
+    points = created.unionByName(by_chunk.select("__chat", F.col("of_chunk").alias("seq"), chunk_point.alias("point")))
+    both = points.unionByName(asked, allowMissingColumns=True)
+    latest = carry_forward(both, ["__chat"], "seq", before={"latest": "point"}).filter("asked").select(
+        "__chat", F.col("seq").alias("of_follow"), "latest", "chunk",
+        F.coalesce("latest.seq", F.lit(-1).cast("bigint")).alias("since"),
+    )
+    # Scopes that follow the same message share the one that the first chunk among them starts.
+    chunks = latest.groupBy("__chat", "since").agg(F.min("chunk").alias("chunk_since"))
+    latest = latest.drop("chunk").join(chunks, ["__chat", "since"], "left")
+    rows = rows.join(latest, ["__chat", "of_follow"], "left")
+
+    def target_at(place: str) -> Column:
+        at = F.col(place)
+        return F.when(at.isNotNull(), _target(F.coalesce(at["named"], F.col("in_named")), at["seq"]))
+
+    tool = F.coalesce("last_tool.tool", "in_tool", _derived_id("tool", F.col("of_tool_chunk")))
+    tool_key = F.struct(target_at("last_tool").alias("message_id"), tool.alias("tool_id"))
+    ended = (F.col("in_thought_end") > F.col("in_thought.seq")) | F.col("first_thought.ended")
+    is_open, _ = _open(F.col("in_thought"), ended)
+    rows = rows.withColumns(
+        {
+            "in_active": before(target_at("last_touch")),
+            "in_active_tool": before(F.when(F.col("last_tool").isNotNull(), tool_key)),
+            "in_open_message": before(target_at("last_thought")),
+            "in_block": before(F.coalesce("last_open", F.when(~is_open, F.col("first_thought.seq")))),
+        }
+    )
+    kept = [c for c in rows.columns if c.startswith("in_")]
+    return rows.select(*STRETCH, *kept, "chunk_first", "of_chunk", "of_tool_chunk", "latest", "since", "chunk_since")
+
+
+def _target(named: Column, seq: Column) -> Column:
+    """The message of an event that touches one, from what its run named last and how the scope begins."""
+    return (
+        F.when(named.isNotNull(), named)
+        .when(F.col("chunk_first"), _derived_id("new", F.col("of_chunk")))
+        .when(F.col("latest.role") == ASSISTANT, F.col("latest.id"))
+        .when(seq >= F.col("chunk_since"), _derived_id("new", F.col("chunk_since")))
+        .otherwise(_derived_id("implicit", F.col("since")))
+    )
+
+
+def _finished(rows: DataFrame) -> DataFrame:
+    """Events joined with what was true before their stretch, resolved inside the stretch."""
+    thought, thought_end = F.coalesce("__thought", "in_thought"), F.coalesce("__thought_end", "in_thought_end")
+    is_open, open_content = _open(thought, thought_end > thought["seq"])
+    rows = rows.withColumns(
+        {
+            "target_id": F.when(F.col("__touch"), _target(F.coalesce("__named", "in_named"), F.col("seq"))),
+            "tool_id": F.when(_is(*TOOL), F.coalesce("__tool", "in_tool", _derived_id("tool", F.col("of_tool_chunk")))),
+            "step": F.coalesce("__step", "in_step")["name"],
+            "title": F.coalesce("__title", "in_title")["name"],
+            "__opens": _is("THINKING_TEXT_MESSAGE_START") | (_is(*THOUGHT) & ~is_open),
+            "__open_content": open_content,
+        }
+    )
+    tool_key = F.struct(F.col("target_id").alias("message_id"), F.col("tool_id").alias("tool_id"))
+    rows = carry_within(
+        rows,
+        STRETCH,
+        "seq",
+        upto={"__block_at": F.when(F.col("__opens"), F.col("seq"))},
+        before={
+            "__active": F.col("target_id"),
+            "__active_tool": F.when(F.col("tool_id").isNotNull(), tool_key),
+            "__open_message": F.when(_is(*THOUGHT), F.col("target_id")),
+        },
+    )
+    block = F.coalesce("__block_at", "in_block")
+    open_key = F.struct(F.coalesce("__open_message", "in_open_message").alias("message_id"), block.alias("block"))
+    return rows.withColumns(
+        {
+            "active_id": F.coalesce("__active", "in_active"),
+            "active_tool": F.coalesce("__active_tool", "in_active_tool"),
+            "block": F.when(_is(*THOUGHT), block),
+            "open_block": F.when(F.col("__open_content") & ~_is(*THOUGHT), open_key),
+        }
+    )
+
+
 def _error() -> Column:
     return F.when(_is("RUN_ERROR"), error_text("error_code", "error_message"))
 
@@ -364,15 +574,8 @@ def unclosed_chats(messages: DataFrame) -> DataFrame:
 
 
 def active_id(events: DataFrame, keys: Sequence[str], seq: str, id_col: str, out: str = "active_id") -> DataFrame:
-    """Last known id at each row: rows without one belong to the id before them.
-
-    Keys with more rows than a block go through a blocked scan, the others through a window.
-    """
-    hot = hot_keys(events, keys)
-    if hot is None:
-        return carry_within(events, keys, seq, {out: id_col})
-    small = carry_within(events.join(hot, list(keys), "left_anti"), keys, seq, {out: id_col})
-    return small.unionByName(carry_forward(events.join(hot, list(keys), "left_semi"), keys, seq, {out: id_col}))
+    """Last known id at each row: rows without one belong to the id before them."""
+    return carry_forward(events, keys, seq, {out: id_col})
 
 
 def dedup_messages(incoming: DataFrame, stored: DataFrame | None = None, keys: Sequence[str] = ("chat_id", "message_id")) -> DataFrame:

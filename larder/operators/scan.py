@@ -66,21 +66,21 @@ def carry_forward(
     seq: str,
     upto: Mapping[str, Column | str] | None = None,
     before: Mapping[str, Column | str] | None = None,
-    block_rows: int = BLOCK_ROWS,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Last non-NULL value of each expression per key in order of ``seq``: of the rows up to and with
     this one (``upto``), or of the earlier rows only (``before``).
 
-    ``seq`` is a whole number and numbers the rows of a key without large gaps, so
-    ``seq div block_rows`` bounds the rows of a block. The rows are used twice, so they are materialised
-    first.
+    Rows are sorted into ranges of key and ``seq`` by Spark's sample of them, and stored so, once; any orderable ``seq``
+    with or without gaps will do. A key of any size is spread over as many ranges as it fills, and each range gives
+    one row per key that it has.
     """
-    df = materialise(df)
     keys = list(keys)
     upto, before = dict(upto or {}), dict(before or {})
     values = {n: (F.col(c) if isinstance(c, str) else c) for n, c in {**upto, **before}.items()}
-    blocked = df.withColumns(
-        {"__block": F.floor(F.col(seq) / F.lit(block_rows)), **{f"__v_{n}": v for n, v in values.items()}}
+    spread = df.repartitionByRange(ranges, *keys, seq) if ranges else df.repartitionByRange(*keys, seq)
+    blocked = materialise(
+        spread.withColumns({"__block": F.spark_partition_id(), **{f"__v_{n}": v for n, v in values.items()}})
     )
     summary = blocked.groupBy(*keys, "__block").agg(
         *[

@@ -219,7 +219,7 @@ def loop(rows):
     return out
 
 
-@pytest.mark.parametrize("chat_rows", [65_536, 4])
+@pytest.mark.parametrize("chat_rows", [65_536, 20, 4, 1])
 def test_batch_equals_an_event_by_event_loop(spark, chat_rows):
     rng = random.Random(11)
     rows = rows_of(*[random_chat(rng, 14) for _ in range(120)])

@@ -20,13 +20,13 @@ def ffill(values, inclusive=True):
     return out
 
 
-@pytest.mark.parametrize("block", [1, 3, 1000])
-def test_carry_forward_equals_a_loop(spark, block):
-    rng = random.Random(block)
+@pytest.mark.parametrize("ranges", [None, 1, 4, 50])
+def test_carry_forward_equals_a_loop(spark, ranges):
+    rng = random.Random(ranges or 0)
     rows = [(k, i, rng.choice([None, None, rng.randint(0, 9)])) for k in ("a", "b", None) for i in range(20)]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "k string, seq bigint, v int")
-    got = scan.carry_forward(df, ["k"], "seq", {"upto": "v"}, {"before": "v"}, block_rows=block).collect()
+    got = scan.carry_forward(df, ["k"], "seq", {"upto": "v"}, {"before": "v"}, ranges=ranges).collect()
     plain = scan.carry_within(df, ["k"], "seq", {"upto": "v"}, {"before": "v"}).collect()
     assert sorted(map(str, got)) == sorted(map(str, plain))
     for k in ("a", "b", None):
