@@ -249,6 +249,76 @@ def psi(base: DataFrame, current: DataFrame, cols: Sequence[str], bins: int = 10
     return parts.groupBy("feature").agg(round_to(F.sum(term), 6).alias("psi"))
 
 
+#: Accuracy of a profile's sketch: shares are right to about 0.1 % of the rows, in some 100 KB.
+SKETCH_K = 4096
+#: A profile is read at so many evenly spaced ranks, the middles of as many equal parts.
+RANKS = 1000
+
+
+def value_profile(df: DataFrame, cols: Sequence[str], day: str = "snapshot_date", period: str = "month", k: int = SKETCH_K) -> DataFrame:
+    """One row per column and period: rows, missing values, least and greatest value, and a quantile sketch.
+
+    Profiles are small, are written once per period, and merge into those of any longer window (``merged_profile``), so
+    windows are compared without the rows. NaN counts as missing; a period with nothing else has no sketch.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in cols])
+    long = df.select(F.trunc(day, period).alias("period"), F.explode(pairs).alias("e")).select("period", "e.feature", F.nullif("e.x", F.lit(float("nan"))).alias("x"))
+    return _with_sketch(
+        long.groupBy("feature", "period").agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.count_if(F.col("x").isNull()).alias("missing"),
+            F.min("x").alias("least"),
+            F.max("x").alias("greatest"),
+            F.kll_sketch_agg_double("x", F.lit(k)).alias("sketch"),
+        )
+    )
+
+
+def merged_profile(profiles: DataFrame, by: Sequence[str] = ("feature",)) -> DataFrame:
+    """Profiles of several periods as one per group."""
+    return _with_sketch(
+        profiles.groupBy(*by).agg(
+            F.sum("rows").alias("rows"),
+            F.sum("missing").alias("missing"),
+            F.min("least").alias("least"),
+            F.max("greatest").alias("greatest"),
+            F.kll_merge_agg_double("sketch").alias("sketch"),
+        )
+    )
+
+
+def _with_sketch(profiles: DataFrame) -> DataFrame:
+    return profiles.withColumn("sketch", F.when(F.col("rows") > F.col("missing"), F.col("sketch")))
+
+
+def profile_psi(base: DataFrame, current: DataFrame, bins: int = 10, floor: float = 0.005) -> DataFrame:
+    """``psi`` between merged profiles: ``base`` has one row per feature, ``current`` any number, all of whose columns
+    but the sketch are kept.
+
+    Bins are those of ``psi``, read from the sketches at ``RANKS`` ranks. ``floor`` lies above what a sketch can tell
+    from nothing. NULL where either side has no values, or the base has no profile.
+    """
+    values = F.kll_sketch_get_quantile_double("sketch", F.array(*[F.lit((i + 0.5) / RANKS) for i in range(RANKS)]))
+    points = base.select("feature", values.alias("__base"))
+    starts = [F.get("__base", F.lit(0))]
+    for i in range(1, bins):
+        at = i * RANKS // bins
+        later = F.filter(F.slice("__base", at + 1, RANKS), lambda v, at=at: v > F.get("__base", F.lit(at - 1)))
+        starts.append(F.get(later, F.lit(0)))
+    edges = points.withColumn("__edges", F.array_distinct(F.array_compact(F.array(*starts))))  # one row per feature
+    rows = current.withColumn("__now", values).join(F.broadcast(edges), "feature", "left")
+
+    def shares(c: str) -> Column:
+        below = F.transform(F.slice("__edges", 2, bins), lambda e: F.size(F.filter(c, lambda v: v < e)) / F.lit(float(RANKS)))
+        low, high = F.concat(F.array(F.lit(0.0)), below), F.concat(below, F.array(F.lit(1.0)))
+        return F.zip_with(high, low, lambda b, a: F.greatest(F.lit(floor), b - a))
+
+    terms = F.zip_with(shares("__now"), shares("__base"), lambda c, b: (c - b) * F.log(c / b))
+    total = F.when(F.col("__now").isNotNull() & (F.size("__edges") > 0), F.aggregate(terms, F.lit(0.0), lambda a, t: a + t))
+    kept = [c for c in current.columns if c != "sketch"]
+    return rows.select(*kept, round_to(total, 6).alias("psi"))
+
+
 def score_gates(scores: DataFrame, rules: Sequence[tuple[str, str, float, str]], keys: Sequence[str]) -> DataFrame:
     """Rows that break a rule, one row per broken rule. A rule is (metric, comparator, limit, action)."""
     compare = {

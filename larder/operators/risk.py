@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from larder.functions.scalars import round_to
 from larder.operators.aggregates import grouped
-from larder.operators.model_quality import fold_of
+from larder.operators.model_quality import fold_of, log_loss_of
 from larder.operators.ordering import top_n, top_per
 from larder.session import materialise
 
@@ -152,6 +152,83 @@ def score_folds(
     return out
 
 
+#: Scores are calibrated in so many equal steps, which bounds what a calibration holds.
+CALIBRATION_STEPS = 10_000
+CALIBRATED = "calibrated"
+
+
+def calibrate(fit: DataFrame, df: DataFrame, label: str, p: str, steps: int = CALIBRATION_STEPS) -> DataFrame:
+    """``df`` with the probability that the scores of ``fit`` turned out to mean, as column ``calibrated``.
+
+    An isotonic regression over the steps of the score: the fitted values never fall as the score rises, and no other such
+    steps have a smaller log loss on ``fit``. Rows of ``fit`` are counted per step first. Scores between fitted steps are
+    interpolated; a score that is NULL or no number has no calibrated one. A ``fit`` without rows is an error.
+    """
+    from pyspark.ml.regression import IsotonicRegression
+
+    def stepped(rows: DataFrame) -> DataFrame:
+        step = F.least(F.lit(steps - 1), F.floor(F.col(p) * steps)) / F.lit(float(steps))
+        return rows.withColumn("__step", F.when(F.col(p).isNotNull() & ~F.isnan(p), step))
+
+    n = F.count(F.lit(1)).cast("double")
+    counted = stepped(fit).filter(F.col("__step").isNotNull() & F.col(label).isNotNull()).groupBy("__step")
+    counted = materialise(counted.agg((F.sum(F.col(label).cast("bigint")) / n).alias("__rate"), n.alias("__n")))
+    if counted.isEmpty():
+        raise ValueError("there are no rows to calibrate with")
+    model = IsotonicRegression(featuresCol="__step", labelCol="__rate", weightCol="__n", predictionCol=CALIBRATED).fit(counted)
+    rows = stepped(df).withColumn("__known", F.col("__step").isNotNull()).fillna(0.0, ["__step"])
+    out = model.transform(rows)
+    return out.withColumn(CALIBRATED, F.when(F.col("__known"), F.col(CALIBRATED))).drop("__step", "__known")
+
+
+def calibrated_folds(
+    df: DataFrame,
+    cuts: Sequence[dt.date],
+    gap_days: int = 30,
+    fit_days: int = 60,
+    label: str = "shortage_within_30d",
+    trees: int = 20,
+    kind: str = "gbt",
+    out: str = "shortage_within_30d_1_PREDICTION",
+) -> DataFrame:
+    """Every chronological fold with raw and calibrated probabilities: keys, ``fold``, ``fitted``, the label, both scores.
+
+    What a fold may know before its cut is split by time: a model learns from the earlier part, and its scores on the last
+    ``fit_days`` days whose labels are known at the cut (rows with ``fitted``) say what a score means. The model's
+    labels end before those days begin, so nothing is seen twice.
+    """
+    result = None
+    for i, cut in enumerate(cuts):
+        end = cut - dt.timedelta(days=gap_days)
+        begin = end - dt.timedelta(days=fit_days)
+        day = F.col("snapshot_date")
+        fold = F.when((day >= F.lit(begin)) & (day < F.lit(end)), F.lit(True)).when(fold_of("snapshot_date", cuts, gap_days) == i + 1, F.lit(False))
+        rows = df.withColumn("fitted", fold).filter(F.col("fitted").isNotNull())
+        scored = score(train(df, begin, gap_days, label, trees, kind), rows, out=out).join(rows.select(*KEYS, "fitted", label), list(KEYS))
+        scored = materialise(scored)
+        scored = calibrate(scored.filter("fitted"), scored, label, out).withColumn("fold", F.lit(i + 1))
+        result = scored if result is None else result.unionByName(scored)
+    return result
+
+
+def calibration_gain(scored: DataFrame, label: str, p: str, by: Sequence[str]) -> DataFrame:
+    """Rows, positives, and log loss and mean squared error of the raw and of the calibrated score per group."""
+    y = F.col(label).cast("double")
+
+    def brier(c: str) -> Column:
+        exact = F.sum(((F.col(c) - y) * (F.col(c) - y)).cast("decimal(28,12)")).cast("double")
+        return round_to(exact / F.count(c).cast("double"), 9)
+
+    return scored.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(F.col(label).cast("bigint")).alias("positives"),
+        log_loss_of(label, p).alias("log_loss"),
+        log_loss_of(label, CALIBRATED).alias("calibrated_log_loss"),
+        brier(p).alias("brier"),
+        brier(CALIBRATED).alias("calibrated_brier"),
+    )
+
+
 def score(model, df: DataFrame, keys: Sequence[str] = KEYS, out: str = "shortage_within_30d_1_PREDICTION") -> DataFrame:
     """Raw predictions table: keys and the probability of the positive class, from the columns that the model was fitted to."""
     from pyspark.ml.functions import vector_to_array

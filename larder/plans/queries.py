@@ -7,6 +7,7 @@ import uuid
 import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from larder.functions import scalars as sc
 from larder.functions import text as tx
@@ -1425,6 +1426,67 @@ def _(spark, d):
     return mq.all_measures(scored, "shortage_within_30d", m.RAW_PREDICTION, ["fold"])
 
 
+def _calibrated(spark, d):
+    return materialise(rk.calibrated_folds(materialise(_training(spark, d)), FOLD_CUTS, kind="logistic"))
+
+
+@query("calibration_gain")
+def _(spark, d):
+    """Log loss and squared error per fold before and after calibration, where it was fitted and on the days after."""
+    return rk.calibration_gain(_calibrated(spark, d), "shortage_within_30d", m.RAW_PREDICTION, ["fold", "fitted"])
+
+
+_FITTED_DAYS = " OR ".join(
+    f"(f.fold = {i} AND snapshot_date >= DATE '{c}' - 90 AND snapshot_date < DATE '{c}' - 30)" for i, c in enumerate(FOLD_CUTS, 1)
+)
+
+
+@query(
+    "calibrated_folds",
+    f"""SELECT CAST(fold AS INTEGER) AS fold, fitted, count(*) AS rows, CAST(sum(shortage_within_30d) AS BIGINT) AS positives,
+        true AS rises, true AS mean_kept, true AS no_worse FROM (
+        SELECT f.fold, true AS fitted, shortage_within_30d FROM trs, (SELECT unnest([1, 2, 3]) AS fold) f WHERE {_FITTED_DAYS}
+        UNION ALL SELECT fold, false, shortage_within_30d FROM {_FOLDED}) GROUP BY ALL""",
+)
+def _(spark, d):
+    """What holds for any monotone calibration: it never falls, and where it was fitted it keeps the mean and loses nothing."""
+    scored = _calibrated(spark, d)
+    y, p, c = F.col("shortage_within_30d"), F.col(m.RAW_PREDICTION), F.col(rk.CALIBRATED)
+    steps = scored.groupBy("fold", F.floor(p * rk.CALIBRATION_STEPS).alias("step")).agg(F.min(c).alias("low"), F.max(c).alias("high"))
+    below = Window.partitionBy("fold").orderBy("step")  # at most as many rows as steps
+    falls = (F.col("low") < F.lag("high").over(below) - 1e-9) | (F.col("low") < F.col("high") - 1e-9)
+    rises = steps.withColumn("falls", F.coalesce(falls, F.lit(False))).groupBy("fold").agg((~F.bool_or("falls")).alias("rises"))
+    fitted = F.col("fitted")
+    table = scored.groupBy("fold", "fitted").agg(
+        F.count("*").alias("rows"), F.sum(y.cast("bigint")).alias("positives"),
+        (F.abs(F.avg(c) - F.avg(y.cast("double"))) < 1e-6).alias("mean_kept"),
+        (mq.log_loss_of("shortage_within_30d", rk.CALIBRATED) <= mq.log_loss_of("shortage_within_30d", m.RAW_PREDICTION) + 1e-4).alias("no_worse"),
+    )
+    return table.join(F.broadcast(rises), "fold").select(
+        "fold", "fitted", "rows", "positives", "rises", (~fitted | F.col("mean_kept")).alias("mean_kept"), (~fitted | F.col("no_worse")).alias("no_worse")
+    )
+
+
+@query(
+    "drift_by_month",
+    f"""SELECT feature, CAST(date_trunc('month', snapshot_date) AS DATE) AS period, count(*) AS rows, count(*) - count(x) AS missing,
+    min(x) AS least, max(x) AS greatest, true AS has_psi, true AS as_from_rows FROM ({" UNION ALL ".join(
+        f"SELECT '{c}' AS feature, snapshot_date, CAST({c} AS DOUBLE) AS x FROM trn" for c in _PSI_COLS
+    )}) WHERE snapshot_date >= DATE '{FOLD_CUTS[1]}' GROUP BY 1, 2""",
+)
+def _(spark, d):
+    """Drift of each later month against all before, from stored profiles alone; the later months together, beside the rows."""
+    rows, cut = materialise(_training(spark, d)), F.lit(FOLD_CUTS[1])
+    profiles = materialise(mq.value_profile(rows, _PSI_COLS))
+    base, later = mq.merged_profile(profiles.filter(F.col("period") < cut)), profiles.filter(F.col("period") >= cut)
+    whole = mq.profile_psi(base, mq.merged_profile(later)).select("feature", F.col("psi").alias("of_profiles"))
+    exact = mq.psi(rows.filter(F.col("snapshot_date") < cut), rows.filter(F.col("snapshot_date") >= cut), _PSI_COLS, floor=0.005)
+    both = whole.join(exact, "feature").select("feature", (F.abs(F.col("of_profiles") - F.col("psi")) < 0.05).alias("as_from_rows"))
+    return mq.profile_psi(base, later).join(F.broadcast(both), "feature").select(
+        "feature", "period", "rows", "missing", "least", "greatest", F.col("psi").isNotNull().alias("has_psi"), "as_from_rows"
+    )
+
+
 @query("train_and_score")
 def _(spark, d):
     rows = materialise(_training(spark, d))
@@ -1464,6 +1526,20 @@ def _(spark, d):
     return out.select("chat_id", "message_id", "name", "content", "in_progress")
 
 
+@query(
+    "fold_hot_chat",
+    """SELECT CASE WHEN chat_id % 3 = 0 THEN 'all' ELSE CAST(chat_id AS VARCHAR) END AS chat_id, message_id, role, content, false AS in_progress FROM msg""",
+)
+def _(spark, d):
+    """One chat holds the runs of a third of all; it is resolved in blocks."""
+    number = F.col("chat_id").cast("bigint")
+    mine = F.pmod(number, F.lit(3)) == 0
+    seq = F.when(mine, number * 1000 * m.TURN_SEQ + F.col("seq")).otherwise(F.col("seq"))
+    events = m.run_events(spark, d).withColumns({"seq": seq, "chat_id": F.when(mine, F.lit("all")).otherwise(F.col("chat_id"))})
+    out = cv.assemble_messages(cv.resolve_events(events, chat_rows=1024))
+    return out.select("chat_id", "message_id", "role", "content", "in_progress")
+
+
 @query(
     "fold_odd_runs",
     """SELECT CAST(chat_id AS VARCHAR) AS chat_id, message_id, 'assistant' AS role, content, (chat_id + seq) % 4 = 2 AS in_progress,

@@ -88,6 +88,58 @@ def test_drift(spark):
     assert mq.psi(base.unionByName(outlier), moved, ["x"]).first().psi > 1
 
 
+def test_profiles_tell_drift_without_the_rows(spark):
+    """Merged months against the rows themselves: even and tied values, a jump, missing values, and a month without any."""
+    rng = random.Random(5)
+    rows = [
+        (dt.date(2024, 1 + i % 6, 1 + i % 28), rng.gauss(0, 1) + (i % 6 > 3), float(rng.choice([0, 0, 0, 1, 2, 7])), None if i % 6 == 2 or i % 5 == 0 else rng.random(), float("nan"))
+        for i in range(30_000)
+    ]
+    df = spark.createDataFrame(rows, "snapshot_date date, jump double, tied double, gaps double, none double")
+    cols = ["jump", "tied", "gaps", "none"]
+    profiles = mq.value_profile(df, cols)
+    cut = F.lit(dt.date(2024, 4, 1))
+    base, later = mq.merged_profile(profiles.filter(F.col("period") < cut)), profiles.filter(F.col("period") >= cut)
+    assert {r.feature: (r.rows, r.missing) for r in base.collect()}["gaps"] == (15_000, sum(r[3] is None for r in rows if r[0].month < 4))
+    got = {(r.feature, r.period.month): r.psi for r in mq.profile_psi(base, later).collect()}
+    for month in (4, 5, 6):
+        now = df.filter(F.month("snapshot_date") == month)
+        want = {r.feature: r.psi for r in mq.psi(df.filter(F.month("snapshot_date") < 4), now, cols[:3], floor=0.005).collect()}
+        for c in cols[:3]:
+            assert got[c, month] == pytest.approx(want[c], abs=0.02), (c, month)
+        assert got["none", month] is None
+    assert got["jump", 4] < 0.02 < 0.3 < got["jump", 5]
+    whole = {r.feature: r.psi for r in mq.profile_psi(base, mq.merged_profile(later)).collect()}
+    assert whole["tied"] < 0.01 and mq.profile_psi(base, later.limit(0)).count() == 0
+
+
+def pooled(points):
+    """Rates that never fall, by merging neighbours: (sum, number) per step in order."""
+    blocks = []
+    for s, n in points:
+        blocks.append([s, n, 1])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] > blocks[-1][0] * blocks[-2][1]:
+            s2, n2, k = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + s2, blocks[-1][1] + n2, blocks[-1][2] + k]
+    return [s / n for s, n, k in blocks for _ in range(k)]
+
+
+def test_calibration_equals_pooled_neighbours(spark):
+    rng = random.Random(3)
+    rows = [(p, int(rng.random() < p * p)) for p in (rng.randint(0, 49) / 50 + 0.001 for _ in range(4000))]
+    df = spark.createDataFrame(rows, "p double, y int")
+    extra = spark.createDataFrame([(None, 0), (1.0, 1)], df.schema)
+    got = {r.p: r.calibrated for r in rk.calibrate(df, df.unionByName(extra), "y", "p").collect()}
+    steps = sorted({p for p, _ in rows})
+    want = pooled([(sum(y for p, y in rows if p == s), sum(p == s for p, _ in rows)) for s in steps])
+    assert [got[s] for s in steps] == pytest.approx(want, abs=1e-9)
+    assert got[None] is None and got[1.0] == pytest.approx(want[-1])
+    gain = rk.calibration_gain(rk.calibrate(df, df, "y", "p"), "y", "p", []).first()
+    assert gain.calibrated_log_loss < gain.log_loss and gain.calibrated_brier < gain.brier
+    with pytest.raises(ValueError, match="no rows"):
+        rk.calibrate(df.limit(0), df, "y", "p")
+
+
 def test_models_of_folds_see_only_their_past(spark):
     day = F.date_add(F.lit(dt.date(2024, 1, 1)), (F.col("id") % 300).cast("int"))
     late = F.col("snapshot_date") >= F.lit(dt.date(2024, 8, 1))
