@@ -4,8 +4,9 @@ A model sees a text as its words, runs of letters in lower case, each with a mar
 a word depends on up to four characters before. The models of all languages share one sorted array of n-gram hashes
 with one column of log probabilities for each language, and one of context hashes with the weights of the shorter
 context. A slice of texts is scored through its different words. The language with the lowest cross-entropy per
-character is predicted; it is rejected where that is above what labelled texts of the language have, by a limit fitted
-to texts that were not counted.
+character is predicted. Rejection goes by parts: each word costs what the language that knows it best asks, so a text in
+two known languages is as cheap as its parts, and one in an unknown language is not. The limit lies half way between what
+labelled texts that were not counted cost, and what the same texts cost with their own language left out.
 """
 
 from __future__ import annotations
@@ -24,13 +25,17 @@ from larder.llm import columns as C
 
 UNKNOWN = "und"
 ORDER = 5
-#: Labelled rows per language, on average, that are counted or used for the limit: the bound of what is fitted.
-SAMPLE_ROWS = 400
-#: One of so many sampled rows sets the limit of a language and isn't counted.
+#: Labelled rows per language, on average, that are counted, and others that set the limits: the bound of what is fitted.
+SAMPLE_ROWS, LIMIT_ROWS = 300, 2000
+#: Of the labelled rows of a small table, one of so many sets the limits and isn't counted.
 LIMIT_SHARE = 4
-#: Share of good texts that the limit may reject, and bits that it leaves above the others: a text of which half is in
-#: another known language costs up to two bits more per character, and stays.
-REJECTED_SHARE, MARGIN_BITS = 0.001, 2.0
+#: Share of the texts behind a limit that lie outside what a short text may cost more.
+OUTSIDE_SHARE = 0.002
+#: Labelled texts quote other languages and each other, which makes them cheap without their own language: of what they
+#: cost then, the quantile that stands for a text all in an unknown language.
+UNMIXED = 0.9
+#: The limit above the usual cost, in bits a character, where no other language says what an unknown one costs.
+ALONE_BITS = 2.0
 #: Characters beyond which more text makes a score no surer.
 SURE_AFTER = 64
 BEGIN, END = 1, 2
@@ -78,6 +83,13 @@ class Words:
         return symbols, bounds, which, first, length + 1
 
 
+def evidence(which: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Characters of the different words of each row: a word said a hundred times tells no more than once."""
+    words = max(len(length), 1)
+    pairs = np.unique(np.repeat(np.arange(len(first) - 1), np.diff(first)) * words + which)
+    return np.bincount(pairs // words, length[pairs % words], len(first) - 1)
+
+
 @dataclass
 class Model:
     """Sorted hashes of n-grams and contexts, and bits for each language."""
@@ -88,9 +100,14 @@ class Model:
     contexts: np.ndarray
     context_bits: np.ndarray
     unseen_bits: float
+    usual: np.ndarray | None = None
     limit: np.ndarray | None = None
     spread: np.ndarray | None = None
 
+    def allowed(self, language: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Bits a character that texts with different words of ``n`` characters may cost."""
+        return np.maximum(self.limit[language], self.usual[language] + self.spread[language] / np.sqrt(n))
+
     def score(self, symbols: np.ndarray, bounds: np.ndarray, rolling: C.Rolling) -> np.ndarray:
         """Log2 probability of each word in each language."""
         sums = rolling.sums(symbols)
@@ -188,10 +205,11 @@ def fit(counts: dict[str, tuple[list[str], np.ndarray]]) -> Model:
     return Model(languages, *joined(grams, gram_p), *joined(contexts, context_p), -float(np.log2(symbols)))
 
 
-def learn(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model | None:
-    """Fit to about ``rows`` labelled rows per language that aren't held out; None if there are none.
+def learn(docs: DataFrame, rows: int = SAMPLE_ROWS, limit_rows: int = LIMIT_ROWS) -> Model | None:
+    """Fit to about ``rows`` labelled rows per language that aren't held out, and limits from ``limit_rows`` others, or a
+    quarter of all where there are fewer; None if there are no labelled rows.
 
-    What comes to the driver are the different words of the sample with their counts, and one number for each text that
+    What comes to the driver are the different words of the sample with their counts, and three numbers for each text that
     sets the limits.
     """
     labelled = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -199,9 +217,12 @@ def learn(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model | None:
     if not number:
         return None
     place = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 40))
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in number.items() for x in (k, rows / n)]), F.col("lang"))
-    sample = labelled.filter(place < share * (1 << 40))
-    for_limit = F.pmod(F.xxhash64(F.lit(18), "doc_id"), F.lit(LIMIT_SHARE)) == 0
+
+    def up_to(share: dict[str, float]) -> Column:
+        return F.element_at(F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, v)]), F.col("lang")) * (1 << 40)
+
+    for_limit = {k: min(limit_rows / n, 1 / LIMIT_SHARE) for k, n in number.items()}
+    sample = labelled.filter((place >= up_to(for_limit)) & (place < up_to({k: v + rows / number[k] for k, v in for_limit.items()})))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -216,41 +237,69 @@ def learn(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model | None:
                 ["lang", "word", "n"],
             )
 
-    counted = sample.filter(~for_limit).mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     table = counted.toArrow().sort_by([("lang", "ascending"), ("word", "ascending")])
     if not len(table):
         return None
     by_language = {k: table.filter(pa.compute.equal(table["lang"], k)) for k in table["lang"].unique().to_pylist()}
     model = fit({k: (x["word"].to_pylist(), x["n"].to_numpy().astype(np.float64)) for k, x in by_language.items()})
-    return _with_limits(model, annotate(sample.filter(for_limit), model).select("lang", "language.*").toPandas())
+    return _with_limits(model, _costs(labelled.filter(place < up_to(for_limit)), model))
+
 
+def _costs(labelled: DataFrame, model: Model) -> pd.DataFrame:
+    """For each text its language, the characters ``n`` of its different words, cost by parts, and the same without its own language, which then is ``taken_for``."""
+    shared = labelled.sparkSession.sparkContext.broadcast(dict(vars(model)))
 
-def _with_limits(model: Model, scored: pd.DataFrame) -> Model:
-    """Limits of the cross-entropy: for long texts, and what the square root of the number of characters adds for short ones."""
-    model.limit, model.spread = np.zeros(len(model.languages)), np.zeros(len(model.languages))
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, words = Model(**shared.value), Words()
+        for batch, data, offsets in C.slices(batches, "text"):
+            symbols, bounds, which, first, length = words(data, offsets)
+            n = C.run_sums(length[which], first)
+            bits = model.score(symbols, bounds, words.rolling).astype(np.float64)[which]
+            langs = batch.column("lang").to_pylist()
+            cost, without, taken = np.full((3, len(n)), np.nan)
+            for i in np.flatnonzero(n > 0).tolist():
+                mine = bits[first[i] : first[i + 1]]
+                cost[i] = -mine.max(1).sum() / n[i]
+                others = [k for k, x in enumerate(model.languages) if x != langs[i]]
+                if others:
+                    without[i] = -mine[:, others].max(1).sum() / n[i]
+                    taken[i] = others[int(mine[:, others].sum(0).argmax())]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(evidence(which, first, length)), pa.array(cost), pa.array(without), pa.array(taken)], names)
+
+    names = ["lang", "n", "cost", "without", "taken_for"]
+    return labelled.mapInArrow(rows, "lang string, n double, cost double, without double, taken_for double").toPandas()
+
+
+def _with_limits(model: Model, costs: pd.DataFrame) -> Model:
+    """Per language its usual cost, the limit for long texts, and what the square root of the number of characters adds for short ones."""
+    costs = costs[costs["cost"].notna()]
+    model.usual, model.limit, model.spread = (np.full(len(model.languages), np.inf) for _ in range(3))
     for i, name in enumerate(model.languages):
-        own = scored[(scored["lang"] == name) & (scored["lang_pred"] == name)]
-        bits, n = own["cross_entropy"].to_numpy(), own["n_symbols"].to_numpy()
-        if not len(bits):
-            model.limit[i] = np.inf
+        own, strange = costs[costs["lang"] == name], costs[costs["taken_for"] == i]
+        strange = strange if len(strange) else costs[costs["without"].notna() & (costs["lang"] != name)]
+        if not len(own):
             continue
-        usual = np.average(bits, weights=n)
-        scaled = np.abs(bits - usual) * np.sqrt(n)
-        model.spread[i] = max(1.0, np.quantile(scaled, 1 - REJECTED_SHARE))
-        model.limit[i] = max(usual, np.quantile(bits[n >= np.median(n)], 1 - REJECTED_SHARE)) + MARGIN_BITS
+        n = own["n"].to_numpy()
+        model.usual[i] = np.average(own["cost"], weights=n)
+        unknown = np.quantile(strange["without"], UNMIXED) if len(strange) else model.usual[i] + 2 * ALONE_BITS
+        model.limit[i] = max((model.usual[i] + unknown) / 2, model.usual[i])
+        outside = np.quantile((own["cost"] - model.usual[i]) * np.sqrt(n), 1 - OUTSIDE_SHARE)
+        # However odd some texts are, enough characters show that a language is unknown.
+        model.spread[i] = np.clip(outside, 1.0, max(1.0, (unknown - model.usual[i]) * np.sqrt(SURE_AFTER)))
     return model
 
 
 LANGUAGE = "lang_pred string, score double, cross_entropy double, n_symbols long, rejected boolean"
 
 
-def annotate(docs: DataFrame, model: Model | None) -> DataFrame:
-    """All columns of ``docs`` and a struct ``language`` of lang_pred, score, cross_entropy, n_symbols, rejected.
+def annotate(docs: DataFrame, model: Model | None, into: str = "language") -> DataFrame:
+    """All columns of ``docs`` and a struct ``into`` of lang_pred, score, cross_entropy, n_symbols, rejected.
 
     A text that is null or has no letter is ``und`` with score 0, and rejected; so is every text without a model.
-    Cross-entropy is in bits per character, marks included. A column named ``language`` is replaced.
+    Cross-entropy is in bits per character, marks included. A column of that name is replaced.
     """
-    docs = docs.drop("language")
+    docs = docs.drop(into)
     fields = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("cross_entropy", pa.float64()), ("n_symbols", pa.int64()), ("rejected", pa.bool_())])
     # Plain arrays: what is broadcast must not need this package on an executor.
     shared = docs.sparkSession.sparkContext.broadcast(None if model is None else dict(vars(model)))
@@ -271,16 +320,26 @@ def annotate(docs: DataFrame, model: Model | None) -> DataFrame:
                 lowest = each[np.arange(len(best)), best]
                 score[some] = 1 / np.exp2((lowest[:, None] - each) * np.minimum(n[some], SURE_AFTER)[:, None]).sum(1)
                 name[some], entropy[some] = np.array(model.languages, object)[best], lowest
+                parts = np.concatenate([[0], np.cumsum(bits.max(1))])
+                cost = (parts[first[:-1]] - parts[first[1:]])[some] / n[some]
                 if model.limit is not None:
-                    rejected[some] = lowest > model.limit[best] + model.spread[best] / np.sqrt(n[some])
+                    rejected[some] = cost > model.allowed(best, evidence(which, first, length)[some])
             found = pa.StructArray.from_arrays(
                 [pa.array(name, pa.string()), pa.array(score), pa.array(entropy, mask=~some), pa.array(n), pa.array(rejected)], fields=list(fields)
             )
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names)
 
-    names = [*docs.columns, "language"]
+    names = [*docs.columns, into]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(rows, f"{kinds}, language struct<{', '.join(x.replace(' ', ': ') for x in LANGUAGE.split(', '))}>")
+    return docs.mapInArrow(rows, f"{kinds}, `{into}` struct<{', '.join(x.replace(' ', ': ') for x in LANGUAGE.split(', '))}>")
+
+
+def in_known_languages(docs: DataFrame, model: Model | None) -> DataFrame:
+    """Rows that aren't rejected, all their columns as they were, whatever their names."""
+    into = "language"
+    while into in docs.columns:
+        into += "_"
+    return annotate(docs, model, into).filter(~F.col(f"{into}.rejected")).drop(into)
 
 
 def identify(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:

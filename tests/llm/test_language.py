@@ -100,6 +100,44 @@ def test_odd_texts(spark):
     assert all(found[i]["lang_pred"] == ("en" if i % 2 else "fr") for i in range(400))
 
 
+#: Frequent words of four languages that are learned and of two that are not.
+COMMON = {
+    "en": "the of and to in that was his with for had you not are but from they she which there been one all would were their have what about people",
+    "fr": "les des que une dans pour qui pas sur plus par avec tout mais nous cette comme sont leur elle deux ainsi encore très peut être aussi sans",
+    "de": "der die und den von das mit sich des auf für ist im dem nicht ein eine als auch werden aus hat dass sie nach wird bei einer noch wie über",
+    "es": "que los del las por una para con no su al como más pero sus le ha me sin sobre este ya entre cuando todo esta ser dos también fue había",
+}
+STRANGE = {
+    "nl": "het een zijn voor hij dat niet aan ook worden maar heeft naar door bij nog wel geen onze gisteren bekendgemaakt nieuwe maatregelen volgende maand",
+    "pt": "não uma mais ele seu você foi são ela até isso então muito depois também seus quem já ontem anunciou novas medidas próximo mês governo",
+}
+
+
+def test_an_unlearned_language_of_a_known_script_is_rejected(spark):
+    rng = np.random.default_rng(7)
+
+    def text(words, n=25):
+        return " ".join(rng.choice(words.split(), n))
+
+    rows = [(i, text(COMMON[x], 20 + i % 60), x, "") for i, x in enumerate(list(COMMON) * 300)]
+    # One labelled text of noise, and one of a single word, decide nothing.
+    rows += [(9000, "qzx wvk jjq xkcd zzq " * 40, "es", ""), (9001, "Überlandleitungsmast " * 200, "de", "")]
+    odd = {10_000 + i: text(STRANGE[x], n) for i, (x, n) in enumerate([("nl", 15), ("pt", 15), ("nl", 60), ("pt", 60), ("nl", 400)])}
+    kept = {20_000: text(COMMON["en"], 15) + " " + text(COMMON["fr"], 15), 20_001: text(COMMON["de"], 8) + " " + text(COMMON["es"], 40), 20_002: text(COMMON["es"], 5)}
+    docs = spark.createDataFrame(rows + [(i, t, None, "") for i, t in {**odd, **kept}.items()], SCHEMA)
+    found = {r["doc_id"]: r for r in language.identify(docs).collect()}
+    assert [i for i in odd if not found[i]["rejected"]] == []
+    assert [i for i in kept if found[i]["rejected"]] == []
+    assert sum(found[r[0]]["rejected"] for r in rows[:-2]) == 0
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumns({"language": F.lit("mine"), "rejected": F.lit(1)})
+    kept = language.in_known_languages(docs, language.learn(docs))
+    assert kept.columns == docs.columns
+    assert sorted(map(str, kept.collect())) == sorted(map(str, docs.filter(F.col("text").rlike(r"\p{L}")).collect()))
+
+
 def test_nothing_to_learn_from(spark):
     assert language.identify(spark.createDataFrame([], SCHEMA)).collect() == []
     out = language.identify(spark.createDataFrame([(1, "words", None, "")], SCHEMA)).collect()
