@@ -24,7 +24,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones of the input show; texts without a letter go."""
-    return language.annotate(docs, language.learn(docs)).filter("not language.rejected").drop("language")
+    return language.in_known_languages(docs, language.learn(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
