@@ -1531,13 +1531,29 @@ def _(spark, d):
     """SELECT CASE WHEN chat_id % 3 = 0 THEN 'all' ELSE CAST(chat_id AS VARCHAR) END AS chat_id, message_id, role, content, false AS in_progress FROM msg""",
 )
 def _(spark, d):
-    """One chat holds the runs of a third of all; it is resolved in blocks."""
+    out = cv.assemble_messages(_hot_chat(spark, d))
+    return out.select("chat_id", "message_id", "role", "content", "in_progress")
+
+
+def _hot_chat(spark, d):
+    """Resolved events where one chat holds the runs of a third of all, and goes through blocks."""
     number = F.col("chat_id").cast("bigint")
     mine = F.pmod(number, F.lit(3)) == 0
     seq = F.when(mine, number * 1000 * m.TURN_SEQ + F.col("seq")).otherwise(F.col("seq"))
     events = m.run_events(spark, d).withColumns({"seq": seq, "chat_id": F.when(mine, F.lit("all")).otherwise(F.col("chat_id"))})
-    out = cv.assemble_messages(cv.resolve_events(events, chat_rows=1024))
-    return out.select("chat_id", "message_id", "role", "content", "in_progress")
+    return cv.resolve_events(events, chat_rows=1024)
+
+
+@query(
+    "fold_hot_chat_parts",
+    """SELECT CASE WHEN chat_id % 3 = 0 THEN 'all' ELSE CAST(chat_id AS VARCHAR) END AS chat_id, message_id, content, kind, in_progress FROM (
+    SELECT chat_id, message_id, content, unnest(['lookup', 'Thinking']) AS kind, false AS in_progress FROM msg WHERE role = 'assistant')""",
+)
+def _(spark, d):
+    """Tool calls and reasonings of the same events."""
+    resolved = _hot_chat(spark, d)
+    tools = cv.assemble_tool_calls(resolved).select("chat_id", "message_id", F.col("arguments").alias("content"), F.col("name").alias("kind"), "in_progress")
+    return tools.unionByName(cv.assemble_reasonings(resolved).select("chat_id", "message_id", "content", F.col("name").alias("kind"), "in_progress"))
 
 
 @query(
