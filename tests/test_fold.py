@@ -233,3 +233,15 @@ def test_batch_equals_an_event_by_event_loop(spark, chat_rows):
         got = (r.target_id, r.active_id, r.tool_id, r.active_tool and r.active_tool.asDict(), r.block, r.step, r.title)
         assert got == tuple(w.get(k) for k in ("target_id", "active_id", "tool_id", "active_tool", "block", "step", "title")), (r, w)
         assert (r.open_block and r.open_block.asDict()) == w.get("open_block"), (r, w)
+
+
+def test_blocks_of_chats_without_names(spark):
+    """Missing chats and runs are a chat and a run of their own, apart from empty names; no events give no rows."""
+    rng = random.Random(23)
+    rows = rows_of(*[random_chat(rng, 10) for _ in range(30)])
+    for r in rows:
+        r["chat_id"] = {"c0": None, "c1": ""}.get(r["chat_id"], r["chat_id"])
+        r["run_id"] = {"r0": None, "r1": ""}.get(r["run_id"], r["run_id"])
+    whole, cut = (sorted(map(str, cv.resolve_events(frame(spark, rows), chat_rows=n).collect())) for n in (65_536, 3))
+    assert cut == whole and len(whole) == len(rows)
+    assert cv._resolve_in_blocks(frame(spark, rows).limit(0), 3).count() == 0
