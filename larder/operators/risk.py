@@ -13,7 +13,7 @@ from larder.functions.scalars import round_to
 from larder.operators.aggregates import grouped
 from larder.operators.model_quality import fold_of, log_loss_of
 from larder.operators.ordering import top_n, top_per
-from larder.session import materialise
+from larder.session import materialise, scratch_folder
 
 PROBABILITY = "shortage_probability_30d"
 KEYS = ("snapshot_date", "location_id", "item_id", "preferred_supplier_id")
@@ -111,9 +111,11 @@ def train(
 ):
     """Fit a classifier on the rows before the cut, less the label gap.
 
-    Tree building reads its input many times, so the prepared rows are materialised once.
+    Tree building reads its input many times, so the prepared rows are materialised once. The model is stored and read
+    back: a logistic one just fitted holds its training summary and with that the session, which tasks cannot
+    take along once it has, say, observed a table.
     """
-    from pyspark.ml import Pipeline
+    from pyspark.ml import Pipeline, PipelineModel
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
     from pyspark.ml.feature import StringIndexer, VectorAssembler
 
@@ -128,7 +130,9 @@ def train(
         if kind == "gbt"
         else LogisticRegression(maxIter=50),
     ]
-    return Pipeline(stages=stages).fit(rows)
+    path = scratch_folder(df.sparkSession, "model")
+    Pipeline(stages=stages).fit(rows).write().save(path)
+    return PipelineModel.load(path)
 
 
 def _ready(df: DataFrame, named: Sequence[str], numbers: Sequence[str], *more: Column | str) -> DataFrame:

@@ -3,6 +3,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from larder.operators import checks as ck
@@ -154,6 +155,19 @@ def test_models_of_folds_see_only_their_past(spark):
     assert measures[2].roc_auc < 0.01
 
 
+def test_models_score_in_a_session_that_has_observed_a_table(spark):
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 3
+    day = F.date_add(F.lit(dt.date(2024, 1, 1)), (F.col("id") % 100).cast("int"))
+    rows = spark.range(400).select(
+        day.alias("snapshot_date"), F.lit("l").alias("location_id"), F.col("id").cast("string").alias("item_id"), F.lit("s").alias("preferred_supplier_id"),
+        (F.col("id") * 7 % 19).cast("double").alias("x"), F.concat(F.lit("v"), F.col("id") % 2).alias("region"), (F.col("id") * 7 % 19 > 9).cast("int").alias("shortage_within_30d"),
+    )
+    scored = rk.score(rk.train(rows, dt.date(2024, 3, 1), kind="logistic"), rows)
+    assert scored.repartition(3).filter(F.col("shortage_within_30d_1_PREDICTION").between(0, 1)).count() == 400
+
+
 def test_gates_and_evaluation(spark):
     df = spark.createDataFrame([(1, 5000, 0.9), (2, 10, 0.5), (3, 10, None)], "id int, tokens int, score double")
     got = mq.score_gates(df, [("tokens", "greaterThan", 4000, "block"), ("score", "lessThan", 0.7, "report")], ["id"]).collect()
