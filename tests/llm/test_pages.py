@@ -92,3 +92,20 @@ def test_two_pages_of_different_articles_repeat(spark):
     out = {r["page_id"]: r["text"] for r in pages.main_text(spark.createDataFrame(rows + copies, SCHEMA)).collect()}
     assert [out[0], out[1]] == body[:2]
     assert [out[10], out[11]] == [f"{body[2]}\nFirst print", f"{body[2]}\nSecond print"]
+
+
+def test_what_half_of_a_hosts_articles_repeat_is_left_out_inside_them(spark):
+    body = [[" ".join(f"word{i}x{k}y{j}" for j in range(30)) for k in range(2)] for i in range(6)]
+    share = "Share this with all of your friends by mail or letter"
+    long = " ".join(f"terms{j}" for j in range(70))
+    quote = "a paragraph that two of the six articles here have in common with each other"
+    rows = []
+    for i, (a, b) in enumerate(body):
+        cited = f"<p>{quote}</p>" if i < 2 else ""
+        rows.append((i, "http://a.example.com/", f"<article><p>{a}</p><p>{share}</p><p>{b}</p><p>{i} {a} {b}</p>{cited}<p>{long}</p></article>", ""))
+    copies = [(10 + i, "http://b.example.com/", f"<article><p>{body[0][0]}</p><p>{body[0][1]} {body[i][0]}</p></article>", "") for i in range(1, 5)]
+    few = [(20 + i, "http://c.example.com/", f"<article><p>{body[i][0]}</p><p>{share}</p></article>", "") for i in range(2)]
+    again = [(30 + k * 2 + i, "http://d.example.com/", f"<article><p>{body[i][0]}</p><p>{share}</p></article>", "") for i in range(2) for k in range(3)]
+    out = {r["page_id"]: r["text"] for r in pages.main_text(spark.createDataFrame(rows + copies + few + again, SCHEMA).repartition(3)).collect()}
+    assert [out[i] for i in range(6)] == ["\n".join([a, b, f"{i} {a} {b}", *([quote] if i < 2 else [])]) for i, (a, b) in enumerate(body)]
+    assert all(out[i] == own(html) for i, _, html, _ in copies + few + again)
