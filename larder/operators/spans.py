@@ -32,12 +32,14 @@ def change_rows(
     shifts: Mapping[str, Sequence[int]] | None = None,
     least: Sequence[str] = (),
     by: Sequence[str] = (),
+    tasks: int | None = None,
 ) -> DataFrame:
     """Daily flows, one row per key and day, with empty rows on more days.
 
     Every key gets a row on the days ``at``. A flow of a column named in ``shifts`` gives an empty row that many days
     later (earlier if negative) where this is between ``first`` and ``last``. Of the columns ``least`` a row has the
-    least value. Rows are exchanged once, by ``by`` or else by the keys.
+    least value. Rows are exchanged once, by ``by`` or else by the keys, into ``tasks`` parts: the sorts and frames that
+    follow hold a task's rows several times, so their number should grow with the rows, not with the bytes exchanged.
     """
     none = [F.lit(0).cast("bigint").alias(v) for v in values]
     rows = [F.struct(F.col(day).alias(day), *values)]
@@ -48,7 +50,8 @@ def change_rows(
             inside = (F.col(value) != 0) & there.between(F.lit(first), F.lit(last))
             rows.append(F.when(inside, F.struct(there.alias(day), *none)))
     moved = flows.select(*keys, *least, F.explode(F.array_compact(F.array(*rows))).alias("__row"))
-    moved = moved.select(*keys, *least, "__row.*").repartition(*(by or keys))
+    moved = moved.select(*keys, *least, "__row.*")
+    moved = moved.repartition(tasks, *(by or keys)) if tasks else moved.repartition(*(by or keys))
     sums = [F.sum(v).alias(v) for v in values]
     return moved.groupBy(*keys, day).agg(*sums, *[F.min(c).alias(c) for c in least])
 

@@ -37,15 +37,27 @@ FLOWS = ["issues", "receipts", "warm_up_units"]
 EXPIRING = (m.SHELF_LIFE_DAYS - 90, m.SHELF_LIFE_DAYS + 1)
 #: Buckets of the stored spans; a setting of the build, like the partitions of a shuffle.
 BUCKETS = 8
+#: Lines behind the rows of one task, and tasks whose rows make a bucket once there are more than these buckets.
+TASK_LINES, BUCKET_TASKS = 100_000, 8
 _AS_OF, _START = f"DATE '{m.AS_OF}'", f"DATE '{m.START}'"
 
 
+def part_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Order lines of the days that the panel and its frames reach."""
+    return m.table(spark, folder, "lineitem").filter(
+        m._between("l_shipdate", m.START - dt.timedelta(days=m.WARMUP_DAYS), m.AS_OF + dt.timedelta(days=m.INBOUND_DAYS))
+    )
+
+
+def part_tasks(spark: SparkSession, folder: str) -> int:
+    """Tasks for the panel, by a count of its lines, which reads their dates alone."""
+    return max(1, -(-part_lines(spark, folder).count() // TASK_LINES))
+
+
 def part_flows(spark: SparkSession, folder: str) -> DataFrame:
     """Units per part, nation and day. Issues of the warm-up are a column of the first day."""
     q, day = F.col("l_quantity").cast("bigint"), F.to_date("l_shipdate")
-    lines = m.table(spark, folder, "lineitem").filter(
-        m._between("l_shipdate", m.START - dt.timedelta(days=m.WARMUP_DAYS), m.AS_OF + dt.timedelta(days=m.INBOUND_DAYS))
-    ).select("l_suppkey", "l_partkey", day.alias("__day"), "l_linestatus", q.alias("q"))
+    lines = part_lines(spark, folder).select("l_suppkey", "l_partkey", day.alias("__day"), "l_linestatus", q.alias("q"))
     where = m.table(spark, folder, "supplier").select(
         F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("bigint").alias("location_index")
     )
@@ -88,8 +100,9 @@ def with_stock(rows: DataFrame, positions_by: Sequence[str]) -> DataFrame:
 def part_days(spark: SparkSession, folder: str, at: Sequence[dt.date] = (), shifts=None) -> DataFrame:
     """Change rows of every position with its stock."""
     rows = sn.change_rows(
-        part_flows(spark, folder), KEYS, DAY, FLOWS, m.START, m.AS_OF, [m.START, *at], shifts, ["supplier_index"], ["item_index"]
-    )
+        part_flows(spark, folder), KEYS, DAY, FLOWS, m.START, m.AS_OF, [m.START, *at], shifts, ["supplier_index"], ["item_index"],
+        part_tasks(spark, folder),
+    )
     cold = F.broadcast(m.commodities(spark).select("commodity_group", "cold_chain_required"))  # six rows
     parts = m.part_items(spark, folder).join(cold, "commodity_group").select(
         "item_index", "item_id", "commodity_group", "criticality", "base_min_days", "unit_cost_usd", "cold_chain_required"
@@ -463,5 +476,6 @@ def _(spark, d):
     schema, before = f"readiness_{uuid.uuid4().hex}", spark.catalog.currentDatabase()
     tb.ensure_schema(spark, schema)
     spark.catalog.setCurrentDatabase(before)
-    store_spans(part_inventory(spark, d), f"{schema}.part_spans")
+    buckets = max(BUCKETS, -(-part_tasks(spark, d) // BUCKET_TASKS))
+    store_spans(part_inventory(spark, d), f"{schema}.part_spans", buckets)
     return status_moves(spark, f"{schema}.part_spans", MOVED_SINCE, m.AS_OF)

@@ -184,3 +184,16 @@ def test_late_orders_of_parts_are_those_of_part_types(spark):
     narrow = pq.part_late_orders(spark, FOLDER).join(pq.m.locations(spark, FOLDER), "location_index").groupBy("location_id")
     narrow = narrow.agg(F.sum("backordered_orders"), F.sum("late_inbound_units"), F.min("waiting_since"))
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, narrow.collect())) != []
+
+
+def test_tasks_of_part_panels_grow_with_lines(spark, tmp_path, monkeypatch):
+    from larder.plans import part_queries as pq
+
+    day = F.lit(pq.m.START).cast("timestamp")
+    spark.range(25).select(F.col("id").alias("l_suppkey"), day.alias("l_shipdate")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(pq.m, "SCHEMAS", {})
+    monkeypatch.setattr(pq, "TASK_LINES", 10)
+    assert pq.part_tasks(spark, str(tmp_path)) == 3
+    flows = [(1, 1, FIRST, 1, 0)]
+    df = spark.createDataFrame(flows, "item long, place long, d date, out long, back long")
+    assert sn.change_rows(df, ["item", "place"], "d", ["out", "back"], FIRST, LAST, by=["item"], tasks=3).rdd.getNumPartitions() == 3
