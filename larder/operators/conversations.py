@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from larder.functions.text import error_text, strip_placeholder
 from larder.operators.aggregates import fold_ordered
-from larder.operators.scan import BLOCK_ROWS, carry_forward, carry_within, hot_keys, running_totals
+from larder.operators.scan import BLOCK_ROWS, carry_forward, carry_within, running_totals
 from larder.session import materialise
 
 EVENT_FIELDS = {
@@ -39,6 +39,8 @@ ASSISTANT = "assistant"
 UNKNOWN_TOOL = "UNKNOWN"
 NOT_A_USER = "The user cannot create new non-user messages."
 SCOPE = ["chat_id", "run_id", "epoch"]
+#: Events of one task. The windows sort them in several orders, so a task holds them several times.
+TASK_EVENTS = 100_000
 RESOLVED = ["target_id", "active_id", "tool_id", "active_tool", "block", "open_block", "step", "title"]
 
 
@@ -65,14 +67,18 @@ def resolve_events(events: DataFrame, chat_rows: int = BLOCK_ROWS) -> DataFrame:
 
     Runs of a chat may follow each other or take turns, and the user's messages come before the run that answers them.
     Chats of up to ``chat_rows`` events are shuffled once, texts included, and resolved in place; a count finds the
-    larger ones, which are cut into blocks of as many numbers, so that no task gets more of a chat than that.
+    larger ones, which are cut into blocks of as many numbers, so that no task gets more of a chat than that. The
+    number of tasks comes from the same count.
     """
-    hot = hot_keys(events, ["chat_id"], chat_rows)
-    if hot is None:
-        return _resolve_in_place(events.repartition("chat_id"))
-    small = events.join(hot, "chat_id", "left_anti").repartition("chat_id")
+    sizes = events.groupBy("chat_id").count()
+    total, most = sizes.agg(F.sum("count"), F.max("count")).first()
+    tasks = max(1, -(-(total or 0) // TASK_EVENTS))
+    if (most or 0) <= chat_rows:
+        return _resolve_in_place(events.repartition(tasks, "chat_id"))
+    hot = sizes.filter(F.col("count") > chat_rows).select("chat_id")
+    small = events.join(hot, "chat_id", "left_anti").repartition(tasks, "chat_id")
     large = events.join(hot, "chat_id", "left_semi")
-    return _resolve_in_place(small).unionByName(_resolve_in_blocks(large, chat_rows))
+    return _resolve_in_place(small).unionByName(_resolve_in_blocks(large, chat_rows, tasks))
 
 
 def _resolve_in_place(events: DataFrame) -> DataFrame:
@@ -204,15 +210,15 @@ GOES_ON, NEVER = -(2**62), 2**62
 STRETCH = ["__chat", "__block", "__run", "__from"]
 
 
-def _resolve_in_blocks(events: DataFrame, block_rows: int) -> DataFrame:
+def _resolve_in_blocks(events: DataFrame, block_rows: int, tasks: int = 1) -> DataFrame:
     """Chats of any size. The events of one run in one block of ``block_rows`` numbers are a stretch.
 
     What a stretch changes is one row. These rows are put in order per run, which gives what was true before each
     stretch, and the stretches are then finished side by side. Events are joined by stretch, never by chat.
     """
-    rows = _in_blocks(events, block_rows)
+    rows = _in_blocks(events, block_rows, tasks)
     before = _before_stretches(materialise(_changes(rows)), _created(events))
-    return _finished(rows.join(before, STRETCH)).select(*events.columns, *RESOLVED)
+    return _finished(rows.repartition(tasks, *STRETCH).join(before, STRETCH)).select(*events.columns, *RESOLVED)
 
 
 def _never(c: str) -> Column:
@@ -240,7 +246,7 @@ def _set_by_event() -> dict[str, Column]:
     }
 
 
-def _in_blocks(events: DataFrame, block_rows: int) -> DataFrame:
+def _in_blocks(events: DataFrame, block_rows: int, tasks: int = 1) -> DataFrame:
     """Events with their stretch, and what each knows from the events before it in the stretch."""
 
     def key(c: str) -> Column:  # never NULL, so that it joins
@@ -258,6 +264,7 @@ def _in_blocks(events: DataFrame, block_rows: int) -> DataFrame:
             "__touch": _is(*TEXT, *TOOL, *THOUGHT),
         }
     )
+    rows = rows.repartition(tasks, *STRETCH[:3])
     rows = carry_within(rows, STRETCH[:3], "seq", {"__from": F.when(_is("RUN_STARTED"), F.col("seq"))})
     rows = rows.withColumn("__from", F.coalesce("__from", F.lit(GOES_ON).cast("bigint")))
     sets = {f"__{n}": c for n, c in _set_by_event().items()}

@@ -245,3 +245,12 @@ def test_blocks_of_chats_without_names(spark):
     whole, cut = (sorted(map(str, cv.resolve_events(frame(spark, rows), chat_rows=n).collect())) for n in (65_536, 3))
     assert cut == whole and len(whole) == len(rows)
     assert cv._resolve_in_blocks(frame(spark, rows).limit(0), 3).count() == 0
+
+
+def test_tasks_grow_with_events(spark, monkeypatch):
+    rows = [dict(chat_id=f"c{i}", run_id="r", seq=0, type="MESSAGE", message_id=f"m{i}", content="x") for i in range(25)]
+    events = spark.createDataFrame([{n: r.get(n) for n in cv.EVENT_FIELDS} for r in rows], cv.EVENT_SCHEMA)
+    monkeypatch.setattr(cv, "TASK_EVENTS", 5)
+    assert cv.resolve_events(events).rdd.getNumPartitions() == 5
+    assert cv.resolve_events(events).filter(F.col("seq") == 0).count() == 25
+    assert cv.resolve_events(events.limit(0)).count() == 0
