@@ -187,8 +187,6 @@ def test_late_orders_of_parts_are_those_of_part_types(spark):
 
 
 def test_tasks_of_part_panels_grow_with_lines(spark, tmp_path, monkeypatch):
-    from larder.plans import part_queries as pq
-
     day = F.lit(pq.m.START).cast("timestamp")
     spark.range(25).select(F.col("id").alias("l_suppkey"), day.alias("l_shipdate")).write.parquet(str(tmp_path / "lineitem.parquet"))
     monkeypatch.setattr(pq.m, "SCHEMAS", {})
