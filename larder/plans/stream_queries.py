@@ -14,6 +14,8 @@ from larder.streaming import jobs as sj
 
 #: Longer than any table, where the whole of it is to be one horizon.
 ALL_TIME = "36500 days"
+#: Turns of conversations whose events are one file of a stream.
+FILE_TURNS = 10_000
 
 
 def _streamed(df: DataFrame, folder: str) -> DataFrame:
@@ -78,8 +80,10 @@ def _(spark, d):
     "SELECT CAST(chat_id AS VARCHAR) AS chat_id, message_id, role, content, false AS in_progress FROM msg",
 )
 def _(spark, d):
+    """A chat's events lie in one file, so that no micro-batch gets later ones first."""
     folder = scratch_folder(spark, "streamed-messages")
-    resolved = sj.drain(sj.stream_messages(_streamed(m.run_events(spark, d), f"{folder}/in")), folder)
+    files = max(1, -(-m.table(spark, d, "conversations").count() // FILE_TURNS))
+    resolved = sj.drain(sj.stream_messages(_streamed(m.run_events(spark, d, files), f"{folder}/in")), folder)
     return cv.assemble_messages(resolved.filter("not late").drop("late")).select("chat_id", "message_id", "role", "content", "in_progress")
 
 

@@ -43,6 +43,8 @@ RESOLVED_SCHEMA = (
     "open_block struct<message_id:string,block:bigint>, step string, title string, late boolean"
 )
 CHAT_STATE = "state string"
+#: The fields that say what an event belongs to.
+RESOLVING = ("type", "run_id", "seq", "name", "message_id", "role", "parent_message_id", "tool_call_id")
 
 
 def _derived(kind: str, chat: str, seq: int) -> str:
@@ -51,7 +53,7 @@ def _derived(kind: str, chat: str, seq: int) -> str:
 
 def resolve_one(chat: str, state: dict, e: dict) -> dict:
     """What one event belongs to; the state moves on. Follows the batch rules event by event."""
-    runs, seen = state.setdefault("runs", {}), state.setdefault("seen", [])
+    runs, seen = state.setdefault("runs", {}), state.setdefault("seen", {})
     kind, run_id, seq = e["type"], e["run_id"] or "", int(e["seq"])
     if kind == "RUN_STARTED":
         runs[run_id] = {}
@@ -59,7 +61,7 @@ def resolve_one(chat: str, state: dict, e: dict) -> dict:
 
     def created(id_, role, public=True):
         if id_ not in seen:
-            seen.append(id_)
+            seen[id_] = True
             state["last"] = [id_, role, public]
 
     out = {"active_id": run.get("active"), "active_tool": run.get("tool"), "open_block": None}
@@ -122,14 +124,17 @@ def make_resolver(idle_seconds: int, keep_seconds: int):
     names = list(EVENT_FIELDS)
     extra = ["target_id", "active_id", "tool_id", "active_tool", "block", "open_block", "step", "title"]
 
-    def rows_of(events, resolved):
-        data = [
-            [e.get(n) for n in names] + [r.get(x) for x in extra] + [bool(r.get("late"))]
-            for e, r in zip(events, resolved)
-        ]
-        pdf = pd.DataFrame(data, columns=[*names, *extra, "late"])
-        pdf["ts"] = pd.to_datetime(pdf["ts"])
-        return pdf.astype({"seq": "Int64", "block": "Int64", "late": bool})
+    def rows_of(columns, resolved):
+        added = {x: [r.get(x) for r in resolved] for x in extra}
+        numbers = {x: pd.array(v, "Int64") for x, v in (("seq", columns["seq"]), ("block", added["block"]))}
+        return pd.DataFrame({**columns, **added, **numbers, "late": [bool(r.get("late")) for r in resolved]})
+
+    def recalled(state):
+        memory = json.loads(state.get[0]) if state.exists else {}
+        return {**memory, "seen": dict.fromkeys(memory.get("seen", []))}
+
+    def stored(memory):
+        return (json.dumps({**memory, "seen": list(memory["seen"])}),)
 
     def shifted(memory, number):
         """An event's number after the closing events that were put before it, each of which has a number of its own."""
@@ -137,7 +142,7 @@ def make_resolver(idle_seconds: int, keep_seconds: int):
 
     def resolve(key, batches, state):
         (chat,) = key
-        memory = json.loads(state.get[0]) if state.exists else {}
+        memory = recalled(state)
         if state.hasTimedOut and memory.get("closed"):
             state.remove()
             return
@@ -153,26 +158,32 @@ def make_resolver(idle_seconds: int, keep_seconds: int):
                 memory.setdefault("shifts", []).append([memory["seq"], len(closed)])
             memory["idle"] = sorted(set(memory.get("idle", [])) | set(open_runs))
             memory["runs"], memory["closed"] = {}, True
-            state.update((json.dumps(memory),))
+            state.update(stored(memory))
             state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + keep_seconds * 1000)
             if closed:
-                yield rows_of(*zip(*closed))
+                events, resolved = zip(*closed)
+                yield rows_of({n: [e[n] for e in events] for n in names}, resolved)
             return
-        pdf = pd.concat(list(batches)).sort_values("seq", kind="stable")
-        events = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
+        parts = list(batches)
+        pdf = parts[0] if len(parts) == 1 else pd.concat(parts)
+        if not pdf["seq"].is_monotonic_increasing:
+            pdf = pdf.sort_values("seq", kind="stable")
         memory.pop("closed", None)
-        resolved = []
-        for e in events:
-            late, number = e["run_id"] in memory.get("idle", []), int(e["seq"])
+        idle, numbers, resolved = set(memory.get("idle", [])), [], []
+        # A missing value is None, never NaN, which differs from itself.
+        for values in zip(*([v if v == v else None for v in pdf[n].tolist()] for n in RESOLVING)):
+            e = dict(zip(RESOLVING, values))
+            late, number = e["run_id"] in idle, int(e["seq"])
             if not late:
                 e["seq"] = shifted(memory, number)
+            numbers.append(e["seq"])
             resolved.append({"late": True} if late else resolve_one(chat, memory, e))
-            memory["seq"] = max(memory.get("seq", -1), number)
-            memory["ts"] = max(memory.get("ts", 0), pd.Timestamp(e["ts"]).value // 1000)
-            memory["at"] = max(memory.get("at", 0), pd.Timestamp(e["arrived"]).value // 1000)
-        state.update((json.dumps(memory),))
+        memory["seq"] = max(memory.get("seq", -1), int(pdf["seq"].iloc[-1]))
+        for name, column in (("ts", "ts"), ("at", "arrived")):
+            memory[name] = max(memory.get(name, 0), pd.Timestamp(pdf[column].max()).value // 1000)
+        state.update(stored(memory))
         timeout = max(memory["at"] // 1000 + idle_seconds * 1000, state.getCurrentWatermarkMs() + 1)
         state.setTimeoutTimestamp(timeout)
-        yield rows_of(events, resolved)
+        yield rows_of({**{n: pdf[n].array for n in names}, "seq": numbers}, resolved)
 
     return resolve

@@ -7,7 +7,9 @@ from test_fold import frame, random_chat, rows_of
 
 from larder.operators import conversations as cv
 from larder.operators import features as ft
+from larder.plans import model as m
 from larder.streaming import jobs as sj
+from larder.streaming.stateful import resolve_one
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -171,3 +173,30 @@ def test_closing_events_have_numbers_of_their_own(spark, tmp_path):
     rows = sorted((r.seq, r.type, r.run_id) for r in out.filter("chat_id = 'a'").collect())
     assert [x[0] for x in rows] == list(range(8))
     assert [x[2] for x in rows if x[1] == "RUN_FINISHED"] == ["r", "s", "t"] and [x[2] for x in rows[6:]] == ["u", "u"]
+
+
+def test_each_message_is_known_without_a_search_of_all(spark):
+    class Id(str):
+        compared = 0
+        __hash__ = str.__hash__
+
+        def __eq__(self, other):
+            Id.compared += 1
+            return str.__eq__(self, other)
+
+    state = {}
+    for i in range(300):
+        resolve_one("c", state, {**dict.fromkeys(cv.EVENT_FIELDS), "type": "MESSAGE", "role": "user", "message_id": Id(f"m{i}"), "seq": i})
+    assert list(state["seen"]) == [f"m{i}" for i in range(300)]
+    assert Id.compared < 3_000
+
+
+def test_events_of_a_chat_are_made_in_one_task(spark, tmp_path):
+    turns = [(c, t, "assistant" if t % 2 else "user", "x" * 90) for t in range(4) for c in range(9)]
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    table.repartition(5).write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = m.run_events(spark, str(tmp_path), 3)
+    parts = rows.withColumn("part", F.spark_partition_id()).groupBy("chat_id").agg(F.countDistinct("part").alias("parts"))
+    assert rows.rdd.getNumPartitions() == 3
+    assert [r.parts for r in parts.collect()] == [1] * 9
+    assert sorted(map(str, rows.collect())) == sorted(map(str, m.run_events(spark, str(tmp_path)).collect()))
