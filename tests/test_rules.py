@@ -118,6 +118,49 @@ def test_disruption_days_equal_brute_force(spark):
         assert r.disrupted_days == len(hit)
 
 
+def wide_events(spark):
+    """A few numbers that grow to many days: Spark's estimate of the days is the size of the numbers."""
+    return spark.range(50).select(
+        F.concat(F.lit("s"), F.col("id") % 5).alias("supplier_id"),
+        F.date_add(F.lit(NOW), F.col("id").cast("int")).alias("start_date"),
+        F.date_add(F.lit(NOW), F.col("id").cast("int") + 900).alias("end_date"),
+    )
+
+
+def calendar_join(df):
+    """The lines of the plan that join the supplier's calendar."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [x for x in plan.splitlines() if "Join" in x and "preferred_supplier_id" in x]
+
+
+def test_disruption_calendar_is_not_broadcast(spark):
+    days = wide_events(spark).select(F.col("supplier_id").alias("preferred_supplier_id"), F.col("start_date").alias("snapshot_date"))
+    joins = calendar_join(jn.disruption_days(days, wide_events(spark), 30))
+    assert joins and all("SortMergeJoin" in x for x in joins)
+
+
+@pytest.mark.parametrize("lookback, ahead", [(1, 0), (30, 0), (64, 0), (65, 0), (200, 0), (30, 40), (-5, 30)])
+def test_disruption_days_of_odd_rows_equal_brute_force(spark, lookback, ahead):
+    """Empty keys and days, days before 1970, repeated rows, and windows over several blocks of days."""
+    rng, zero = random.Random(lookback * 100 + ahead), dt.date(1970, 1, 1)
+    events, rows = [], []
+    for _ in range(30):
+        start = zero + dt.timedelta(days=rng.randint(-300, 300))
+        events.append((rng.choice(["s1", "s2", None]), start, start + dt.timedelta(days=rng.choice([0, 1, 12, 63, 64]))))
+    events += [*events[:5], ("s1", None, zero), ("s1", zero, None)]
+    for i in range(400):
+        rows.append((i, rng.choice(["s1", "s2", "s3", None]), rng.choice([zero + dt.timedelta(days=rng.randint(-400, 400))] * 9 + [None])))
+    rows += rows[:20]
+    days = spark.createDataFrame(rows, "n int, preferred_supplier_id string, snapshot_date date")
+    got = jn.disruption_days(days, spark.createDataFrame(events, "supplier_id string, start_date date, end_date date"), lookback, ahead=ahead)
+    assert got.dtypes == [("preferred_supplier_id", "string"), ("snapshot_date", "date"), ("n", "int"), ("disrupted_days", "bigint")]
+    want = []
+    for n, s, day in rows:
+        window = [day + dt.timedelta(days=k) for k in range(1 - lookback, ahead + 1)] if day and s else []
+        want.append((n, sum(any(e[0] == s and e[1] and e[2] and e[1] <= x <= e[2] for e in events) for x in window)))
+    assert sorted((r.n, r.disrupted_days) for r in got.collect()) == sorted(want) and any(w for _, w in want)
+
+
 def test_rules_for_positions(spark):
     position, *_ = frames(spark, [pos("a", 1.0)])
     rows = [("text 1", "MED-STOCK-6505"), ("text 2", "MED-STOCK-GENERAL"), ("text 3", "MED-STOCK-6515")]
