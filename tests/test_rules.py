@@ -133,13 +133,14 @@ def calendar_join(df):
     return [x for x in plan.splitlines() if "Join" in x and "preferred_supplier_id" in x]
 
 
-def test_disruption_calendar_is_not_broadcast(spark):
+@pytest.mark.parametrize("lookback, ahead", [(30, 0), (0, 30)])
+def test_disruption_calendar_is_not_broadcast(spark, lookback, ahead):
     days = wide_events(spark).select(F.col("supplier_id").alias("preferred_supplier_id"), F.col("start_date").alias("snapshot_date"))
-    joins = calendar_join(jn.disruption_days(days, wide_events(spark), 30))
+    joins = calendar_join(jn.disruption_days(days, wide_events(spark), lookback, ahead=ahead))
     assert joins and all("SortMergeJoin" in x for x in joins)
 
 
-@pytest.mark.parametrize("lookback, ahead", [(1, 0), (30, 0), (64, 0), (65, 0), (200, 0), (30, 40), (-5, 30)])
+@pytest.mark.parametrize("lookback, ahead", [(1, 0), (30, 0), (64, 0), (65, 0), (200, 0), (0, 30), (30, 40), (-5, 30)])
 def test_disruption_days_of_odd_rows_equal_brute_force(spark, lookback, ahead):
     """Empty keys and days, days before 1970, repeated rows, and windows over several blocks of days."""
     rng, zero = random.Random(lookback * 100 + ahead), dt.date(1970, 1, 1)
